@@ -28,7 +28,7 @@ ATHLETE_SEX_UNKNOWN = "Sconosciuto"
 # variant 1: < 30 Keep, 30 < p < 50 Maybe, everything else (including exactly 30) Drop
 NULL_BANDS_V1 = ("Keep", "Maybe", "Drop")
 # variant 2: > 30 excluded, > 15 caution, else reliable
-NULL_BANDS_V2 = ("Escluso", "Cautela", "Affidabile")
+NULL_BANDS_V2 = ("Esclusa (>30%)", "Cautela (15-30%)", "Affidabile (<15%)")
 
 # --- fixed values: plausibility ranges (value outside -> null)
 RANGE_RULES = {

@@ -183,3 +183,13 @@ def missing_report(tally: DataFrame, games: DataFrame, series: DataFrame, *, ent
     none = (found.agg(F.count(F.lit(1)).alias("k")).filter("k = 0")
             .select(F.lit(9).alias("section"), F.lit("No missing data found.").alias("line")))
     return found.unionByName(none)
+
+
+def fill_from_trailing_mean(df: DataFrame, series: DataFrame, entity: str, year: str,
+                            target: str, value: str | None = None, n: int = 4) -> DataFrame:
+    """Only NULL targets are filled, with the mean of the series value
+    over years y-n .. y-1 of the same entity (all NULL / no rows -> stays NULL)."""
+    value = value or target
+    s = series.select(entity, year, F.col(value).alias("__fill"))
+    j = trailing_mean(df, s, entity, year, ["__fill"], n)
+    return j.withColumn(target, F.coalesce(F.col(target), F.col("__fill"))).drop("__fill")
