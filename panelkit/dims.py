@@ -68,4 +68,5 @@ URBAN_STEP, URBAN_CAP = 0.5, 100.0
 
 # --- fixed values: period split and edition window
 EARLY_PERIOD_MAX, LATE_PERIOD_MIN = 1996, 2000
+PERIOD_LABELS = ("1964-1996", "2000-2020")
 FIRST_YEAR, LAST_YEAR = 1964, 2020

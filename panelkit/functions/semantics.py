@@ -53,13 +53,23 @@ def bround(c: ColumnOrName, scale: int) -> Column:
     return F.bround(col(c).cast("double"), scale)
 
 
+CONST_TOL = 1e-9
+
+
+def spread(x: Column) -> Column:
+    """Population sd, or 0 when it is below ``CONST_TOL`` of |mean|: a column
+    that is constant up to float noise of an upstream average is constant."""
+    sd = F.stddev_pop(x)
+    return F.when(sd <= F.lit(CONST_TOL) * F.abs(F.avg(x)), F.lit(0.0)).otherwise(sd)
+
+
 def safe_corr(x: ColumnOrName, y: ColumnOrName) -> Column:
     """Pearson r on pairwise-complete rows; NULL (not an error) when either
     side is constant or fewer than two pairs exist."""
     xc, yc = col(x).cast("double"), col(y).cast("double")
     both = xc.isNotNull() & yc.isNotNull()
     xs, ys = F.when(both, xc), F.when(both, yc)
-    return F.try_divide(F.covar_pop(xs, ys), F.stddev_pop(xs) * F.stddev_pop(ys))
+    return F.try_divide(F.covar_pop(xs, ys), spread(xs) * spread(ys))
 
 
 def pair_count(x: ColumnOrName, y: ColumnOrName) -> Column:

@@ -34,13 +34,13 @@ def rnd(c, scale: int = 6):
     """Round for comparison with the SQL oracle.  Values here are often exact
     decimal ties (means of 2-decimal prices); a relative nudge of 1e-12 moves
     a tie off the boundary so both engines round it the same way."""
-    return F.round(F.col(c).cast("double") * F.lit(NUDGE), scale) if isinstance(c, str) \
-        else F.round(c.cast("double") * F.lit(NUDGE), scale)
+    x = F.col(c) if isinstance(c, str) else c
+    return F.round(x.cast("double") * F.lit(NUDGE), scale) + F.lit(0.0)  # + 0.0 turns -0.0 into 0.0
 
 
 def r_sql(expr: str, scale: int = 6) -> str:
     """SQL twin of :func:`rnd`."""
-    return f"round(CAST({expr} AS DOUBLE) * {NUDGE}, {scale})"
+    return f"(round(CAST({expr} AS DOUBLE) * {NUDGE}, {scale}) + 0.0)"
 
 
 def rounded(df: DataFrame, scale: int = 6, cols: list[str] | None = None) -> DataFrame:
