@@ -89,3 +89,25 @@ def with_(*names: str, extra: list[str] | None = None) -> str:
         visit(n)
     parts = [DEPS[n][0] for n in order] + list(extra or [])
     return "WITH " + ",\n".join(parts) + "\n"
+
+
+def band_sql(x: str) -> str:
+    from ..dims import INCOME_BANDS, INCOME_BAND_FALLBACK
+    whens = " ".join(f"WHEN {x} >= {lo} AND {x} < {hi if hi != float('inf') else '1e308'} THEN '{lab}'"
+                     for lab, lo, hi in INCOME_BANDS)
+    return f"(CASE WHEN {x} IS NULL THEN NULL {whens} ELSE '{INCOME_BAND_FALLBACK}' END)"
+
+
+MEDAL_ROWS = """medal_rows AS (
+  SELECT CAST(year(o.o_orderdate) AS INTEGER) AS year, o.o_custkey AS noc, p.p_name AS sport, l.l_partkey AS event,
+         CASE WHEN l.l_returnflag = 'A' THEN 'Gold' WHEN l.l_returnflag = 'R' THEN 'Silver' ELSE 'No medal' END AS medal
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part p ON l.l_partkey = p.p_partkey)"""
+
+ROSTER = f"""roster AS (
+  SELECT noc, year, population, gdp_pc, {band_sql('gdp_pc')} AS label FROM (
+    SELECT o_custkey AS noc, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(count(*) AS DOUBLE) * 1000.0 AS population,
+           avg(o_totalprice) / 30.0 AS gdp_pc
+    FROM orders WHERE o_orderstatus = 'F' GROUP BY 1, 2))"""
+
+DEPS["medal_rows"] = (MEDAL_ROWS, ())
+DEPS["roster"] = (ROSTER, ())

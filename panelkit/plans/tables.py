@@ -140,3 +140,31 @@ def nation_year(spark: SparkSession, d: str) -> DataFrame:
                  F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("medals"),
                  F.count(F.lit(1)).alias("n_orders"))
             .withColumn("gdp_pc", F.try_divide(F.col("gdp"), F.col("population"))))
+
+
+BAND_SCALE = 30.0  # order value / 30 plays GDP per capita for the income bands
+
+
+def medal_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Athlete-medal rows (year, noc = customer, sport = part name, event = part,
+    medal = Gold / Silver / 'No medal' from the return flag)."""
+    li = load(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag")
+    o = load(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    p = load(spark, d, "part").select("p_partkey", "p_name")
+    medal = F.when(F.col("l_returnflag") == "A", "Gold").when(F.col("l_returnflag") == "R", "Silver") \
+        .otherwise("No medal")
+    return (li.join(o, li.l_orderkey == o.o_orderkey).join(p, F.col("l_partkey") == F.col("p_partkey"))
+            .select(F.year("o_orderdate").alias("year"), F.col("o_custkey").alias("noc"),
+                    F.col("p_name").alias("sport"), F.col("l_partkey").alias("event"), medal.alias("medal")))
+
+
+def roster(spark: SparkSession, d: str) -> DataFrame:
+    """One row per (noc = customer, year) with finished orders: population
+    (finished orders x 1000), gdp_pc (mean finished order value / 30) and the
+    income band label of gdp_pc."""
+    from ..operators.cluster import income_band
+    o = load(spark, d, "orders").filter(F.col("o_orderstatus") == "F")
+    r = o.groupBy(F.col("o_custkey").alias("noc"), F.year("o_orderdate").alias("year")).agg(
+        (F.count(F.lit(1)) * 1000.0).alias("population"),
+        (F.avg("o_totalprice") / BAND_SCALE).alias("gdp_pc"))
+    return r.withColumn("label", income_band("gdp_pc"))
