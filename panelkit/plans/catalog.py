@@ -27,20 +27,19 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-NUDGE = 1.000000000001
-
-
 def rnd(c, scale: int = 6):
     """Round for comparison with the SQL oracle.  Values here are often exact
-    decimal ties (means of 2-decimal prices); a relative nudge of 1e-12 moves
-    a tie off the boundary so both engines round it the same way."""
-    x = F.col(c) if isinstance(c, str) else c
-    return F.round(x.cast("double") * F.lit(NUDGE), scale) + F.lit(0.0)  # + 0.0 turns -0.0 into 0.0
+    decimal ties (means of 2-decimal prices); a nudge of a thousandth of the
+    rounding step, away from zero, moves a tie off the boundary so both
+    engines round it the same way; ``+ 0.0`` turns -0.0 into 0.0."""
+    x = (F.col(c) if isinstance(c, str) else c).cast("double")
+    return F.round(x + F.signum(x) * F.lit(10.0 ** -(scale + 3)), scale) + F.lit(0.0)
 
 
 def r_sql(expr: str, scale: int = 6) -> str:
     """SQL twin of :func:`rnd`."""
-    return f"(round(CAST({expr} AS DOUBLE) * {NUDGE}, {scale}) + 0.0)"
+    x = f"CAST({expr} AS DOUBLE)"
+    return f"(round({x} + sign({x}) * {10.0 ** -(scale + 3)!r}, {scale}) + 0.0)"
 
 
 def rounded(df: DataFrame, scale: int = 6, cols: list[str] | None = None) -> DataFrame:

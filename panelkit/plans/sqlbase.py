@@ -111,3 +111,49 @@ ROSTER = f"""roster AS (
 
 DEPS["medal_rows"] = (MEDAL_ROWS, ())
 DEPS["roster"] = (ROSTER, ())
+
+RAW_EVENTS = """raw_events AS (
+  SELECT CAST(year(o.o_orderdate) AS INTEGER) AS year,
+         CAST(year(o.o_orderdate) AS VARCHAR) || ' ' || CASE WHEN month(o.o_orderdate) <= 6 THEN 'Winter' ELSE 'Summer' END AS edition,
+         n.n_name AS noc, o.o_custkey AS athlete_id, p.p_type AS sport, l.l_partkey AS event, p.p_name AS event_name,
+         CASE WHEN l.l_returnflag = 'A' THEN 'Gold' WHEN l.l_returnflag = 'R' THEN 'Silver' ELSE '' END AS medal,
+         CASE WHEN l.l_linestatus = 'O' THEN 'True' ELSE 'False' END AS is_team
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
+  JOIN part p ON l.l_partkey = p.p_partkey JOIN nation n ON c.c_nationkey = n.n_nationkey)"""
+
+BIO = """bio AS (
+  SELECT c.c_custkey AS athlete_id,
+         CASE WHEN c.c_mktsegment IN ('HOUSEHOLD', 'FURNITURE') THEN 'Female'
+              WHEN c.c_mktsegment IN ('MACHINERY', 'BUILDING') THEN 'Male' END AS sex,
+         CASE WHEN c.c_acctbal < 0 THEN ' ' || n.n_name || ' ' ELSE n.n_name END AS country, n.n_name AS noc
+  FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey)"""
+
+PREP = """prep AS (
+  SELECT e.year, e.edition, e.noc, e.athlete_id, e.sport, e.event, e.event_name, e.medal,
+         coalesce(lower(trim(e.is_team)) = 'true', false) AS is_team,
+         coalesce(CASE b.sex WHEN 'Male' THEN 'Maschile' WHEN 'Female' THEN 'Femminile' END, 'Sconosciuto') AS athlete_sex,
+         (e.medal IS NOT NULL AND trim(e.medal) <> '') AS has_medal,
+         CASE WHEN regexp_matches(lower(e.event_name), '\\bsmall\\b|\\bred\\b') THEN 'Femminile'
+              WHEN regexp_matches(lower(e.event_name), '\\blarge\\b|\\bold\\b') THEN 'Maschile' ELSE 'Misto/Altro' END AS event_gender
+  FROM raw_events e LEFT JOIN bio b ON e.athlete_id = b.athlete_id
+  WHERE contains(lower(e.edition), 'summer') AND e.year BETWEEN 1995 AND 2001)"""
+
+UNITS_G = """gunits AS (
+  SELECT year, noc, sport, event, medal, event_gender FROM prep WHERE has_medal AND NOT is_team
+  UNION ALL
+  SELECT DISTINCT year, noc, sport, event, medal, event_gender FROM prep WHERE has_medal AND is_team)"""
+
+MBG = """mbg AS (
+  SELECT year, noc, medals_f, medals_m, medals_mixed, medals_tot,
+         medals_f / nullif(CAST(medals_f + medals_m AS DOUBLE), 0) AS share_f, medals_f - medals_m AS gap_fm,
+         medals_m / nullif(CAST(medals_f + medals_m AS DOUBLE), 0) AS share_m
+  FROM (SELECT year, noc, CAST(count(*) FILTER (WHERE event_gender = 'Femminile') AS BIGINT) AS medals_f,
+               CAST(count(*) FILTER (WHERE event_gender = 'Maschile') AS BIGINT) AS medals_m,
+               CAST(count(*) FILTER (WHERE event_gender = 'Misto/Altro') AS BIGINT) AS medals_mixed,
+               CAST(count(*) AS BIGINT) AS medals_tot FROM gunits GROUP BY year, noc))"""
+
+DEPS["raw_events"] = (RAW_EVENTS, ())
+DEPS["bio"] = (BIO, ())
+DEPS["prep"] = (PREP, ("raw_events", "bio"))
+DEPS["gunits"] = (UNITS_G, ("prep",))
+DEPS["mbg"] = (MBG, ("gunits",))

@@ -168,3 +168,41 @@ def roster(spark: SparkSession, d: str) -> DataFrame:
         (F.count(F.lit(1)) * 1000.0).alias("population"),
         (F.avg("o_totalprice") / BAND_SCALE).alias("gdp_pc"))
     return r.withColumn("label", income_band("gdp_pc"))
+
+
+# event-name rules for the test binding (part names stand in for event names)
+PART_GENDER_RULES = [("Femminile", r"\bsmall\b|\bred\b"), ("Maschile", r"\blarge\b|\bold\b")]
+
+
+def raw_events(spark: SparkSession, d: str) -> DataFrame:
+    """Athlete-event rows as they arrive: edition text, medal '' when none,
+    team flag as text ('True' / 'False')."""
+    li = load(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag", "l_linestatus")
+    o = load(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    c = load(spark, d, "customer").select("c_custkey", "c_nationkey")
+    p = load(spark, d, "part").select("p_partkey", "p_type", "p_name")
+    n = load(spark, d, "nation").select("n_nationkey", "n_name")
+    season = F.when(F.month("o_orderdate") <= 6, F.lit("Winter")).otherwise(F.lit("Summer"))
+    medal = F.when(F.col("l_returnflag") == "A", "Gold").when(F.col("l_returnflag") == "R", "Silver").otherwise("")
+    j = (li.join(o, li.l_orderkey == o.o_orderkey).join(c, F.col("o_custkey") == F.col("c_custkey"))
+         .join(p, F.col("l_partkey") == F.col("p_partkey"))
+         .join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")))
+    return j.select(F.year("o_orderdate").alias("year"),
+                    F.concat_ws(" ", F.year("o_orderdate").cast("string"), season).alias("edition"),
+                    F.col("n_name").alias("noc"), F.col("o_custkey").alias("athlete_id"),
+                    F.col("p_type").alias("sport"), F.col("l_partkey").alias("event"),
+                    F.col("p_name").alias("event_name"), medal.alias("medal"),
+                    F.when(F.col("l_linestatus") == "O", "True").otherwise("False").alias("is_team"))
+
+
+def bio(spark: SparkSession, d: str) -> DataFrame:
+    """Athlete biography: athlete_id, sex (NULL for one segment), country name
+    (padded with blanks for negative balances)."""
+    c = load(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal")
+    n = load(spark, d, "nation").select("n_nationkey", "n_name")
+    sex = F.when(F.col("c_mktsegment").isin("HOUSEHOLD", "FURNITURE"), "Female") \
+        .when(F.col("c_mktsegment").isin("MACHINERY", "BUILDING"), "Male")
+    name = F.when(F.col("c_acctbal") < 0, F.concat(F.lit(" "), F.col("n_name"), F.lit(" "))).otherwise(F.col("n_name"))
+    return c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey).select(
+        F.col("c_custkey").alias("athlete_id"), sex.alias("sex"), name.alias("country"),
+        F.col("n_name").alias("noc"))
