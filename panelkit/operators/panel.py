@@ -98,29 +98,45 @@ def edition_list(tally: DataFrame, year: str, edition: str) -> list[tuple]:
     return sorted((r[0], r[1]) for r in rows)
 
 
+def edition_stats(tally: DataFrame, year: str, edition: str, candidates: Sequence[str]) -> list[dict]:
+    """One small job: per (year, edition) the distinct count and the min of
+    each candidate column.  Bounded by the number of editions (checked)."""
+    aggs = [F.count(F.lit(1)).alias("__rows")]
+    for c in candidates:
+        aggs += [F.count_distinct(c).alias(f"__nd_{c}"), F.min(c).alias(f"__min_{c}")]
+    rows = tally.groupBy(year, edition).agg(*aggs).limit(MAX_EDITIONS + 1).collect()
+    if len(rows) > MAX_EDITIONS:
+        raise ValueError(f"more than {MAX_EDITIONS} editions; densify expects a bounded edition list")
+    return sorted((r.asDict() for r in rows), key=lambda r: (r[year], r[edition]))
+
+
 def densify(tally: DataFrame, entities: DataFrame, entity: str, year: str, edition: str,
             zero_cols: Sequence[str], fd_cols: Sequence[str] | None = None) -> DataFrame:
     """Add, for every (year, edition) of the tally, each entity of ``entities``
     that has no row there: ``zero_cols`` = 0, columns functionally dependent on
     (year, edition) copied when the group holds exactly one non-null value,
-    every other column NULL.  Returns original rows + added rows."""
-    eds = edition_list(tally, year, edition)
-    if fd_cols is None:
-        fd_cols = column_fd(tally, [year, edition],
-                            [c for c in tally.columns if c not in (entity, *zero_cols)])
-    fd_cols = [c for c in fd_cols if c not in (entity, year, edition, *zero_cols)]
-    ytype = dict(tally.dtypes)[year]
-    ed_arr = F.array(*[F.struct(F.lit(y).cast(ytype).alias(year), F.lit(e).alias(edition))
-                       for y, e in eds])
+    every other column NULL.  Returns original rows + added rows.
+
+    The edition list and the functional-dependency values come from one small
+    aggregation job; they are inlined as an array literal, so the added rows
+    are produced by a projection + explode per entity and one left-anti join."""
+    cands = [c for c in tally.columns if c not in (entity, year, edition, *zero_cols)]
+    if fd_cols is not None:
+        cands = [c for c in cands if c in fd_cols]
+    stats = edition_stats(tally, year, edition, cands)
+    fd = [c for c in cands if all(r[f"__nd_{c}"] <= 1 for r in stats)]
+    dtypes = dict(tally.dtypes)
+
+    def lit(v, c):
+        return F.lit(v).cast(dtypes[c])
+
+    ed_arr = F.array(*[F.struct(lit(r[year], year).alias(year), lit(r[edition], edition).alias(edition),
+                                *[lit(r[f"__min_{c}"] if r[f"__nd_{c}"] == 1 else None, c).alias(c) for c in fd])
+                       for r in stats])
     grid = (entities.select(entity).distinct()
             .select(entity, F.explode(ed_arr).alias("__ed"))
             .select(entity, "__ed.*"))
     absent = grid.join(tally.select(entity, year, edition), [entity, year, edition], "left_anti")
-    if fd_cols:
-        fd_vals = tally.groupBy(year, edition).agg(
-            *[F.when(F.min(c) == F.max(c), F.min(c)).alias(c) for c in fd_cols])
-        absent = absent.join(F.broadcast(fd_vals), [year, edition], "left")
-    dtypes = dict(tally.dtypes)
     fill = {c: F.lit(0).cast(dtypes[c]) for c in zero_cols}
     for c in tally.columns:
         if c not in absent.columns and c not in fill:
