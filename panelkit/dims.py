@@ -14,6 +14,7 @@ INCOME_BANDS = [
 ]
 INCOME_BAND_ORDER = [b[0] for b in INCOME_BANDS]
 INCOME_BAND_FALLBACK = "Ricchi avanzati"
+CLUSTER_ORDER = list(reversed(INCOME_BAND_ORDER))  # richest first
 
 # --- fixed values: event gender classification (lower-cased text, first match wins)
 EVENT_GENDER_RULES = [

@@ -157,3 +157,9 @@ DEPS["bio"] = (BIO, ())
 DEPS["prep"] = (PREP, ("raw_events", "bio"))
 DEPS["gunits"] = (UNITS_G, ("prep",))
 DEPS["mbg"] = (MBG, ("gunits",))
+
+PROFILES = """profiles AS (
+  SELECT s.noc, c.c_name AS country, s.year, r.gdp_pc, s.n_lines, s.qty, s.avg_disc, s.urgent_value
+  FROM series s LEFT JOIN roster r ON r.noc = s.noc AND r.year = s.year
+  LEFT JOIN customer c ON c.c_custkey = s.noc)"""
+DEPS["profiles"] = (PROFILES, ("series", "roster"))

@@ -206,3 +206,17 @@ def bio(spark: SparkSession, d: str) -> DataFrame:
     return c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey).select(
         F.col("c_custkey").alias("athlete_id"), sex.alias("sex"), name.alias("country"),
         F.col("n_name").alias("noc"))
+
+
+PROFILE_VARS = ["gdp_pc", "n_lines", "qty", "avg_disc", "urgent_value"]
+PROXY_VARS = ["n_lines", "qty", "avg_disc", "urgent_value"]
+
+
+def profiles(spark: SparkSession, d: str) -> DataFrame:
+    """Entity-year profile: series indicators plus gdp_pc from the roster
+    (NULL in years without finished orders) and the entity name."""
+    s = series(spark, d).select("noc", "year", "n_lines", "qty", "avg_disc", "urgent_value")
+    r = roster(spark, d).select("noc", "year", "gdp_pc")
+    c = load(spark, d, "customer").select(F.col("c_custkey").alias("noc"), F.col("c_name").alias("country"))
+    return s.join(r, ["noc", "year"], "left").join(c, "noc", "left") \
+        .select("noc", "country", "year", *PROFILE_VARS)
