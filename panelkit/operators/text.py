@@ -305,15 +305,17 @@ def grid_density_clusters(df: DataFrame, id_col: str, x: str, y: str, eps: float
         .select("cid", (F.col("cx") + F.col("o.dx")).alias("nx"), (F.col("cy") + F.col("o.dy")).alias("ny"))
     edges = cut_lineage(edges.join(nbr, ["nx", "ny"]).select("cid", "ncid"))
     labels = dense.select("cid", F.col("cid").alias("label"))
-    hops = 4  # propagation hops per round; lineage is cut and convergence checked once per round
     for _ in range(max_iter):
-        new = labels
-        for _h in range(hops):
-            nl = edges.join(new.select(F.col("cid").alias("ncid"), F.col("label").alias("nl")), "ncid") \
-                .groupBy("cid").agg(F.min("nl").alias("m"))
-            new = new.join(nl, "cid", "left").select(
-                "cid", F.least(F.col("label"), F.coalesce(F.col("m"), F.col("label"))).alias("label"))
-        new = cut_lineage(new)
+        # one hop of minimum-label propagation over adjacent dense cells ...
+        nl = edges.join(labels.select(F.col("cid").alias("ncid"), F.col("label").alias("nl")), "ncid") \
+            .groupBy("cid").agg(F.min("nl").alias("m"))
+        hop = cut_lineage(labels.join(nl, "cid", "left").select(
+            "cid", F.least(F.col("label"), F.coalesce(F.col("m"), F.col("label"))).alias("label")))
+        # ... then pointer jumping: a cell takes the label of its label (same
+        # component, never larger), so rounds grow with log(diameter)
+        jump = hop.select(F.col("cid").alias("label"), F.col("label").alias("l2"))
+        new = cut_lineage(hop.join(jump, "label", "left").select(
+            "cid", F.least(F.col("label"), F.coalesce(F.col("l2"), F.col("label"))).alias("label")))
         changed = new.join(labels.withColumnRenamed("label", "old"), "cid") \
             .filter(F.col("label") != F.col("old")).limit(1).count()
         labels = new

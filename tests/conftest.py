@@ -13,5 +13,6 @@ SF_CHECK = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from panelkit.session import get_spark
-    s = get_spark("local[4]", app="panelkit-tests", shuffle_partitions=8)
+    s = get_spark("local[4]", app="panelkit-tests", shuffle_partitions=8,
+                  extra={"spark.driver.memory": "8g"})
     yield s
