@@ -1 +1,171 @@
-"""Queries (to be filled)."""
+"""Predictive-model queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window, functions as F
+
+from .. import dims
+from ..operators import cluster as D
+from ..operators import features as C
+from ..operators import models as M
+from . import tables as tb
+from .catalog import QUERIES, r_sql, register, rounded
+from .sqlbase import with_
+
+V = tb.PROFILE_VARS
+ZF = ["z_" + c for c in V] + ["is_host"]
+REG_FEATURES = ["spend", "n_lines", "qty", "avg_disc", "prev_total"]
+
+
+def _base(spark, d):
+    """Entity-years with all five indicators; z-scored indicators + raw host flag."""
+    p = tb.profiles(spark, d)
+    for c in V:
+        p = p.filter(F.col(c).isNotNull())
+    hosts = tb.games(spark, d).select(F.col("host_noc").alias("noc"), "year").distinct().withColumn("is_host", F.lit(1))
+    b = p.join(hosts, ["noc", "year"], "left").withColumn("is_host", F.coalesce("is_host", F.lit(0)))
+    params = D.fit_scaler(b, V)
+    return b.withColumns(D.scaled_columns(params)).select("noc", "year", *ZF)
+
+
+def _train(spark, d):
+    return M.training_sets(_base(spark, d), tb.type_events(spark, d), ["noc", "year"], "sport", "won", 50)
+
+
+@register("models_training_set", with_("profiles", extra=["""ev AS (SELECT o.o_custkey AS noc, CAST(year(o.o_orderdate) AS INTEGER) AS year,
+      p.p_type AS sport, l.l_returnflag IN ('A', 'R') AS won
+    FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part p ON l.l_partkey = p.p_partkey)""",
+    f"""base AS (SELECT noc, year FROM profiles WHERE {' AND '.join(f'{c} IS NOT NULL' for c in V)})""",
+    "cats AS (SELECT sport FROM ev GROUP BY sport HAVING count(*) >= 50)",
+    "fl AS (SELECT DISTINCT noc, year, sport FROM ev WHERE won)"]) + """
+SELECT b.noc, b.year, c.sport, CASE WHEN fl.noc IS NOT NULL THEN 1 ELSE 0 END AS y
+FROM base b CROSS JOIN cats c LEFT JOIN fl ON fl.noc = b.noc AND fl.year = b.year AND fl.sport = c.sport""")
+def models_training_set(spark, d):
+    """M1: entity-years with complete indicators x sports with >= 50 rows; y = won."""
+    return _train(spark, d).select("noc", "year", "sport", "y")
+
+
+def _logit(spark, d):
+    return M.logit_per_category(_train(spark, d), ["noc", "year"], "sport", ZF, "y", 5, 1.0)
+
+
+@register("models_logit")
+def models_logit(spark, d):
+    """M2: balanced L2 logistic model per sport: 5-fold AUC, coefficients, winners."""
+    return _logit(spark, d)
+
+
+_MEMO: dict = {}
+
+
+def _trees(spark, d):
+    """Tree CV results are reused by M3 and M5 within one session."""
+    key = ("trees", id(spark), d)
+    if key not in _MEMO:
+        _MEMO[key] = M.trees_per_category(_train(spark, d), ["noc", "year"], "sport", ZF, "y", 5, 42)
+    return _MEMO[key]
+
+
+@register("models_trees")
+def models_trees(spark, d):
+    """M3: random forest and gradient boosting per sport: 5-fold AUC and importances."""
+    return _trees(spark, d)
+
+
+@register("models_tree_deltas")
+def models_tree_deltas(spark, d):
+    """M3: AUC gain of the tree models over the logistic model (> 0.01 counted)."""
+    return M.model_deltas(_logit(spark, d), _trees(spark, d), "sport", 0.01)
+
+
+@register("models_profile_probabilities")
+def models_profile_probabilities(spark, d):
+    """M4: win probability per sport for the median profile of each income band
+    (scaled like the training rows, host = 0) and the rich - poor gap."""
+    b = tb.profiles(spark, d)
+    for c in V:
+        b = b.filter(F.col(c).isNotNull())
+    params = D.fit_scaler(b, V)
+    med = D.coherence(b.withColumn("band", D.income_band("gdp_pc")), "band", V)
+    prof = med.withColumns(D.scaled_columns(params)).withColumn("is_host", F.lit(0.0))
+    coef = M.grouped_logit(_train(spark, d).withColumn("model", F.lit(-1)), ["sport", "model"], ZF, "y")
+    _, gap = M.profile_probabilities(coef, prof, "sport", "band", ZF, dims.CLUSTER_ORDER[0], dims.CLUSTER_ORDER[-1])
+    return gap
+
+
+@register("models_importance_compare")
+def models_importance_compare(spark, d):
+    """M5: normalised |logit coefficient| vs gradient-boosting importance per
+    feature, for the sport with the largest tree gain and the one with the smallest |gain|."""
+    lg, tr = _logit(spark, d), _trees(spark, d)
+    deltas = M.model_deltas(lg, tr, "sport").filter(F.col("model") == "gbt")
+    picks = deltas.agg(F.max_by("sport", "delta").alias("max_sport"),
+                       F.min_by("sport", F.abs("delta")).alias("min_sport")).first()
+    chosen = [picks["max_sport"], picks["min_sport"]]
+    coefs = lg.filter(F.col("sport").isin(chosen)).select(
+        "sport", *[F.abs(F.col(f"b_{f}")).alias(f) for f in ZF]).unpivot(["sport"], ZF, "feature", "abs_coef")
+    coefs = coefs.withColumn("coef_share", F.col("abs_coef") / F.sum("abs_coef").over(
+        Window.partitionBy("sport")))
+    imps = tr.filter((F.col("model") == "gbt") & F.col("sport").isin(chosen)).select(
+        "sport", *[F.col(f"imp_{f}").alias(f) for f in ZF]).unpivot(["sport"], ZF, "feature", "gbt_importance")
+    return coefs.join(imps, ["sport", "feature"])
+
+
+def _reg_data(spark, d):
+    p = QUERIES["panel_build"](spark, d).select("noc", "year", "edition", "total", *REG_FEATURES[:-1])
+    p = C.lag_features(p, "noc", ["year", "edition"], "total", lags=(1,))
+    p = p.dropna(subset=["total", *REG_FEATURES])
+    return p
+
+
+@register("models_bakeoff")
+def models_bakeoff(spark, d):
+    """M6: 5-fold R2 / MAE of OLS, ridge, lasso, random forest, gradient boosting
+    (complete rows up to 2000; features incl. previous total)."""
+    data = _reg_data(spark, d).filter(F.col("year") <= 2000)
+    return M.regression_bakeoff(data, ["noc", "edition"], REG_FEATURES, "total", 5)
+
+
+def _rf(spark, d):
+    data = _reg_data(spark, d).filter(F.col("year") <= 2000)
+    return M.rf_importance(data, REG_FEATURES, "total", 300, 8, 5)
+
+
+@register("models_rf_importance")
+def models_rf_importance(spark, d):
+    """M7: random-forest (300 x depth 8 x leaf 5) feature importances."""
+    return _rf(spark, d)[1]
+
+
+@register("models_holdout")
+def models_holdout(spark, d):
+    """M8: forest trained on years <= 2000, evaluated on 2001 (floored, 1 dp): R2, MAE."""
+    model, _ = _rf(spark, d)
+    test = _reg_data(spark, d).filter(F.col("year") == 2001).withColumn("total", F.col("total").cast("double"))
+    ev = M.holdout_eval(model, test, REG_FEATURES, "total")
+    return M.r2_mae(ev, "total", "pred")
+
+
+@register("models_scenario", with_("nation_year", extra=["""pc AS (SELECT *, (gdp - lag(gdp) OVER w) / nullif(lag(gdp) OVER w, 0) AS pct,
+      row_number() OVER (PARTITION BY noc ORDER BY year DESC) AS rn FROM nation_year WINDOW w AS (PARTITION BY noc ORDER BY year))""",
+    "g AS (SELECT noc, avg(pct) AS g FROM pc WHERE rn <= 3 GROUP BY noc)"]) + f"""
+SELECT p.noc, p.year, {r_sql('p.gdp', 2)} AS gdp, p.population, p.medals,
+  {r_sql(f'coalesce(least(greatest(g.g, {dims.GROWTH_CLIP[0]}), {dims.GROWTH_CLIP[1]}), {dims.GROWTH_DEFAULT})')} AS growth,
+  {r_sql(f'p.gdp * power(1 + coalesce(least(greatest(g.g, {dims.GROWTH_CLIP[0]}), {dims.GROWTH_CLIP[1]}), {dims.GROWTH_DEFAULT}), 2)', 2)} AS gdp_next,
+  {r_sql(f'p.population * {dims.POP_GROWTH}')} AS pop_next, p.medals AS prev_medals
+FROM pc p LEFT JOIN g ON g.noc = p.noc WHERE p.rn = 1""")
+def models_scenario(spark, d):
+    """M9: next-edition scenario per nation: clipped mean growth of the last
+    three GDP changes, GDP x (1+g)^2, population x 1.015, previous medals."""
+    ny = tb.nation_year(spark, d).select("noc", "year", "gdp", "population", "medals")
+    out = M.project_scenario(ny, "noc", "year", "gdp", "population", "medals")
+    out = out.select("noc", "year", "gdp", "population", "medals", "growth", "gdp_next", "pop_next", "prev_medals")
+    return rounded(rounded(out, 2, ["gdp", "gdp_next"]), 6, ["growth", "pop_next"])
+
+
+@register("models_forecast_interval")
+def models_forecast_interval(spark, d):
+    """2001 forecast per entity-edition with the 10th / 90th percentile of the trees."""
+    model, _ = _rf(spark, d)
+    rows = _reg_data(spark, d).filter(F.col("year") == 2001)
+    return M.forecast_interval(model, rows, REG_FEATURES).select("noc", "edition", "total", "pred", "p_lo", "p_hi")

@@ -220,3 +220,13 @@ def profiles(spark: SparkSession, d: str) -> DataFrame:
     c = load(spark, d, "customer").select(F.col("c_custkey").alias("noc"), F.col("c_name").alias("country"))
     return s.join(r, ["noc", "year"], "left").join(c, "noc", "left") \
         .select("noc", "country", "year", *PROFILE_VARS)
+
+
+def type_events(spark: SparkSession, d: str) -> DataFrame:
+    """(noc = customer, year, sport = part type, won = return flag A or R) per line item."""
+    li = load(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag")
+    o = load(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    p = load(spark, d, "part").select("p_partkey", "p_type")
+    return (li.join(o, li.l_orderkey == o.o_orderkey).join(p, F.col("l_partkey") == F.col("p_partkey"))
+            .select(F.col("o_custkey").alias("noc"), F.year("o_orderdate").alias("year"),
+                    F.col("p_type").alias("sport"), F.col("l_returnflag").isin("A", "R").alias("won")))
