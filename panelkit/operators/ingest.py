@@ -23,35 +23,34 @@ def read_entity_series(spark: SparkSession, path_glob: str, *, year_col: str = "
     skipped = files without the year column.  Each file is read whole by one
     task (files are per entity and small); nothing passes through the driver.
     Use :func:`to_wide` with :func:`indicator_order` for the wide frame."""
-    reader = spark.read.option("wholetext", True)
+    reader = spark.read
     if encoding:
         reader = reader.option("encoding", encoding)
-    raw = reader.text(path_glob).select(
+    raw = reader.text(path_glob, wholetext=True).select(
         F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias(entity),
         F.col("value"))
     lines = raw.select(entity, F.posexplode(F.split("value", r"\r?\n")).alias("ln", "line")) \
         .filter(F.trim("line") != "")
-    width = 512
-    row_schema = ", ".join(f"c{i} string" for i in range(width))
-    opts = {"sep": sep, "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
-    parsed = lines.select(entity, "ln", F.from_csv("line", row_schema, opts).alias("r"))
-    arr = F.array(*[F.col(f"r.c{i}") for i in range(width)])
+    # fields: split on the separator, trimmed, surrounding quotes removed
+    # (quoted separators inside a field are not supported by this reader)
+    fields = F.transform(F.split("line", re.escape(sep)),
+                         lambda x: F.regexp_replace(F.trim(x), r'^"|"$', ""))
+    parsed = lines.select(entity, "ln", fields.alias("vals"))
     first_ln = parsed.groupBy(entity).agg(F.min("ln").alias("ln"))
-    header = parsed.join(first_ln, [entity, "ln"]).select(
-        entity, F.filter(arr, lambda x: x.isNotNull()).alias("names"))
+    header = parsed.join(first_ln, [entity, "ln"]).select(entity, F.col("vals").alias("names"))
     has_year = F.array_contains("names", year_col)
     skipped = header.filter(~has_year).select(entity)
     body = parsed.join(first_ln.withColumnRenamed("ln", "hdr"), entity) \
-        .filter(F.col("ln") > F.col("hdr")).select(entity, "ln", arr.alias("vals"))
+        .filter(F.col("ln") > F.col("hdr")).select(entity, "ln", "vals")
     cells = body.join(header.filter(has_year), entity).select(
         entity, "ln", "names",
         F.posexplode(F.slice("vals", 1, F.size("names"))).alias("i", "v"))
     cells = cells.withColumn("name", F.element_at("names", F.col("i") + 1))
     years = cells.filter(F.col("name") == year_col).select(
-        entity, "ln", to_int(F.regexp_extract(F.trim("v"), rf"^{re.escape(year_prefix)}?(\d+)$", 1))
+        entity, "ln", to_int(F.regexp_extract(F.trim("v"), rf"^(?:{re.escape(year_prefix)})?(\d+)$", 1))
         .alias("year"))
     vals = cells.filter(F.col("name") != year_col).select(
-        entity, "ln", F.col("name").alias("indicator"), to_double("v").alias("value"),
+        entity, "ln", F.col("name").alias("indicator"), to_double(F.when(F.col("v") != "", F.col("v"))).alias("value"),
         F.col("i").alias("pos"))
     long = vals.join(years, [entity, "ln"], "left").select(entity, "year", "indicator", "value", "pos")
     return long, skipped
