@@ -273,3 +273,15 @@ HAVING sum(medals) > 0 AND sum(medals) < round((SELECT sum(medals) FROM mr) * 0.
 def stats_small_countries(spark, d):
     """Countries whose medal sum is below round(0.0001 x total)."""
     return H.small_countries(_rank(spark, d), "noc", 0.0001)
+
+
+@register("cat_headline")
+def cat_headline(spark, d):
+    """One row of headline facts: first / last year female medal share,
+    nation with the highest share, indicator with the largest r(F) - r(M)."""
+    from ..operators import category as G
+    trend = QUERIES["cat_global_trend"](spark, d)
+    shares = QUERIES["cat_country_share"](spark, d)
+    g = H.corr_grid(_zp(spark, d), XS, YS, 30)
+    diffs = H.corr_difference(g, "x", "y", "log_medals_f", "log_medals_m").withColumnRenamed("x", "indicator")
+    return G.headline_facts(trend, shares, diffs, "year", "noc")
