@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import dims
 from ..functions.semantics import bands_closed_left, div, last_non_null, row_non_null_count
+from ..functions.quantiles import exact_medians
 from ..session import cut_lineage
 
 
@@ -40,7 +41,7 @@ def latest_profile(df: DataFrame, entity: str, time: str, cols: Sequence[str], m
 def fit_scaler(df: DataFrame, cols: Sequence[str]) -> dict:
     """Exact median (imputation), then mean and population sd of the imputed
     columns.  Two small aggregation jobs; returns plain numbers."""
-    med = df.agg(*[F.median(c).alias(c) for c in cols]).first().asDict()
+    med = exact_medians(df, cols).first().asDict()
     imp = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(med[c])).alias(c) for c in cols])
     mom = imp.agg(*[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]).first()
     return {"median": med, "mean": {c: mom[f"m_{c}"] for c in cols},
@@ -63,7 +64,7 @@ def assign_missing_band(df: DataFrame, band: str, proxies: Sequence[str], out: s
     on the banded rows.  Ties go to the first band in sorted order."""
     known = df.filter(F.col(band).isNotNull())
     params = fit_scaler(known, proxies)
-    cents = known.groupBy(band).agg(*[F.median(c).alias(c) for c in proxies]).collect()  # bands x proxies
+    cents = exact_medians(known, proxies, [band]).collect()  # bands x proxies
     cents = sorted(cents, key=lambda r: r[band])
     z = scaled_columns(params)
     dists = []
@@ -236,8 +237,10 @@ def compare_labels(a: DataFrame, b: DataFrame, key: str, la: str, lb: str) -> Da
 
 
 def coherence(df: DataFrame, label: str, cols: Sequence[str]) -> DataFrame:
-    """Median of each variable per label."""
-    return df.groupBy(label).agg(*[F.median(c).alias(c) for c in cols], F.count(F.lit(1)).alias("n"))
+    """Median of each variable per label (distributed exact medians)."""
+    n = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    med = exact_medians(df, cols, [label])
+    return n.join(med, n[label].eqNullSafe(med[label]), "left").drop(med[label])
 
 
 def outcome_table(panel: DataFrame, entity: str, time: str, total: str, gdp_pc: str, pop: str,

@@ -13,21 +13,27 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..functions.quantiles import exact_quantiles_wide
 from ..functions.semantics import clean_text, is_blank, require_columns
 
 
 def describe_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Count, mean, sd (ddof 1), min, 25/50/75 % (linear interpolation), max
-    per column; one aggregation pass, output (column, count, mean, std, min, p25, p50, p75, max)."""
-    aggs = []
+    per column: one aggregation pass for the moments, distributed exact
+    quantiles (no column gathered into one task).  Output (column, count,
+    mean, std, min, p25, p50, p75, max)."""
+    spark = df.sparkSession
+    mom = df.agg(*[F.struct(F.count(F.col(c).cast("double")).alias("count"), F.avg(F.col(c).cast("double")).alias("mean"),
+                            F.stddev_samp(F.col(c).cast("double")).alias("std"), F.min(F.col(c).cast("double")).alias("min"),
+                            F.max(F.col(c).cast("double")).alias("max")).alias(c) for c in cols]).first()
+    qs = exact_quantiles_wide(df, cols, [0.25, 0.5, 0.75])
+    rows = []
     for c in cols:
-        x = F.col(c).cast("double")
-        aggs.append(F.struct(F.lit(c).alias("column"), F.count(x).alias("count"), F.avg(x).alias("mean"),
-                             F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
-                             F.percentile(x, 0.25).alias("p25"), F.percentile(x, 0.5).alias("p50"),
-                             F.percentile(x, 0.75).alias("p75"), F.max(x).alias("max")).alias(c))
-    one = df.agg(*aggs)
-    return one.select(F.explode(F.array(*[F.col(c) for c in cols])).alias("s")).select("s.*")
+        qv = qs.get((c,), {})
+        m = mom[c]
+        rows.append((c, m["count"], m["mean"], m["std"], m["min"], qv.get(0.25), qv.get(0.5), qv.get(0.75), m["max"]))
+    return spark.createDataFrame(rows, "column string, count long, mean double, std double, min double, "
+                                       "p25 double, p50 double, p75 double, max double")
 
 
 def rule_violations(df: DataFrame, parts: Sequence[str], total: str) -> DataFrame:
