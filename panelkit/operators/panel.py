@@ -21,6 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.semantics import require_columns
+from ..session import cut_lineage
 
 MAX_EDITIONS = 100_000  # editions are (year, season) pairs; far below this in practice
 
@@ -148,11 +149,16 @@ def densify(tally: DataFrame, entities: DataFrame, entity: str, year: str, editi
 def build_panel(tally: DataFrame, games: DataFrame, series: DataFrame, *, entity: str = "noc",
                 year: str = "year", edition: str = "edition", medals: Sequence[str] = (),
                 host_values: Sequence[str] = ("host_country", "host_city"),
-                indicators: Sequence[str] | None = None, n: int = 4) -> DataFrame:
+                indicators: Sequence[str] | None = None, n: int = 4, materialize: bool = True) -> DataFrame:
     """Tally + host per (year, edition) + trailing means + zero-filled rows.
-    Column order: tally columns, host columns, indicators."""
+    Column order: tally columns, host columns, indicators.  With
+    ``materialize`` the (aggregated, much smaller) tally and series are
+    written once to the checkpoint folder instead of being recomputed from
+    the raw facts by each branch of the plan."""
     require_columns(tally, [entity, year, edition, *medals], "tally")
     indicators = list(indicators or [c for c in series.columns if c not in (entity, year)])
+    if materialize:  # both inputs are read 2-3 times below; aggregate the raw facts only once
+        tally, series = cut_lineage(tally), cut_lineage(series)
     dense = densify(tally, series.select(entity), entity, year, edition, list(medals))
     hosts, _ = host_lookup(games, [year, edition], list(host_values))
     with_host = dense.join(F.broadcast(hosts), [year, edition], "left")
@@ -170,6 +176,7 @@ def missing_report(tally: DataFrame, games: DataFrame, series: DataFrame, *, ent
     without series; 3: entity-edition with window years absent from the
     series; 9: "No missing data found." when nothing else was found."""
     keys = list(conflict_keys or [year, edition])
+    tally, series = cut_lineage(tally), cut_lineage(series)  # each is read several times below
     _, conflicts = host_lookup(games, keys, list(host_values))
     key_txt = F.concat_ws(", ", *[F.concat(F.lit(f"{k}="), F.col(k).cast("string")) for k in keys])
     s0 = conflicts.select(F.lit(0).alias("section"),
