@@ -271,13 +271,15 @@ def cluster_outcome_clusters(spark, d):
     return D.outcome_names(scored, "cluster").select("noc", "cluster", "cluster_name")
 
 
-@register("cluster_spot_check", W() + f"""
+@register("cluster_spot_check", with_("profiles", "games", extra=[_LATEST, _BANDED]) + f"""
 SELECT noc, country, {', '.join(r_sql(c) + ' AS ' + c for c in V)},
   array_to_string(list_filter([{', '.join(f"CASE WHEN {c} IS NULL THEN '{c}' END" for c in V)}], lambda x: x IS NOT NULL), ', ') AS missing,
   CAST(({' + '.join(f'({c} IS NULL)::INT' for c in V)}) AS INTEGER) AS n_missing,
   ({' + '.join(f'({c} IS NULL)::INT' for c in V)}) = {len(V)} AS all_missing
-FROM latest WHERE regexp_matches(country, '(?i)#00000001[0-4]') OR noc IN (7, 42)""")
+FROM latest WHERE regexp_matches(country, '(?i)#00000001[0-4]') OR noc IN (SELECT host_noc FROM games)""")
 def cluster_spot_check(spark, d):
-    """Spot check of named entities: which indicators are missing."""
-    r = D.spot_check(_latest(spark, d), "country", "noc", r"#00000001[0-4]", [7, 42], V)
+    """Spot check of entities named by a pattern or listed as codes (here
+    the edition hosts): which indicators are missing."""
+    hosts = sorted(r[0] for r in tb.games(spark, d).select("host_noc").distinct().limit(100_001).collect())
+    r = D.spot_check(_latest(spark, d), "country", "noc", r"#00000001[0-4]", hosts, V)
     return rounded(r, 6)

@@ -23,6 +23,10 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, *, sep:
          .option("mode", "PERMISSIVE").option("ignoreLeadingWhiteSpace", strip_leading))
     if keep_text:
         r = r.option("nullValue", "\u0000").option("nanValue", "\u0000").option("emptyValue", "")
+        df = r.csv(path)
+        return df.select(*[F.coalesce(F.col(f"`{f.name}`"), F.lit("")).alias(f.name)
+                           if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`")
+                           for f in df.schema.fields])
     return r.csv(path)
 
 
