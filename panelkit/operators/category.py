@@ -214,4 +214,6 @@ def headline_facts(trend: DataFrame, shares: DataFrame, diffs: DataFrame, time:
                    F.max("share_f").alias("top_share_f"))
     dd = diffs.agg(F.max_by("indicator", F.struct(F.abs("diff"), "indicator")).alias("largest_diff_indicator"),
                    F.max(F.abs("diff")).alias("largest_abs_diff"))
-    return t.crossJoin(s).crossJoin(dd)
+    row = {**t.first().asDict(), **s.first().asDict(), **dd.first().asDict()}  # three one-row aggregates
+    schema = ", ".join(f"{k} {dict(t.dtypes + s.dtypes + dd.dtypes)[k]}" for k in row)
+    return trend.sparkSession.createDataFrame([tuple(row.values())], schema)
