@@ -3,10 +3,11 @@ missing-data findings and the composed panel builder (the flagship job).
 
 Physical shape (what ``explain`` shows for :func:`build_panel`):
 
-* trailing mean — the series side is exploded to its ``n`` target years and
-  partially aggregated *before* the shuffle on (entity, target year); it then
-  meets the panel in one equi-join (no range join, no per-row lookups).  A hot
-  entity cannot skew it: after aggregation there is one row per key.
+* trailing mean — panel rows and the (aggregated) series are unioned and one
+  window per entity with a RANGE frame [y-n, y-1] computes the means: one
+  shuffle by entity, no range join, no join back.  A window partition holds
+  one entity's series years plus its panel rows, so a hot entity cannot skew
+  it (its raw facts were aggregated into <= one row per year first).
 * host lookup — the games table has one row per edition (bounded by the number
   of distinct editions), so it is broadcast.
 * densify — the edition list is bounded (checked), turned into an array
@@ -29,35 +30,36 @@ MAX_EDITIONS = 100_000  # editions are (year, season) pairs; far below this in p
 def trailing_mean(panel: DataFrame, series: DataFrame, entity: str, year: str,
                   indicators: Sequence[str], n: int = 4) -> DataFrame:
     """Append the skip-null mean of each indicator over years y-n .. y-1 of the
-    same entity.  No series rows in the window -> NULL."""
+    same entity.  No series rows in the window -> NULL.
+
+    Panel rows and series rows are unioned and one window per entity with a
+    RANGE frame [y-n, y-1] computes the means: a single shuffle by entity and
+    no join back.  A window partition holds one entity's series years plus its
+    panel rows, so it stays small even for an entity with a huge share of the
+    raw facts (those were aggregated into the series first)."""
     require_columns(series, [entity, year, *indicators], "series")
-    tgt = "__target_year"
-    shifted = series.select(
-        F.col(entity), F.explode(F.sequence(F.col(year) + 1, F.col(year) + n)).alias(tgt),
-        *[F.col(c) for c in indicators])
-    means = (shifted.groupBy(entity, tgt)
-             .agg(*[F.avg(c).alias(c) for c in indicators])
-             .withColumnRenamed(tgt, year))
-    base = panel.drop(*[c for c in indicators if c in panel.columns])
-    return base.join(means, [entity, year], "left")
+    probe = "__panel_row"
+    base = panel.drop(*[c for c in indicators if c in panel.columns]).withColumn(probe, F.lit(True))
+    s = series.select(entity, year, *[F.col(c) for c in indicators]).withColumn(probe, F.lit(False))
+    u = base.unionByName(s, allowMissingColumns=True)
+    w = Window.partitionBy(entity).orderBy(F.col(year)).rangeBetween(-n, -1)
+    means = {c: F.avg(F.when(~F.col(probe), F.col(c))).over(w) for c in indicators}
+    return u.withColumns(means).filter(F.col(probe)).drop(probe)
 
 
 def window_years_present(keys: DataFrame, series: DataFrame, entity: str, year: str,
                          n: int = 4) -> DataFrame:
     """For each distinct (entity, year) of ``keys``: the sorted list of window
-    years y-n..y-1 that have no series row (availability = row exists)."""
-    tgt = "__target_year"
-    avail = (series.select(entity, year).distinct()
-             .select(entity, F.col(year).alias("__src"),
-                     F.explode(F.sequence(F.col(year) + 1, F.col(year) + n)).alias(tgt))
-             .groupBy(entity, tgt).agg(F.collect_set("__src").alias("__have"))  # <= n values
-             .withColumnRenamed(tgt, year))
-    k = keys.select(entity, year).distinct()
-    j = k.join(avail, [entity, year], "left")
+    years y-n..y-1 that have no series row (availability = row exists).  Same
+    union + RANGE-frame window as :func:`trailing_mean` (at most n years per frame)."""
+    probe = "__key_row"
+    k = keys.select(entity, year).distinct().withColumn(probe, F.lit(True))
+    s = series.select(entity, year).distinct().withColumn(probe, F.lit(False))
+    w = Window.partitionBy(entity).orderBy(F.col(year)).rangeBetween(-n, -1)
+    have = F.collect_set(F.when(~F.col(probe), F.col(year))).over(w)
+    j = k.unionByName(s).withColumn("__have", have).filter(F.col(probe))
     wanted = F.sequence(F.col(year) - n, F.col(year) - 1)
-    return j.select(entity, year, F.array_sort(
-        F.array_except(wanted, F.coalesce(F.col("__have"), F.array().cast("array<int>"))))
-        .alias("missing_years"))
+    return j.select(entity, year, F.array_sort(F.array_except(wanted, F.col("__have"))).alias("missing_years"))
 
 
 def host_lookup(games: DataFrame, keys: Sequence[str], values: Sequence[str],
