@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..operators import composition as E
 from . import tables as tb
+from ..session import cut_lineage
 from .catalog import r_sql, register, rounded
 from .sqlbase import with_
 
@@ -50,8 +51,12 @@ def _top(spark, d):
 
 
 def _grid(spark, d):
-    u = _units(spark, d)
-    return E.counts_grid(u, "label", "sport", ORDER, E.category_list(_top(spark, d), "sport"))
+    """(label, sport) counts aggregated once and materialised (labels x sports
+    rows); the top-sport list and the zero-filled grid both read that small
+    table, so the medal rows are scanned once."""
+    counts = cut_lineage(_units(spark, d).groupBy("label", "sport").agg(F.sum("count").alias("n")))
+    top = E.top_categories(counts, "sport", TOP_N, weight="n")
+    return E.counts_grid(counts, "label", "sport", ORDER, E.category_list(top, "sport"), weight="n")
 
 
 def _rates(spark, d):
