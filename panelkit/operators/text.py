@@ -322,7 +322,9 @@ def grid_density_clusters(df: DataFrame, id_col: str, x: str, y: str, eps: float
         if changed == 0:
             break
     sizes = labels.join(dense.select("cid", "n"), "cid").groupBy("label").agg(F.sum("n").alias("size"))
-    lab = labels.join(sizes.filter(F.col("size") >= min_cluster_size), "label") \
-        .join(dense.select("cid", "cx", "cy"), "cid").select("cx", "cy", "label")
+    kept = sizes.filter(F.col("size") >= min_cluster_size).select(
+        "label", (F.dense_rank().over(Window.orderBy("label")) - 1).alias("cluster_id"))  # one row per cluster
+    lab = labels.join(kept, "label").join(dense.select("cid", "cx", "cy"), "cid") \
+        .select("cx", "cy", F.col("cluster_id").alias("label"))
     return cells.join(lab, ["cx", "cy"], "left").select(
         id_col, "cx", "cy", F.coalesce(F.col("label"), F.lit(-1)).alias("cluster"))
