@@ -275,13 +275,29 @@ def stats_small_countries(spark, d):
     return H.small_countries(_rank(spark, d), "noc", 0.0001)
 
 
-@register("cat_headline")
+def _headline_sql() -> str:
+    return (f"WITH gt AS ({ORACLE['cat_global_trend']}), cs AS ({ORACLE['cat_country_share']}),\n"
+            + _zp_sql().replace("WITH ", "", 1) + f""",
+g AS (SELECT x, y, r FROM ({_grid_sql()}) WHERE n >= 30 AND ok),
+df AS (SELECT x AS indicator, max(CASE WHEN y = 'log_medals_f' THEN r END) - max(CASE WHEN y = 'log_medals_m' THEN r END) AS diff
+       FROM g GROUP BY x HAVING diff IS NOT NULL)
+SELECT (SELECT arg_min(value, year) FROM gt WHERE measure = 'share_f') AS first_share_f,
+  (SELECT arg_max(value, year) FROM gt WHERE measure = 'share_f') AS last_share_f,
+  (SELECT min(year) FROM gt WHERE measure = 'share_f') AS first_year,
+  (SELECT max(year) FROM gt WHERE measure = 'share_f') AS last_year,
+  (SELECT arg_max(noc, (share_f, noc)) FROM cs) AS top_entity,
+  (SELECT max(share_f) FROM cs) AS top_share_f,
+  (SELECT arg_max(indicator, (abs(diff), indicator)) FROM df) AS largest_diff_indicator,
+  (SELECT {r_sql('max(abs(diff))')} FROM df) AS largest_abs_diff""")
+
+
+@register("cat_headline", _headline_sql())
 def cat_headline(spark, d):
     """One row of headline facts: first / last year female medal share,
-    nation with the highest share, indicator with the largest r(F) - r(M)."""
+    nation with the highest share, indicator with the largest |r(F) - r(M)|."""
     from ..operators import category as G
     trend = QUERIES["cat_global_trend"](spark, d)
     shares = QUERIES["cat_country_share"](spark, d)
     g = H.corr_grid(_zp(spark, d), XS, YS, 30)
     diffs = H.corr_difference(g, "x", "y", "log_medals_f", "log_medals_m").withColumnRenamed("x", "indicator")
-    return G.headline_facts(trend, shares, diffs, "year", "noc")
+    return rounded(G.headline_facts(trend, shares, diffs, "year", "noc"), 6)
