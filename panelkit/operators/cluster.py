@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .. import dims
 from ..functions.semantics import bands_closed_left, div, last_non_null, row_non_null_count
 from ..functions.quantiles import exact_medians
-from ..session import cut_lineage
+from ..session import cut_lineage, run_concurrently
 
 
 def income_band(gdp_pc: str, bands=None, fallback: str | None = None) -> F.Column:
@@ -95,13 +95,15 @@ def fit_kmeans(df: DataFrame, feature_cols: Sequence[str], k: int, n_init: int =
     """K-means restarted ``n_init`` times (seeds seed .. seed+n_init-1); the
     model with the lowest training cost wins.  Returns (model, cost)."""
     data = data if data is not None else feature_table(df, feature_cols)
-    best = None
-    for s in range(n_init):
-        m = KMeans(k=k, seed=seed + s, maxIter=max_iter, featuresCol="features").fit(data)
-        cost = m.summary.trainingCost
-        if best is None or cost < best[1]:
-            best = (m, cost)
-    return best
+
+    def fit(s):
+        def run():
+            m = KMeans(k=k, seed=seed + s, maxIter=max_iter, featuresCol="features").fit(data)
+            return m, m.summary.trainingCost
+        return run
+
+    fits = run_concurrently([fit(s) for s in range(n_init)], n_init)  # independent restarts
+    return min(fits, key=lambda mc: mc[1])
 
 
 def predict(model, df: DataFrame, feature_cols: Sequence[str], out: str = "cluster") -> DataFrame:
@@ -129,10 +131,13 @@ def k_sweep(df: DataFrame, feature_cols: Sequence[str], ks: Sequence[int] = rang
     data = feature_table(df, feature_cols)
     ev = ClusteringEvaluator(featuresCol="features", predictionCol="prediction",
                              distanceMeasure="squaredEuclidean")
-    rows = []
-    for k in ks:
-        m, cost = fit_kmeans(df, feature_cols, k, n_init, seed, data=data)
-        rows.append((int(k), float(cost), float(ev.evaluate(m.transform(data)))))
+    def one(k):
+        def run():
+            m, cost = fit_kmeans(df, feature_cols, k, n_init, seed, data=data)
+            return int(k), float(cost), float(ev.evaluate(m.transform(data)))
+        return run
+
+    rows = run_concurrently([one(k) for k in ks], len(list(ks)))
     return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from .. import dims
 from ..functions.semantics import div
-from ..session import cut_lineage
+from ..session import cut_lineage, run_concurrently
 
 
 def training_sets(base: DataFrame, events: DataFrame, keys: Sequence[str], category: str, won: str,
@@ -149,12 +149,7 @@ def _assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def _parallel(tasks, workers: int = 8):
-    """Run independent model fits as concurrent Spark jobs (driver threads);
-    each fit is a chain of small jobs, so running them side by side keeps the
-    executors busy instead of waiting on job latency."""
-    from concurrent.futures import ThreadPoolExecutor
-    with ThreadPoolExecutor(max_workers=workers) as ex:
-        return list(ex.map(lambda t: t(), tasks))
+    return run_concurrently(tasks, workers)
 
 
 def trees_per_category(data: DataFrame, keys: Sequence[str], category: str, features: Sequence[str],

@@ -65,3 +65,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{base}/table-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def run_concurrently(tasks, workers: int = 8) -> list:
+    """Run independent Spark actions (e.g. model fits) as concurrent jobs from
+    driver threads; results in task order.  Each fit is a chain of small jobs,
+    so running them side by side keeps executors busy instead of waiting on
+    job latency."""
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=max(1, workers)) as ex:
+        return list(ex.map(lambda t: t(), tasks))
