@@ -32,6 +32,9 @@ from ..functions.semantics import div
 from ..session import cut_lineage, run_concurrently
 
 
+MAX_GROUPS = 100_000  # model groups (categories x folds) whose coefficients are broadcast
+
+
 def training_sets(base: DataFrame, events: DataFrame, keys: Sequence[str], category: str, won: str,
                   min_rows: int = 50, max_categories: int = 10_000) -> DataFrame:
     """M1: base rows x categories with >= ``min_rows`` event rows; y = 1 when
@@ -70,7 +73,9 @@ def grouped_logit(df: DataFrame, group: Sequence[str], features: Sequence[str],
     d = _balanced_weights(df, group, label) if balanced else df.withColumn("__sw", F.lit(1.0))
     d = cut_lineage(d.select(*group, *[F.col(f).cast("double").alias(f) for f in feats],
                              F.col(label).cast("double").alias("__y"), "__sw"))
-    keys = [tuple(r) for r in d.select(*group).distinct().collect()]  # groups: categories x folds
+    keys = [tuple(r) for r in d.select(*group).distinct().limit(MAX_GROUPS + 1).collect()]  # categories x folds
+    if len(keys) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} model groups")
     gtypes = dict(d.dtypes)
     beta = {k: np.zeros(p) for k in keys}
     xs = [F.lit(1.0)] + [F.col(f) for f in feats]
@@ -161,7 +166,9 @@ def trees_per_category(data: DataFrame, keys: Sequence[str], category: str, feat
     d = cut_lineage(_assemble(_balanced_weights(
         data.withColumn("fold", fold_column([*keys, category], k)), [category], label)
         .withColumn(label, F.col(label).cast("double")), features))
-    cats = sorted(r[0] for r in d.select(category).distinct().collect())
+    cats = sorted(r[0] for r in d.select(category).distinct().limit(MAX_GROUPS + 1).collect())
+    if len(cats) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} categories")
     spark = data.sparkSession
     makers = {
         "rf": lambda: RandomForestClassifier(labelCol=label, numTrees=300, maxDepth=5, minInstancesPerNode=5,
