@@ -204,7 +204,9 @@ def missing_report(tally: DataFrame, games: DataFrame, series: DataFrame, *, ent
                                   F.col(edition),
                                   F.array_join(F.col("missing_years").cast("array<string>"), ", "))
                   .alias("line")))
-    found = s0.unionByName(s1).unionByName(s2).unionByName(s3)
+    # findings are small (report lines); materialise them once so the
+    # "nothing found" check reads that table instead of recomputing every branch
+    found = cut_lineage(s0.unionByName(s1).unionByName(s2).unionByName(s3))
     none = (found.agg(F.count(F.lit(1)).alias("k")).filter("k = 0")
             .select(F.lit(9).alias("section"), F.lit("No missing data found.").alias("line")))
     return found.unionByName(none)
