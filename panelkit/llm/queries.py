@@ -1,6 +1,6 @@
 """All queries of the training-data operators (imported for their registration)."""
 
-from . import exact_dedup, secrets  # noqa: F401
+from . import exact_dedup, secrets, substring_dedup  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
