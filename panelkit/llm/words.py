@@ -18,6 +18,9 @@ IS_WORD = np.ones(256, bool)
 IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Lower case, and ASCII punctuation as white space.
+BARE = LOWER.copy()
+BARE[[i for i in range(128) if not chr(i).isalnum()]] = 0x20
 #: Bytes of text that are handled at once (a longer text is a chunk alone).
 CHUNK = 2 << 20
 
@@ -87,15 +90,20 @@ def chunks(column: pa.Array, limit: int = CHUNK):
         row = to
 
 
-def split(texts: pa.Array, lower: bool = False) -> Words:
-    """The words of an Arrow string array without nulls."""
+def split(texts: pa.Array, fold: np.ndarray | None = None) -> Words:
+    """The words of an Arrow string array without nulls; ``fold`` maps bytes
+    first (LOWER, or BARE, which also lowers the accented Latin capitals)."""
     wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
     _, at, data = texts.buffers()
     at = np.frombuffer(at, np.int64 if wide else np.int32)[texts.offset: texts.offset + len(texts) + 1].astype(np.int64)
     raw = np.frombuffer(data, np.uint8)[at[0]: at[-1]] if data is not None else np.zeros(0, np.uint8)
     at = at - at[0]
-    if lower:
-        raw = LOWER[raw]
+    if fold is not None:
+        raw = fold[raw]
+    if fold is BARE:
+        latin = np.zeros(len(raw), bool)
+        latin[1:] = raw[:-1] == 0xC3
+        raw[latin & (raw >= 0x80) & (raw <= 0x9E) & (raw != 0x97)] += 0x20
     word = IS_WORD[raw]
     before = np.zeros(len(raw), bool)
     before[1:] = word[:-1]
