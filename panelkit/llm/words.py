@@ -69,11 +69,16 @@ class Words:
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
+    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of byte spans."""
+        if not hasattr(self, "_total"):
+            up, self._down = _BYTES.to(len(self.data) + 1)
+            self._total = np.zeros(len(self.data) + 1, np.uint64)
+            np.cumsum(BYTE[self.data] * up[: len(self.data)], out=self._total[1:])
+        return mix((self._total[end] - self._total[start]) * self._down[start] + (end - start).astype(np.uint64))
+
     def hashes(self) -> np.ndarray:
-        up, down = _BYTES.to(len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(BYTE[self.data] * up[: len(self.data)], out=total[1:])
-        return mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
+        return self.spans(self.start, self.end)
 
 
 def chunks(column: pa.Array, limit: int = CHUNK):
