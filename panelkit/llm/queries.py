@@ -1,6 +1,6 @@
 """All queries of the training-data operators (imported for their registration)."""
 
-from . import decontaminate, exact_dedup, secrets, substring_dedup, toxicity  # noqa: F401
+from . import decontaminate, exact_dedup, jaccard_join, secrets, substring_dedup, toxicity  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
