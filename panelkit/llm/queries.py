@@ -1,6 +1,6 @@
 """All queries of the training-data operators (imported for their registration)."""
 
-from . import (decontaminate, exact_dedup, jaccard_join, mixing, secrets, substring_dedup,  # noqa: F401
+from . import (decontaminate, exact_dedup, jaccard_join, mixing, packing, secrets, substring_dedup,  # noqa: F401
                toxicity)
 from .registry import ORACLE, QUERIES
 
