@@ -9,7 +9,8 @@ joins the findings back to all paths and versions.  A new rule version scans
 everything again for that rule alone.
 
 Built-in functions only: a match and all text since the previous match come
-out of one lazy pattern, so running sums of their lengths are the positions
+out of one lazy pattern (begun by \\G: else the rest behind the last match is
+tried from each of its characters), so running sums of their lengths are the positions
 (in code points).  A pattern is leftmost and non-overlapping; a match that
 then fails its length test is dropped, without another try inside it.
 
@@ -21,6 +22,8 @@ results; further columns are ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -32,29 +35,35 @@ from .registry import register
 @dataclass(frozen=True)
 class Rule:
     """``part``: the group whose length counts, ``least`` characters being
-    needed.  ``hint`` holds for every text with a finding, and is cheap."""
+    needed.  Every text with a finding holds one of ``marks`` and fits ``hint``;
+    both are cheap."""
     kind: str
     version: int
     pattern: str
     part: int
     least: int
+    marks: tuple[str, ...]
     hint: str
 
 
 # The patterns of the secret kinds, in the order of the report.
+# The last two take a whole run of their letters, so their length is part of them.
 RULES = (
     Rule("assign", 1, r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", 2, 6,
-         r"""(?i)(?:word|swd|ret|ken|key)["']?\x20*[:=]\x20*["']?[a-z0-9+/_.=-]{6}"""),
-    Rule("access", 1, r"AKIA[A-Z0-9]+", 0, 20, r"AKIA[A-Z0-9]{16}"),
-    Rule("hex", 1, r"[0-9a-f]+", 0, 24, r"[0-9a-f]{24}"),
+         ("=", ":"), r"""[DdTtNnYy]["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6}"""),
+    Rule("access", 1, r"AKIA[A-Z0-9]{16,}", 0, 20, ("AKIA",), r"AKIA[A-Z0-9]{16}"),
+    Rule("hex", 1, r"[0-9a-f]{24,}", 0, 24, (), r"[0-9a-f]{24}"),
 )
 
 
 def _matches(text: str, rule: Rule):
     """Array of (adv: characters since the previous match, this one included;
     len: its own characters; ok), null for a text without any."""
-    steps = F.regexp_extract_all(F.col(text), F.lit(rf"(?s).*?(?:{rule.pattern})"), F.lit(0))
-    return F.when(F.col(text).rlike(rule.hint), F.transform(steps, lambda s: F.struct(
+    steps = F.regexp_extract_all(F.col(text), F.lit(rf"(?s)\G.*?(?:{rule.pattern})"), F.lit(0))
+    likely = F.col(text).rlike(rule.hint)
+    if rule.marks:
+        likely = reduce(or_, [F.contains(F.col(text), F.lit(m)) for m in rule.marks]) & likely
+    return F.when(likely, F.transform(steps, lambda s: F.struct(
         F.char_length(s).alias("adv"),
         F.char_length(F.regexp_extract(s, rule.pattern, 0)).alias("len"),
         (F.char_length(F.regexp_extract(s, rule.pattern, rule.part)) >= rule.least).alias("ok"))))
