@@ -26,7 +26,9 @@ result; empty tables give an empty result; further columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +39,12 @@ from . import words as W
 from .registry import register
 
 K1, B = 1.2, 0.75
-BLOCK = 8
+BLOCK = 4
 THRESHOLD = 0.6
 OVERLAP = 0.6
 ITEMS_PER_INDEX = 20_000
+#: Passages times blocks that are summed at once.
+CELLS = 1 << 21
 
 
 def _words(texts: list[str]) -> list[np.ndarray]:
@@ -77,6 +81,10 @@ class Index:
     parts: list
     passage: int
 
+    def __post_init__(self):
+        self.items = self.item.tolist()  # the loop of wand() reads single entries
+        self.blocks, self.maxima, self.bounds = self.block.tolist(), self.block_max.tolist(), self.bound.tolist()
+
 
 def build_index(items: list[tuple]) -> Index:
     """Index of (item_id, text) rows."""
@@ -105,53 +113,60 @@ def build_index(items: list[tuple]) -> Index:
 
 def wand(ix: Index, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
     """All items whose score over the distinct ``terms`` reaches the threshold."""
-    lists = []  # [current item, position, end, term, block position]
-    for t in terms:
-        a, b = int(ix.at[t]), int(ix.at[t + 1])
-        lists.append([int(ix.item[a]), a, b, int(t), int(ix.block_at[t])])
-    found = []
-
-    def forward(x, to):
-        p = x[1] + int(np.searchsorted(ix.item[x[1]: x[2]], to))
-        x[1], x[0] = p, int(ix.item[p]) if p < x[2] else None
+    lists = []  # [current item, position, end, bound, block position, block end]
+    for t in terms.tolist():
+        a = int(ix.at[t])
+        lists.append([ix.items[a], a, int(ix.at[t + 1]), ix.bounds[t], int(ix.block_at[t]), int(ix.block_at[t + 1])])
+    items, blocks, maxima, found = ix.items, ix.blocks, ix.maxima, []
+    threshold -= 1e-9
+
+    def forward(some, to):
+        """Move the lists to the first item from ``to`` on; True if one ended."""
+        ended = False
+        for x in some:
+            if x[0] < to:
+                p = x[1] = bisect_left(items, to, x[1], x[2])
+                if p < x[2]:
+                    x[0] = items[p]
+                else:
+                    x[0], ended = -1, True
+        return ended
 
     while lists:
-        lists.sort(key=lambda x: x[0])
-        total, pivot = 0.0, None
+        lists.sort()
+        total, pivot = 0.0, -1
         for k, x in enumerate(lists):
-            total += ix.bound[x[3]]
-            if total >= threshold - 1e-9:
+            total += x[3]
+            if total >= threshold:
                 pivot = k
                 break
-        if pivot is None:
+        if pivot < 0:
             break
         item = lists[pivot][0]
         while pivot + 1 < len(lists) and lists[pivot + 1][0] == item:
             pivot += 1
-        block, most = item // BLOCK, 0.0
-        for x in lists[: pivot + 1]:  # block maxima at the pivot
-            end = int(ix.block_at[x[3] + 1])
-            while x[4] < end and ix.block[x[4]] < block:
-                x[4] += 1
-            if x[4] < end and ix.block[x[4]] == block:
-                most += ix.block_max[x[4]]
-        if most < threshold - 1e-9:  # no item up to the end of the block, nor to the next list
+        upto, block, most = lists[: pivot + 1], item // BLOCK, 0.0
+        for x in upto:  # block maxima at the pivot
+            p, end = x[4], x[5]
+            while p < end and blocks[p] < block:
+                p += 1
+            x[4] = p
+            if p < end and blocks[p] == block:
+                most += maxima[p]
+        if most < threshold:  # nothing up to the end of the block, or the next list's item
             to = (block + 1) * BLOCK
             if pivot + 1 < len(lists):
                 to = min(to, lists[pivot + 1][0])
-            for x in lists[: pivot + 1]:
-                forward(x, max(to, item + 1))
+            ended = forward(upto, max(to, item + 1))
         elif lists[0][0] == item:
-            score = sum(float(ix.weight[x[1]]) for x in lists[: pivot + 1])
-            if score >= threshold - 1e-9:
+            score = sum(float(ix.weight[x[1]]) for x in upto)
+            if score >= threshold:
                 found.append((item, score))
-            for x in lists[: pivot + 1]:
-                forward(x, item + 1)
+            ended = forward(upto, item + 1)
         else:
-            for x in lists[:pivot]:
-                if x[0] < item:
-                    forward(x, item)
-        lists = [x for x in lists if x[0] is not None]
+            ended = forward(upto, item)
+        if ended:
+            lists = [x for x in lists if x[0] >= 0]
     return found
 
 
@@ -183,12 +198,16 @@ def _search(ix: Index, w: W.Words, threshold: float):
     keep = live[passage]
     passage, term = passage[keep], term[keep]
     n_blocks = int(ix.block.max()) + 1
-    row, p = _expand(ix.block_at, term)
-    cell, group = np.unique(passage, return_inverse=True)
-    most = np.bincount(group[row] * n_blocks + ix.block[p], ix.block_max[p], minlength=len(cell) * n_blocks)
-    hot = (most.reshape(-1, n_blocks) >= threshold - 1e-9).any(axis=1)
-    lo = np.searchsorted(passage, cell)
-    hi = np.searchsorted(passage, cell, "right")
+    cell, lo = np.unique(passage, return_index=True)
+    hi = np.append(lo[1:], len(passage))
+    hot = np.zeros(len(cell), bool)
+    step = max(1, CELLS // n_blocks)
+    for c in range(0, len(cell), step):  # block maxima of so many passages at once
+        part = slice(lo[c], hi[min(c + step, len(cell)) - 1])
+        row, p = _expand(ix.block_at, term[part])
+        mine = np.searchsorted(cell[c: c + step], passage[part])
+        most = np.bincount(mine[row] * n_blocks + ix.block[p], ix.block_max[p], minlength=len(cell[c: c + step]) * n_blocks)
+        hot[c: c + step] = (most.reshape(-1, n_blocks) >= threshold - 1e-9).any(axis=1)
     for c in np.flatnonzero(hot):
         d = int(np.searchsorted(begin, cell[c], "right")) - 1
         a = int(w.first[d] + (cell[c] - begin[d]) * half)
@@ -200,17 +219,21 @@ def _overlap(part: np.ndarray, words: np.ndarray, k: int) -> float:
     return float(np.isin(part, W.window_hashes(words, k)).mean()) if len(part) else 1.0
 
 
+def _best(ix: Index, texts: pa.Array, threshold: float) -> dict:
+    """(row, item) -> best passage's (score, question overlap, answer overlap)."""
+    best: dict = {}
+    for row, part in W.chunks(texts) if len(ix.vocab) else ():
+        for d, a, e, item, score, h in _search(ix, W.split(part, W.BARE), threshold):
+            q, z = (_overlap(grams, h[a:e], k) for grams, k in ix.parts[item])
+            key = (row + d, item)
+            best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (score, q, z), key=lambda x: (min(x[1:]), x))
+    return best
+
+
 def _hits(ix: Index, threshold: float):
     def of(batches):
         for b in batches:
-            best: dict = {}
-            for row, texts in W.chunks(b.column(1)):
-                if not len(ix.vocab):
-                    continue
-                for d, a, e, item, score, h in _search(ix, W.split(texts, W.BARE), threshold):
-                    q, z = (_overlap(grams, h[a:e], k) for grams, k in ix.parts[item])
-                    key = (row + d, item)
-                    best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (score, q, z), key=lambda x: (min(x[1:]), x))
+            best = _best(ix, b.column(1), threshold)
             rows = sorted(best)
             yield pa.record_batch([
                 b.column(0).take(pa.array([r for r, _ in rows], pa.int64())), pa.array([ix.ids[i] for _, i in rows], pa.int64()),
@@ -219,36 +242,48 @@ def _hits(ix: Index, threshold: float):
     return of
 
 
+def _clean(ix: Index, threshold: float, text: int):
+    def of(batches):
+        for b in batches:
+            keep = np.ones(b.num_rows, bool)
+            keep[[r for (r, _), (_, q, z) in _best(ix, b.column(text), threshold).items() if min(q, z) >= OVERLAP]] = False
+            yield b.filter(pa.array(keep))
+    return of
+
+
+def _indexes(benchmark: DataFrame, item_col: str, item_text: str, items_per_index: int):
+    """Indexes over parts of the items, each of a bounded number."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text"))
+    parts = max(1, -(-items.count() // items_per_index))
+    for k in range(parts):
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()
+        yield build_index(sorted(map(tuple, part), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")))
+
+
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    item_col: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD,
                    items_per_index: int = ITEMS_PER_INDEX) -> DataFrame:
     """One row per document and retrieved item (long id): the best passage's
     score, question_overlap and answer_overlap, and whether it is ``leaked``."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text"))
-    n = items.count()
-    blocks = -(-n // items_per_index) or 1
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     shape = f"id {kind}, item_id long, score double, question_overlap double, answer_overlap double"
-    out = None
-    for k in range(blocks):  # each a bounded part of the items
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        ix = build_index(sorted(map(tuple, part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")))
-        hits = rows.mapInArrow(_hits(ix, threshold), shape)
-        out = hits if out is None else out.unionByName(hits)
-    return (out.withColumnRenamed("id", id_col)
+    found = [rows.mapInArrow(_hits(ix, threshold), shape) for ix in _indexes(benchmark, item_col, item_text, items_per_index)]
+    return (reduce(DataFrame.unionByName, found).withColumnRenamed("id", id_col)
             .withColumn("leaked", (F.col("question_overlap") >= OVERLAP) & (F.col("answer_overlap") >= OVERLAP)))
 
 
+def drop_leaked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
+                item_text: str = "text", threshold: float = THRESHOLD, items_per_index: int = ITEMS_PER_INDEX) -> DataFrame:
+    """The rows of ``docs`` without a leaked item, all columns kept."""
+    for ix in _indexes(benchmark, item_col, item_text, items_per_index):
+        docs = docs.mapInArrow(_clean(ix, threshold, docs.columns.index(text_col)), docs.schema)
+    return docs
+
+
 @register("op10_benchmark_bm25")
 def op10_benchmark_bm25(spark, sf_dir):
     """Leaked (document, item) pairs of all documents."""
     docs = C.table(spark, sf_dir, "documents")
     return benchmark_hits(docs, C.table(spark, sf_dir, "benchmark")).where("leaked").drop("leaked")
 
-
-def drop_leaked(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents without a leaked item (rows of a null id are judged
-    together)."""
-    bad = benchmark_hits(docs, benchmark, id_col).where("leaked").select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")

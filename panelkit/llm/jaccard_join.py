@@ -278,10 +278,10 @@ def _sets_of(rows: DataFrame, signed: DataFrame, pairs: DataFrame, k: int, commo
     return C.cut_lineage(found.groupBy("cls").agg(F.any_value("shingles").alias("shingles")))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
     """Of each component one row of the smallest id; a row with an empty set is
     a component alone, and rows with a null id all stay."""
-    found = link_components(docs, id_col)
+    found = link_components(docs, id_col, **kw)
     stay = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_id")).distinct()
     kept = docs.join(stay, docs[id_col] == stay["_id"], "left_semi").dropDuplicates([id_col])
     return kept.unionByName(docs.where(F.col(id_col).isNull()))

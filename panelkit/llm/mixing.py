@@ -118,20 +118,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     plan = taken_epochs(docs, id_col, text_col, source_col, **kw).where("times > 0")
     text = C.text_or_empty(text_col)
     free = lambda x: x if x not in docs.columns else free(x + "_")
-    k, s, t = free("_key"), free("_source"), free("_time")
+    k, s, t, own, slots = (free(x) for x in ("_key", "_size", "_time", "_own", "_slots"))
     # Rows of equal id share a key: the source, the size and a number tell them
     # apart.  All sides meet by the key alone, so the texts are dealt once.
     apart = Window.partitionBy("key", "source", "size").orderBy("upto")
-    plan = plan.withColumn("nth", F.row_number().over(apart)).groupBy(F.col("key").alias("_k")).agg(
-        F.collect_list(F.struct("source", "size", "nth", "upto", "source_size", "weight", "times")).alias("_slots"))
+    plan = plan.withColumn("nth", F.row_number().over(apart)).groupBy(F.col("key").alias(own)).agg(
+        F.collect_list(F.struct("source", "size", "nth", "upto", "source_size", "weight", "times")).alias(slots))
     key = F.md5(F.concat(F.lit(kw.get("seed", SEED) + ":"), F.coalesce(F.col(id_col).cast("string"), F.md5(text))))
     rows = docs.withColumn(k, key).withColumn(s, C.word_count(text_col)).repartition(k)
     rows = rows.withColumn(t, F.row_number().over(Window.partitionBy(k, source_col, s).orderBy(id_col)))
-    both = rows.join(plan, rows[k] == plan["_k"])
-    own = F.filter("_slots", lambda x: x["source"].eqNullSafe(F.col(source_col)) & (x["size"] == F.col(s)) & (x["nth"] == F.col(t)))
-    both = both.withColumn("_slots", F.get(own, F.lit(0))).where("_slots IS NOT NULL")
-    finish = F.transform(F.sequence(F.lit(0), F.col("_slots.times") - 1),
-                         lambda e: (F.col("_slots.upto") + e * F.col("_slots.source_size")) / F.col("_slots.weight"))
+    both = rows.join(plan, rows[k] == plan[own])
+    mine = F.filter(slots, lambda x: x["source"].eqNullSafe(F.col(source_col)) & (x["size"] == F.col(s)) & (x["nth"] == F.col(t)))
+    both = both.withColumn(slots, F.get(mine, F.lit(0))).where(F.col(slots).isNotNull())
+    finish = F.transform(F.sequence(F.lit(0), F.col(slots)["times"] - 1),
+                         lambda e: (F.col(slots)["upto"] + e * F.col(slots)["source_size"]) / F.col(slots)["weight"])
     both = both.withColumn(t, F.explode(finish)).select(*[docs[c] for c in docs.columns], t, k)
     return both.repartitionByRange(F.col(t), F.col(k)).sortWithinPartitions(t, k).select(*docs.columns)
 

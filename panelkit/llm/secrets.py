@@ -69,15 +69,15 @@ def _matches(text: str, rule: Rule):
         (F.char_length(F.regexp_extract(s, rule.pattern, rule.part)) >= rule.least).alias("ok"))))
 
 
-def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """(blob, kind, version, start, end); start and end null: nothing found."""
-    shape = "blob string, kind string, version int, start long, end long"
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """(blob, kind, version, start, end); start and end null: nothing found.
+    None for a ledger that is not there yet."""
     try:
-        return spark.read.schema(shape).parquet(path)
+        return spark.read.schema("blob string, kind string, version int, start long, end long").parquet(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return spark.createDataFrame([], shape)
+        return None
 
 
 def scan_blobs(blobs: DataFrame, ledger: DataFrame | None, rules=RULES) -> DataFrame:
@@ -115,9 +115,9 @@ def scan_history(history: DataFrame, ledger_path: str, path_col: str = "path", t
     rows = rows.withColumn("blob", F.sha2("text", 256))
     paths = C.cut_lineage(rows.select("path", "blob"))
     blobs = rows.groupBy("blob", "text").agg(F.count("*").alias("copies")).select("blob", "text")
-    before = read_ledger(spark, ledger_path)
-    new = scan_blobs(blobs, None if before.isEmpty() else before, rules)
-    new.write.mode("append").parquet(ledger_path)
+    new = scan_blobs(blobs, read_ledger(spark, ledger_path), rules)
+    # the rows are light: no more files than cores, each with its own write buffers
+    new.coalesce(2 * spark.sparkContext.defaultParallelism).write.mode("append").parquet(ledger_path)
     rank = F.array_position(F.array(*[F.lit(r.kind) for r in rules]), F.col("kind"))
     now = F.concat_ws("@", "kind", "version").isin([f"{r.kind}@{r.version}" for r in rules])
     per_blob = (read_ledger(spark, ledger_path).where(now & F.col("start").isNotNull())

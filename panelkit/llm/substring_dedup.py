@@ -119,6 +119,7 @@ def _candidates(w: W.Words, shared: pa.Array, width: int) -> np.ndarray:
 def _windows(width: int):
     def of(batches):
         for b in batches:
+            b = b.filter(pc.is_valid(b.column("anchors")))
             refs, keys = [], []
             ref = _u64(b.column("ref"))
             for row, texts in W.chunks(b.column("text")):
@@ -186,7 +187,8 @@ def cut_repeats(docs: DataFrame, text_col: str = "text", width: int = 35) -> Dat
 
     anchors = shared(texts.mapInArrow(_anchors(width), _SENT), "anchors")
     marked = texts.join(anchors, "ref", "left")
-    windows = shared(marked.where("anchors IS NOT NULL").mapInArrow(_windows(width), _SENT), "windows")
+    # no filter on the anchors here: it would give the texts another plan and a shuffle of their own
+    windows = shared(marked.mapInArrow(_windows(width), _SENT), "windows")
     return marked.join(windows, "ref", "left").mapInArrow(
         _cut(width), "digest string, n_words long, n_removed long, kept_text string, kept_sha256 string")
 

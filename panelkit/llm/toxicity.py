@@ -245,7 +245,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     """The rows of ``docs`` that score below ``cut``, all columns kept."""
-    return score_documents(docs, labels).where(F.col("score") < cut).drop("score")
+    name = "_score"
+    while name in docs.columns:
+        name += "_"
+    return fit(docs, labels, ~held_out("doc_id")).score(docs, name=name).where(F.col(name) < cut).drop(name)
 
 
 @register("op2_toxicity_gbt")
