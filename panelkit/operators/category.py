@@ -175,8 +175,15 @@ def global_trend(mbg: DataFrame, time: str) -> DataFrame:
 
 def recent_entities(mbg: DataFrame, entity: str, time: str, from_time: int, top: int = 15,
                     min_total: int = 5, athletes: DataFrame | None = None) -> DataFrame:
-    """Sums from ``from_time``; female / male share; top entities by total
-    (ties by code); flag ``min_total`` subset; optional athlete share -> index."""
+    """The ``top`` entities of recent_totals() by total (ties by code)."""
+    r = recent_totals(mbg, entity, time, from_time, min_total, athletes)
+    return r.orderBy(F.desc("medals_tot"), F.asc(entity)).limit(top)
+
+
+def recent_totals(mbg: DataFrame, entity: str, time: str, from_time: int, min_total: int = 5,
+                  athletes: DataFrame | None = None) -> DataFrame:
+    """Sums from ``from_time`` of every entity; female / male share; flag
+    ``min_total`` subset; optional athlete share -> index."""
     r = mbg.filter(F.col(time) >= from_time).groupBy(entity).agg(
         F.sum("medals_f").alias("medals_f"), F.sum("medals_m").alias("medals_m"),
         F.sum("medals_tot").alias("medals_tot"))
@@ -186,7 +193,7 @@ def recent_entities(mbg: DataFrame, entity: str, time: str, from_time: int, top:
         at = athletes.filter(F.col(time) >= from_time).groupBy(entity).agg(
             div(F.sum("athletes_f"), F.sum("athletes_tot")).alias("athlete_share_f"))
         r = r.join(at, entity, "left").withColumn("success_index", div("share_f", "athlete_share_f"))
-    return r.orderBy(F.desc("medals_tot"), F.asc(entity)).limit(top)
+    return r
 
 
 def specialists(panel: DataFrame, entity: str, index: str, total: str, min_total: int = 10,

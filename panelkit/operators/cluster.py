@@ -91,7 +91,7 @@ def feature_table(df: DataFrame, feature_cols: Sequence[str]) -> DataFrame:
 
 
 def fit_kmeans(df: DataFrame, feature_cols: Sequence[str], k: int, n_init: int = 10, seed: int = 42,
-               max_iter: int = 100, data: DataFrame | None = None):
+               max_iter: int = 300, data: DataFrame | None = None):
     """K-means restarted ``n_init`` times (seeds seed .. seed+n_init-1); the
     model with the lowest training cost wins.  Returns (model, cost)."""
     data = data if data is not None else feature_table(df, feature_cols)
@@ -272,10 +272,13 @@ def outcome_names(assigned: DataFrame, cluster: str) -> DataFrame:
     return assigned.join(F.broadcast(m), cluster, "left")
 
 
-def spot_check(df: DataFrame, name: str, code: str, pattern: str, codes: Sequence, cols: Sequence[str]) -> DataFrame:
+def spot_check(df: DataFrame, name: str, code: str, pattern: str, codes: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Rows whose name matches ``pattern`` (case-insensitive) or whose
-    code is listed; number and names of missing indicators per hit."""
-    hit = F.col(name).rlike("(?i)" + pattern) | F.col(code).isin(list(codes) or [None])
+    code is in ``codes`` (one column named like ``code``); number and names of
+    missing indicators per hit."""
+    listed = codes.where(F.col(code).isNotNull()).distinct().withColumn("__listed", F.lit(True))
+    df = df.join(listed, code, "left")
+    hit = F.col(name).rlike("(?i)" + pattern) | F.col("__listed")
     missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in cols]))
-    return df.filter(hit).withColumn("missing", F.array_join(missing, ", ")) \
+    return df.filter(hit).drop("__listed").withColumn("missing", F.array_join(missing, ", ")) \
         .withColumn("n_missing", F.size(missing)).withColumn("all_missing", F.size(missing) == len(cols))

@@ -38,8 +38,11 @@ def top_unmatched(labelled: DataFrame, label: str, key: str, n: int = 10) -> Dat
             .orderBy(F.desc("rows"), F.asc(key)).limit(n))
 
 
-def event_units(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One unit per distinct key (a team medal counts once): athletes = rows, count = 1."""
+def event_units(df: DataFrame, keys: Sequence[str], required: str | None = None) -> DataFrame:
+    """One unit per distinct key (a team medal counts once): athletes = rows,
+    count = 1; rows without the ``required`` column (the label) go first."""
+    if required:
+        df = df.filter(F.col(required).isNotNull())
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("athletes")).withColumn("count", F.lit(1))
 
 
@@ -87,15 +90,13 @@ def top_k_per_group(units: DataFrame, group: str, category: str, k: int = 10,
     return top.withColumn("share_of_top", bround(100 * div("n", F.sum("n").over(Window.partitionBy(group))), 2))
 
 
-def specialization(units: DataFrame, group: str, category: str, weight: str = "count",
-                   top: int = 5, bottom: int = 3) -> DataFrame:
-    """(% of category within group) / (% of category overall); top and
-    bottom per group (ties by category)."""
-    agg = units.groupBy(group, category).agg(F.sum(weight).alias("n"))
-    g_tot = F.sum("n").over(Window.partitionBy(group))
-    c_tot = F.sum("n").over(Window.partitionBy(category))
-    all_tot = F.sum("n").over(Window.partitionBy())
-    s = agg.withColumn("index", div(div("n", g_tot), div(c_tot, all_tot)))
+def specialization(grid: DataFrame, group: str, category: str, n: str = "n", top: int = 5, bottom: int = 3) -> DataFrame:
+    """(% of category within group) / (% of category overall) over a
+    zero-filled grid; top and bottom per group (ties by category)."""
+    g_tot = F.sum(n).over(Window.partitionBy(group))
+    c_tot = F.sum(n).over(Window.partitionBy(category))
+    all_tot = F.lit(grid.agg(F.sum(n)).first()[0])  # one number
+    s = grid.withColumn("index", div(div(n, g_tot), div(c_tot, all_tot)))
     hi = Window.partitionBy(group).orderBy(F.desc("index"), F.asc(category))
     lo = Window.partitionBy(group).orderBy(F.asc("index"), F.asc(category))
     s = s.withColumn("rank_high", F.row_number().over(hi)).withColumn("rank_low", F.row_number().over(lo))
@@ -225,8 +226,9 @@ def edition_timeline(labels: DataFrame, edition_times: DataFrame, medal_counts:
     """Label rows only in real edition times, dense time index from 0,
     medals zero-filled."""
     t = labels.join(edition_times.select(time).distinct(), time, "left_semi")
-    t = t.withColumn("time_index", F.dense_rank().over(Window.orderBy(time)) - 1)
-    j = t.join(medal_counts, [entity, time], "left")
+    # the rank is over the distinct times alone, not over the rows
+    index = t.select(time).distinct().withColumn("time_index", F.dense_rank().over(Window.orderBy(time)) - 1)
+    j = t.join(index, time).join(medal_counts, [entity, time], "left")
     return j.withColumn("medals", F.coalesce(F.col("medals"), F.lit(0)).cast("long"))
 
 

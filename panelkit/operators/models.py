@@ -49,6 +49,19 @@ def training_sets(base: DataFrame, events: DataFrame, keys: Sequence[str], categ
     return grid.join(flags, [*keys, category], "left").withColumn("y", F.coalesce("__y", F.lit(0))).drop("__y")
 
 
+def stratified_folds(df: DataFrame, keys: Sequence[str], strata: Sequence[str], k: int = 5, parts: int = 64) -> DataFrame:
+    """``df`` with ``fold``: the rows of each stratum (category and label) in hash
+    order of their key, dealt in turn to k folds.  The place in the order is that
+    of one of ``parts`` slices plus the place inside it, so no stratum is one task."""
+    d = df.withColumn("__h", F.xxhash64(*[F.col(c) for c in keys])).withColumn("__part", F.shiftright("__h", 58))
+    count = d.groupBy(*strata, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    up_to = Window.partitionBy(*strata).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    count = count.withColumn("__first", F.coalesce(F.sum("__n").over(up_to), F.lit(0))).drop("__n")
+    inside = F.row_number().over(Window.partitionBy(*strata, "__part").orderBy("__h", *keys))
+    d = d.join(count, [*strata, "__part"])
+    return d.withColumn("fold", F.pmod(F.col("__first") + inside, F.lit(k)).cast("int")).drop("__h", "__part", "__first")
+
+
 def fold_column(keys: Sequence[str], k: int = 5) -> F.Column:
     """Deterministic fold id in 0..k-1 from a hash of the row key."""
     return F.pmod(F.xxhash64(*[F.col(c) for c in keys]), F.lit(k)).cast("int")
@@ -108,6 +121,9 @@ def grouped_logit(df: DataFrame, group: Sequence[str], features: Sequence[str],
             step_max = max(step_max, float(np.max(np.abs(step))))
         if step_max < tol:
             break
+    else:
+        if step_max > 1e-6:
+            raise ValueError(f"the Newton steps did not converge in {max_iter} rounds")
     rows = [(*k, *[float(v) for v in beta[k]]) for k in keys]
     schema = ", ".join([f"{g} {gtypes[g]}" for g in group] + ["b0 double"] + [f"b_{f} double" for f in feats])
     return spark.createDataFrame(rows, schema)
@@ -121,11 +137,15 @@ def logit_score(df: DataFrame, coef: DataFrame, group: Sequence[str], features:
 
 def grouped_auc(scored: DataFrame, group: Sequence[str], label: str, score: str = "score") -> DataFrame:
     """Area under the ROC curve per group (ties count one half)."""
-    b = scored.withColumn("__s", F.round(F.col(score), 6))  # <= 10^6 + 1 distinct scores per group
-    c = b.groupBy(*group, "__s").agg(F.count_if(F.col(label) == 1).alias("__pos"),
-                                      F.count_if(F.col(label) != 1).alias("__neg"))
-    w = Window.partitionBy(*group).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
-    c = c.withColumn("__below", F.coalesce(F.sum("__neg").over(w), F.lit(0)))
+    c = scored.groupBy(*group, F.col(score).alias("__s")).agg(F.count_if(F.col(label) == 1).alias("__pos"),
+                                                               F.count_if(F.col(label) != 1).alias("__neg"))
+    # negatives below a score: those of the lower slices of the score range, and those below in its own slice
+    c = c.withColumn("__slice", F.floor(F.col("__s") * 4096))
+    before = lambda *by: Window.partitionBy(*group, *by).rowsBetween(Window.unboundedPreceding, -1)
+    lower = c.groupBy(*group, "__slice").agg(F.sum("__neg").alias("__in")) \
+        .withColumn("__lower", F.coalesce(F.sum("__in").over(before().orderBy("__slice")), F.lit(0))).drop("__in")
+    c = c.join(lower, [*group, "__slice"]).withColumn(
+        "__below", F.col("__lower") + F.coalesce(F.sum("__neg").over(before("__slice").orderBy("__s")), F.lit(0)))
     a = c.groupBy(*group).agg(F.sum(F.col("__pos") * (F.col("__below") + 0.5 * F.col("__neg"))).alias("__u"),
                               F.sum("__pos").alias("__p"), F.sum("__neg").alias("__n"))
     return a.select(*group, div("__u", F.col("__p") * F.col("__n")).alias("auc"))
@@ -136,7 +156,7 @@ def logit_per_category(data: DataFrame, keys: Sequence[str], category: str, feat
     """M2: per category, k-fold cross-validated AUC (mean, sd ddof 0) of the
     balanced L2 logistic model, coefficients of the fit on all rows, number
     and percent of winners; sorted by mean AUC at the sink."""
-    d = data.withColumn("fold", fold_column([*keys, category], k))
+    d = cut_lineage(stratified_folds(data, [*keys, category], [category, label], k))
     train = d.select("*", F.explode(F.sequence(F.lit(-1), F.lit(k - 1))).alias("model")) \
         .filter(F.col("model") != F.col("fold"))          # model -1 = all rows
     coef = grouped_logit(train, [category, "model"], features, label, c)
@@ -164,7 +184,7 @@ def trees_per_category(data: DataFrame, keys: Sequence[str], category: str, feat
     depth 3, step 0.05); feature importances of fits on all rows.  All
     (category, model, fold) fits are independent and run concurrently."""
     d = cut_lineage(_assemble(_balanced_weights(
-        data.withColumn("fold", fold_column([*keys, category], k)), [category], label)
+        stratified_folds(data, [*keys, category], [category, label], k), [category], label)
         .withColumn(label, F.col(label).cast("double")), features))
     cats = sorted(r[0] for r in d.select(category).distinct().limit(MAX_GROUPS + 1).collect())
     if len(cats) > MAX_GROUPS:
@@ -229,8 +249,9 @@ def profile_probabilities(coef: DataFrame, profiles: DataFrame, category: str, p
 
 
 def gram_fit(df: DataFrame, features: Sequence[str], label: str, alpha: float = 0.0) -> np.ndarray:
-    """OLS (alpha 0) / ridge (alpha > 0, intercept unpenalised) from the
-    aggregated Gram matrix X'X and X'y (p x p numbers reach the driver)."""
+    """OLS (alpha 0) / ridge (alpha > 0, on standardised features, intercept
+    unpenalised) from the aggregated Gram matrix X'X and X'y (p x p numbers
+    reach the driver), on the features' own scale."""
     xs = [F.lit(1.0)] + [F.col(f).cast("double") for f in features]
     p = len(xs)
     aggs = [F.sum(xs[i] * xs[j]).alias(f"a{i}_{j}") for i in range(p) for j in range(i, p)]
@@ -241,9 +262,14 @@ def gram_fit(df: DataFrame, features: Sequence[str], label: str, alpha: float =
         for j in range(i, p):
             a[i, j] = a[j, i] = s[f"a{i}_{j}"] or 0.0
     b = np.array([s[f"b{i}"] or 0.0 for i in range(p)])
-    reg = np.eye(p) * alpha
-    reg[0, 0] = 0.0
-    return np.linalg.lstsq(a + reg, b, rcond=None)[0]
+    if not a[0, 0]:
+        return np.zeros(p)
+    n, mean, y = a[0, 0], a[0, 1:] / a[0, 0], b[0] / a[0, 0]
+    sd = np.sqrt(np.maximum(np.diag(a)[1:] / n - mean**2, 0.0))
+    sd[sd == 0] = 1.0
+    z = (a[1:, 1:] - n * np.outer(mean, mean)) / np.outer(sd, sd)
+    slope = np.linalg.lstsq(z + alpha * np.eye(p - 1), (b[1:] - mean * b[0]) / sd, rcond=None)[0] / sd
+    return np.concatenate([[y - slope @ mean], slope])
 
 
 def linear_predict(df: DataFrame, coef: np.ndarray, features: Sequence[str], out: str = "pred") -> DataFrame:
@@ -286,7 +312,7 @@ def regression_bakeoff(data: DataFrame, keys: Sequence[str], features: Sequence[
             r = r2_mae(lm.transform(te).withColumnRenamed("prediction", "pred"), label).first()
             out["lasso"] = (r["r2"], r["mae"])
             for name, est in (("rf", RandomForestRegressor(labelCol=label, numTrees=200, maxDepth=8,
-                                                            minInstancesPerNode=5, seed=seed)),
+                                                            minInstancesPerNode=5, seed=seed, featureSubsetStrategy="all")),
                               ("gbt", GBTRegressor(labelCol=label, maxIter=200, maxDepth=4, stepSize=0.05, seed=seed))):
                 m = est.fit(tr)
                 r = r2_mae(m.transform(te).withColumnRenamed("prediction", "pred"), label).first()
@@ -300,7 +326,7 @@ def regression_bakeoff(data: DataFrame, keys: Sequence[str], features: Sequence[
     for name, v in res.items():
         r2 = [x[0] for x in v if x[0] is not None]
         mae = [x[1] for x in v if x[1] is not None]
-        rows.append((name, float(np.mean(r2)), float(np.std(r2, ddof=1)) if len(r2) > 1 else None, float(np.mean(mae))))
+        rows.append((name, float(np.mean(r2)), float(np.std(r2)) if r2 else None, float(np.mean(mae))))
     return spark.createDataFrame(rows, "model string, r2_mean double, r2_std double, mae double")
 
 
@@ -309,7 +335,7 @@ def rf_importance(data: DataFrame, features: Sequence[str], label: str, trees: i
     """M7: random-forest regressor and its feature importances (feature, importance)."""
     d = _assemble(data.withColumn(label, F.col(label).cast("double")), features)
     m = RandomForestRegressor(labelCol=label, numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf,
-                              seed=seed).fit(d)
+                              seed=seed, featureSubsetStrategy="all").fit(d)
     imp = [(f, float(v)) for f, v in zip(features, m.featureImportances.toArray())]
     return m, data.sparkSession.createDataFrame(imp, "feature string, importance double")
 
@@ -317,21 +343,23 @@ def rf_importance(data: DataFrame, features: Sequence[str], label: str, trees: i
 def holdout_eval(model, test: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     """M8: predictions floored at 0 and rounded to 1 dp; error, abs error."""
     p = model.transform(_assemble(test, features)).drop("features")
-    p = p.withColumn("pred", F.round(F.greatest(F.col("prediction"), F.lit(0.0)), 1)).drop("prediction")
+    p = p.withColumn("pred", F.bround(F.greatest(F.col("prediction"), F.lit(0.0)), 1)).drop("prediction")
     return p.withColumns({"error": F.col("pred") - F.col(label), "abs_error": F.abs(F.col("pred") - F.col(label))})
 
 
 def project_scenario(panel: DataFrame, entity: str, time: str, gdp: str, pop: str, prev: str,
                      host: str | None = None, life: str | None = None, urban: str | None = None) -> DataFrame:
-    """M9: per entity, growth g = mean of the last 3 percentage changes of
-    GDP (by time) clipped to the range, default when undefined; next values:
+    """M9: per entity, growth g = mean percentage change between the last 3
+    non-null values of GDP (by time; two changes at most) clipped to the range,
+    default when undefined; next values:
     GDP x (1 + g)^2, population x 1.015, life + 0.5, urban + 0.5 (cap 100)."""
     w = Window.partitionBy(entity).orderBy(time)
-    pc = panel.withColumn("__pct", div(F.col(gdp) - F.lag(gdp).over(w), F.lag(gdp).over(w)))
     last = Window.partitionBy(entity).orderBy(F.desc(time))
-    pc = pc.withColumn("__rn", F.row_number().over(last))
-    g = pc.filter(F.col("__rn") <= 3).groupBy(entity).agg(F.avg("__pct").alias("__g"))
-    latest = pc.filter(F.col("__rn") == 1).drop("__pct", "__rn")
+    pc = panel.filter(F.col(gdp).isNotNull()) \
+        .withColumn("__pct", div(F.col(gdp) - F.lag(gdp).over(w), F.lag(gdp).over(w))) \
+        .withColumn("__rn", F.row_number().over(last))
+    g = pc.filter(F.col("__rn") <= 2).groupBy(entity).agg(F.avg("__pct").alias("__g"))
+    latest = panel.withColumn("__rn", F.row_number().over(last)).filter(F.col("__rn") == 1).drop("__rn")
     lo, hi = dims.GROWTH_CLIP
     j = latest.join(g, entity, "left").withColumn(
         "growth", F.coalesce(F.least(F.greatest(F.col("__g"), F.lit(lo)), F.lit(hi)), F.lit(dims.GROWTH_DEFAULT)))
@@ -349,7 +377,7 @@ def project_scenario(panel: DataFrame, entity: str, time: str, gdp: str, pop: st
 
 def forecast_interval(model, rows: DataFrame, features: Sequence[str], lo: float = 0.10, hi: float = 0.90) -> DataFrame:
     """Forest prediction floored at 0 and rounded, with the lo / hi
-    percentiles of the individual trees' predictions."""
+    percentiles of the individual trees' predictions, floored and rounded alike."""
     d = _assemble(rows, features)
     preds = []
     for i, t in enumerate(model.trees):
@@ -365,6 +393,6 @@ def forecast_interval(model, rows: DataFrame, features: Sequence[str], lo: float
         b = F.element_at(arr, min(i0 + 2, n))
         return a + (b - a) * F.lit(float(frac))
 
-    out = model.transform(d).withColumn("pred", F.round(F.greatest(F.col("prediction"), F.lit(0.0)), 0))
-    out = out.withColumn("p_lo", pct(lo)).withColumn("p_hi", pct(hi))
+    out = model.transform(d).withColumn("pred", F.bround(F.greatest(F.col("prediction"), F.lit(0.0)), 0))
+    out = out.withColumn("p_lo", F.bround(F.greatest(pct(lo), F.lit(0.0)), 0)).withColumn("p_hi", F.bround(F.greatest(pct(hi), F.lit(0.0)), 0))
     return out.drop("features", "prediction", *[f"__t{i}" for i in range(n)])

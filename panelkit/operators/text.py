@@ -283,7 +283,7 @@ def score_time_features(df: DataFrame, a: str, b: str, ts: str) -> DataFrame:
 
 
 def grid_density_clusters(df: DataFrame, id_col: str, x: str, y: str, eps: float, min_samples: int = 5,
-                          min_cluster_size: int = 10, max_iter: int = 100) -> DataFrame:
+                          min_cluster_size: int = 10) -> DataFrame:
     """T10 (re-aimed density clustering): points are binned in eps x eps cells;
     a cell is dense when its 3 x 3 neighbourhood holds >= min_samples points;
     clusters are connected components of adjacent dense cells (iterative
@@ -305,7 +305,7 @@ def grid_density_clusters(df: DataFrame, id_col: str, x: str, y: str, eps: float
         .select("cid", (F.col("cx") + F.col("o.dx")).alias("nx"), (F.col("cy") + F.col("o.dy")).alias("ny"))
     edges = cut_lineage(edges.join(nbr, ["nx", "ny"]).select("cid", "ncid"))
     labels = dense.select("cid", F.col("cid").alias("label"))
-    for _ in range(max_iter):
+    while True:
         # one hop of minimum-label propagation over adjacent dense cells ...
         nl = edges.join(labels.select(F.col("cid").alias("ncid"), F.col("label").alias("nl")), "ncid") \
             .groupBy("cid").agg(F.min("nl").alias("m"))

@@ -229,7 +229,7 @@ SELECT {_RX_COLS} FROM rx WHERE medals_tot >= 10 AND success_index IS NOT NULL
 ORDER BY success_index DESC, noc LIMIT 15""")
 def cat_specialists(spark, d):
     """Nations with >= 10 medals since 2000, top 15 by success index."""
-    r = G.recent_entities(_mbg(spark, d), "noc", "year", 2000, 1_000_000, 5, _ath(spark, d))
+    r = G.recent_totals(_mbg(spark, d), "noc", "year", 2000, 5, _ath(spark, d))
     return rounded(G.specialists(r, "noc", "success_index", "medals_tot", 10, 15), 6)
 
 

@@ -12,7 +12,7 @@ from .sqlbase import band_sql, with_
 
 V = tb.PROFILE_VARS
 PX = tb.PROXY_VARS
-FROM_YEAR = 1996
+FROM_YEAR = 1995  # the first year of the data
 
 
 def _latest(spark, d):
@@ -92,7 +92,7 @@ def cluster_k_sweep(spark, d):
     b = _banded(spark, d)
     params = D.fit_scaler(b, V)
     z = b.withColumns(D.scaled_columns(params))
-    return D.k_sweep(z, ["z_" + c for c in V], range(2, 9), n_init=3)
+    return D.k_sweep(z, ["z_" + c for c in V], range(2, 9), n_init=10)
 
 
 def _static(spark, d):
@@ -178,7 +178,7 @@ def cluster_propagate_coverage(spark, d):
 
 @register("cluster_score_dynamic")
 def cluster_score_dynamic(spark, d):
-    """Every (entity, year) from 1996 with gdp scored by the fitted K-means
+    """Every (entity, year) with gdp scored by the fitted K-means
     (same imputation / scaling parameters), named clusters."""
     labelled, model, params = _kmeans(spark, d)
     names = labelled.select("cluster", "cluster_label").distinct()
@@ -215,7 +215,7 @@ def cluster_alias_successor(spark, d):
 
 @register("cluster_static")
 def cluster_static(spark, d):
-    """Mean profile since 1996 per entity -> K-means (k=4) -> named clusters."""
+    """Mean profile of all years per entity -> K-means (k=4) -> named clusters."""
     s = _static(spark, d)
     scored, _, _ = D.fit_profile_clusters(s, V, 4, None, 10, 42)
     return D.rank_labels(scored, "cluster", "gdp_pc", dims.CLUSTER_ORDER).select(
@@ -228,7 +228,7 @@ SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE d.dyn_band = s
   {r_sql('100.0 * count(*) FILTER (WHERE d.dyn_band = s.static_band) / count(*)')} AS pct_equal
 FROM dyn d JOIN static s ON s.noc = d.noc""")
 def cluster_compare_static_dynamic(spark, d):
-    """Latest-year band vs band of the mean since 1996."""
+    """Latest-year band vs band of the mean of all years."""
     r = tb.roster(spark, d)
     dyn = r.groupBy("noc").agg(F.max_by("label", "year").alias("dyn_band"))
     return rounded(D.compare_labels(dyn, _static(spark, d), "noc", "dyn_band", "static_band"), 6)
@@ -280,6 +280,6 @@ FROM latest WHERE regexp_matches(country, '(?i)#00000001[0-4]') OR noc IN (SELEC
 def cluster_spot_check(spark, d):
     """Spot check of entities named by a pattern or listed as codes (here
     the edition hosts): which indicators are missing."""
-    hosts = sorted(r[0] for r in tb.games(spark, d).select("host_noc").distinct().limit(100_001).collect())
+    hosts = tb.games(spark, d).select(F.col("host_noc").alias("noc"))
     r = D.spot_check(_latest(spark, d), "country", "noc", r"#00000001[0-4]", hosts, V)
     return rounded(r, 6)

@@ -19,7 +19,7 @@ _BASE = ["medal_rows", "roster"]
 _LAB = """lab AS (SELECT m.year, m.noc, m.sport, m.event, m.medal, r.label
          FROM medal_rows m LEFT JOIN roster r ON r.year = m.year AND r.noc = m.noc WHERE m.medal <> 'No medal')"""
 _UNITS = """units AS (SELECT year, noc, sport, event, medal, label, CAST(count(*) AS BIGINT) AS athletes, 1 AS count
-           FROM lab GROUP BY ALL)"""
+           FROM lab WHERE label IS NOT NULL GROUP BY ALL)"""
 _TOP = f"""top AS (SELECT sport, n FROM (SELECT sport, CAST(sum(count) AS BIGINT) AS n FROM units GROUP BY sport)
           ORDER BY n DESC, sport ASC LIMIT {TOP_N})"""
 _GRID = f"""grid AS (SELECT g.label, t.sport, CAST(coalesce(c.n, 0) AS BIGINT) AS n
@@ -43,7 +43,7 @@ def _lab(spark, d):
 
 
 def _units(spark, d):
-    return E.event_units(_lab(spark, d), ["year", "noc", "sport", "event", "medal", "label"])
+    return E.event_units(_lab(spark, d), ["year", "noc", "sport", "event", "medal", "label"], required="label")
 
 
 def _top(spark, d):
@@ -118,16 +118,17 @@ def comp_top_k_per_label(spark, d):
     return E.top_k_per_group(_units(spark, d), "label", "sport", 10)
 
 
-@register("comp_specialization", W("""agg AS (SELECT label, sport, CAST(sum(count) AS BIGINT) AS n FROM units GROUP BY ALL)""",
+@register("comp_specialization", W(_TOP, _GRID,
     """ix AS (SELECT label, sport, n, (CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY label)) /
-        (CAST(sum(n) OVER (PARTITION BY sport) AS DOUBLE) / sum(n) OVER ()) AS idx FROM agg)""",
+        (CAST(sum(n) OVER (PARTITION BY sport) AS DOUBLE) / sum(n) OVER ()) AS idx FROM grid)""",
     """rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY label ORDER BY idx DESC, sport) AS INTEGER) AS rank_high,
         CAST(row_number() OVER (PARTITION BY label ORDER BY idx ASC, sport) AS INTEGER) AS rank_low FROM ix)""") + f"""
 SELECT label, sport, n, {r_sql('idx')} AS "index", rank_high, rank_low,
   CASE WHEN rank_high <= 5 THEN 'top' ELSE 'bottom' END AS side FROM rk WHERE rank_high <= 5 OR rank_low <= 3""")
 def comp_specialization(spark, d):
-    """Specialisation index, top 5 and bottom 3 per label."""
-    return rounded(E.specialization(_units(spark, d), "label", "sport"), 6, ["index"])
+    """Specialisation index over the top sports, absent pairs as 0: top 5 and
+    bottom 3 per label."""
+    return rounded(E.specialization(_grid(spark, d), "label", "sport"), 6, ["index"])
 
 
 @register("comp_chi_square", W(_TOP, _GRID, """e AS (SELECT *, sum(n) OVER (PARTITION BY label) * sum(n) OVER (PARTITION BY sport)
@@ -146,15 +147,15 @@ def comp_chi_square_p(spark, d):
     return E.chi_square(_grid(spark, d), "label", "sport")
 
 
-@register("comp_share_over_time", W(f"""g AS (SELECT y.year, l.label FROM (SELECT DISTINCT year FROM units WHERE year >= 1996) y
+@register("comp_share_over_time", W(f"""g AS (SELECT y.year, l.label FROM (SELECT DISTINCT year FROM units WHERE year >= 1995) y
    CROSS JOIN (SELECT unnest([{LABELS_SQL}]) AS label) l)""",
-    """c AS (SELECT year, label, sum(count) AS n FROM units WHERE year >= 1996 GROUP BY ALL)""") + """
+    """c AS (SELECT year, label, sum(count) AS n FROM units WHERE year >= 1995 GROUP BY ALL)""") + """
 SELECT g.year, g.label, CAST(coalesce(c.n, 0) AS BIGINT) AS n,
   round_even(100.0 * coalesce(c.n, 0) / sum(coalesce(c.n, 0)) OVER (PARTITION BY g.year), 2) AS pct
 FROM g LEFT JOIN c ON c.year = g.year AND c.label = g.label""")
 def comp_share_over_time(spark, d):
-    """Label shares of medal units per year from 1996, zero-filled."""
-    return E.share_over_time(_units(spark, d), "year", "label", ORDER, 1996)
+    """Label shares of medal units per year from the first on, zero-filled."""
+    return E.share_over_time(_units(spark, d), "year", "label", ORDER, 1995)
 
 
 @register("comp_accessibility", W(_TOP, _GRID, _SHARES) + f"""

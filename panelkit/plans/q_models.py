@@ -55,15 +55,8 @@ def models_logit(spark, d):
     return _logit(spark, d)
 
 
-_MEMO: dict = {}
-
-
 def _trees(spark, d):
-    """Tree CV results are reused by M3 and M5 within one session."""
-    key = ("trees", id(spark), d)
-    if key not in _MEMO:
-        _MEMO[key] = M.trees_per_category(_train(spark, d), ["noc", "year"], "sport", ZF, "y", 5, 42)
-    return _MEMO[key]
+    return M.trees_per_category(_train(spark, d), ["noc", "year"], "sport", ZF, "y", 5, 42)
 
 
 @register("models_trees")
@@ -147,16 +140,17 @@ def models_holdout(spark, d):
 
 
 @register("models_scenario", with_("nation_year", extra=["""pc AS (SELECT *, (gdp - lag(gdp) OVER w) / nullif(lag(gdp) OVER w, 0) AS pct,
-      row_number() OVER (PARTITION BY noc ORDER BY year DESC) AS rn FROM nation_year WINDOW w AS (PARTITION BY noc ORDER BY year))""",
-    "g AS (SELECT noc, avg(pct) AS g FROM pc WHERE rn <= 3 GROUP BY noc)"]) + f"""
+      row_number() OVER (PARTITION BY noc ORDER BY year DESC) AS rn FROM nation_year WHERE gdp IS NOT NULL WINDOW w AS (PARTITION BY noc ORDER BY year))""",
+    "g AS (SELECT noc, avg(pct) AS g FROM pc WHERE rn <= 2 GROUP BY noc)",
+    "la AS (SELECT * FROM nation_year QUALIFY row_number() OVER (PARTITION BY noc ORDER BY year DESC) = 1)"]) + f"""
 SELECT p.noc, p.year, {r_sql('p.gdp', 2)} AS gdp, p.population, p.medals,
   {r_sql(f'coalesce(least(greatest(g.g, {dims.GROWTH_CLIP[0]}), {dims.GROWTH_CLIP[1]}), {dims.GROWTH_DEFAULT})')} AS growth,
   {r_sql(f'p.gdp * power(1 + coalesce(least(greatest(g.g, {dims.GROWTH_CLIP[0]}), {dims.GROWTH_CLIP[1]}), {dims.GROWTH_DEFAULT}), 2)', 2)} AS gdp_next,
   {r_sql(f'p.population * {dims.POP_GROWTH}')} AS pop_next, p.medals AS prev_medals
-FROM pc p LEFT JOIN g ON g.noc = p.noc WHERE p.rn = 1""")
+FROM la p LEFT JOIN g ON g.noc = p.noc""")
 def models_scenario(spark, d):
-    """M9: next-edition scenario per nation: clipped mean growth of the last
-    three GDP changes, GDP x (1+g)^2, population x 1.015, previous medals."""
+    """M9: next-edition scenario per nation: clipped mean growth between the
+    last three GDP values, GDP x (1+g)^2, population x 1.015, previous medals."""
     ny = tb.nation_year(spark, d).select("noc", "year", "gdp", "population", "medals")
     out = M.project_scenario(ny, "noc", "year", "gdp", "population", "medals")
     out = out.select("noc", "year", "gdp", "population", "medals", "growth", "gdp_next", "pop_next", "prev_medals")

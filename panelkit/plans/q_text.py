@@ -177,7 +177,7 @@ def text_time_score_clusters(spark, d):
     f = _time_score(spark, d)
     params = D.fit_scaler(f, ["ordinal", "score"])
     z = f.withColumns(D.scaled_columns(params))
-    return D.k_sweep(z, ["z_ordinal", "z_score"], range(2, 7), n_init=3)
+    return D.k_sweep(z, ["z_ordinal", "z_score"], range(2, 7), n_init=10)
 
 
 @register("text_density_clusters")
