@@ -3,79 +3,56 @@
 
 ``F.percentile`` / ``F.median`` are exact but keep every value of a group in
 one aggregation buffer - a global ``describe`` would pull a whole column into
-one task.  Here the values are range-partitioned and sorted by (group, value)
-across the cluster and materialised once; each row's rank inside its group
-then follows from ``monotonically_increasing_id`` (partition id + position)
-and the per-partition counts, a table bounded by the number of partitions x
-groups spanning them.  Only the needed order statistics (at most two per
-quantile and group) are fetched.
+one task.  Here the rows first become (group, value, count), which map-side
+combining shrinks and which leaves no hot value.  The counts are
+range-partitioned by (group, value); a value's ranks are the counts of the
+partitions before its own, of the values before it in its partition, and its
+own count.  Nothing but the result table is left at the end, and nothing goes
+through the driver.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import cut_lineage
 
-_POS_BITS = 33
-
 
 def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Rows (by..., q, value): the q-quantile of ``value`` per group (NULLs
     ignored; a group without values is absent)."""
     by = list(by)
-    spark = df.sparkSession
-    d = df.select(*by, F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
-    srt = d.repartitionByRange(*[F.col(c) for c in by], F.col("__v")) \
-        .sortWithinPartitions(*by, "__v").withColumn("__id", F.monotonically_increasing_id())
-    srt = cut_lineage(srt)  # ids must stay fixed between the passes below
-    srt = srt.withColumns({"__pid": F.shiftright("__id", _POS_BITS),
-                           "__pos": F.col("__id").bitwiseAND(F.lit((1 << _POS_BITS) - 1))})
-    parts = srt.groupBy("__pid", *by).agg(F.count(F.lit(1)).alias("n"), F.min("__pos").alias("p0")).collect()
-    parts.sort(key=lambda r: r["__pid"])
-    base, totals, seen = [], {}, {}
-    for r in parts:  # running offset of each group over the partitions in sort order
-        key = tuple(r[c] for c in by)
-        off = seen.get(key, 0)
-        base.append((r["__pid"], *key, off - r["p0"]))
-        seen[key] = off + r["n"]
-    totals = seen
-    wanted = []
-    for key, n in totals.items():
-        for q in qs:
-            h = q * (n - 1)
-            for k in {int(math.floor(h)), int(math.ceil(h))}:
-                wanted.append((*key, k))
-    if not wanted:
-        return spark.createDataFrame([], ", ".join([f"`{c}` {t}" for c, t in df.select(*by).dtypes] + ["q double", "value double"]))
-    btypes = dict(df.select(*by).dtypes)
-    bschema = ", ".join(["__pid long"] + [f"`{c}` {btypes[c]}" for c in by] + ["__base long"])
-    bdf = spark.createDataFrame(base, bschema).withColumnRenamed("__pid", "__bpid")
-    for c in by:
-        bdf = bdf.withColumnRenamed(c, f"__b_{c}")
-    cond = F.col("__pid") == F.col("__bpid")
+    counts = df.select(*by, F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull()) \
+        .groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__n"))
+    counts = cut_lineage(counts.repartitionByRange(*[F.col(c) for c in by], F.col("__v"))
+                         .withColumn("__pid", F.spark_partition_id()))  # the pieces must stay as they are
+    pieces = counts.groupBy(*by, "__pid").agg(F.sum("__n").alias("__in"))  # partitions, and groups beyond one each
+    upto = Window.partitionBy(*by).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.select(*[F.col(c).alias(f"__b_{c}") for c in by], F.col("__pid").alias("__b_pid"),
+                           F.coalesce(F.sum("__in").over(upto), F.lit(0)).alias("__first"),
+                           F.sum("__in").over(Window.partitionBy(*by)).alias("__total"))
+    cond = F.col("__pid") == F.col("__b_pid")
     for c in by:
         cond = cond & F.col(c).eqNullSafe(F.col(f"__b_{c}"))
-    ranked = srt.join(F.broadcast(bdf), cond).withColumn("__rank", F.col("__base") + F.col("__pos"))
-    wschema = ", ".join([f"`__w_{c}` {btypes[c]}" for c in by] + ["__wrank long"])
-    wdf = spark.createDataFrame(wanted, wschema)
-    wcond = F.col("__rank") == F.col("__wrank")
-    for c in by:
-        wcond = wcond & F.col(c).eqNullSafe(F.col(f"__w_{c}"))
-    got = {(*[r[c] for c in by], r["__rank"]): r["__v"]
-           for r in ranked.join(F.broadcast(wdf), wcond).select(*by, "__rank", "__v").collect()}
-    out = []
-    for key, n in totals.items():
-        for q in qs:
-            h = q * (n - 1)
-            lo, hi = int(math.floor(h)), int(math.ceil(h))
-            a, b = got[(*key, lo)], got[(*key, hi)]
-            out.append((*key, float(q), a + (b - a) * (h - lo)))
-    oschema = ", ".join([f"`{c}` {btypes[c]}" for c in by] + ["q double", "value double"])
-    return spark.createDataFrame(out, oschema)
+    inside = Window.partitionBy(*by, "__pid").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = counts.join(pieces, cond).withColumn("__from", F.col("__first") + F.coalesce(F.sum("__n").over(inside), F.lit(0)))
+    aggs = []
+    for i, q in enumerate(qs):
+        at = F.lit(float(q)) * (F.col("__total") - 1)
+        for side, k in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            here = (F.col("__from") <= k) & (k < F.col("__from") + F.col("__n"))
+            aggs.append(F.max(F.when(here, F.col("__v"))).alias(f"__{side}{i}"))
+    found = ranked.groupBy(*by).agg(F.max("__total").alias("__total"), *aggs)
+    if not by:
+        found = found.filter(F.col("__total").isNotNull())
+    each = []
+    for i, q in enumerate(qs):
+        at = F.lit(float(q)) * (F.col("__total") - 1)
+        lo, hi = F.col(f"__lo{i}"), F.col(f"__hi{i}")
+        each.append(F.struct(F.lit(float(q)).alias("q"), (lo + (hi - lo) * (at - F.floor(at))).alias("value")))
+    return found.select(*by, F.explode(F.array(*each)).alias("__r")).select(*by, "__r.q", "__r.value")
 
 
 def exact_quantiles_wide(df: DataFrame, cols: Sequence[str], qs: Sequence[float], by: Sequence[str] = ()) -> dict:
@@ -93,16 +70,8 @@ def exact_quantiles_wide(df: DataFrame, cols: Sequence[str], qs: Sequence[float]
 
 
 def exact_medians(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Median of each column per group, one row per group: (by..., cols...).
-    The per-group results are small (groups x columns) and assembled directly."""
+    """Median of each column per group, one row per group: (by..., cols...)."""
     by = list(by)
-    wide = exact_quantiles_wide(df, cols, [0.5], by)
-    vals: dict = {}
-    for key, qv in wide.items():
-        vals.setdefault(key[:-1], {})[key[-1]] = qv[0.5]
-    btypes = dict(df.select(*by).dtypes) if by else {}
-    schema = ", ".join([f"`{b}` {btypes[b]}" for b in by] + [f"`{c}` double" for c in cols])
-    rows = [(*k, *[v.get(c) for c in cols]) for k, v in vals.items()]
-    if not by and not rows:
-        rows = [tuple(None for _ in cols)]
-    return df.sparkSession.createDataFrame(rows, schema)
+    long = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(by, list(cols), "__col", "__val")
+    found = exact_quantiles(long, "__val", [0.5], [*by, "__col"])
+    return found.groupBy(*by).agg(*[F.max(F.when(F.col("__col") == c, F.col("value"))).alias(c) for c in cols])

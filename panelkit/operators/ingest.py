@@ -14,7 +14,7 @@ from ..functions.semantics import bround, clean_text, to_double, to_int
 
 def read_entity_series(spark: SparkSession, path_glob: str, *, year_col: str = "Year",
                        year_prefix: str = "YR", sep: str = ",", entity: str = "noc",
-                       encoding: str | None = None) -> tuple[DataFrame, DataFrame]:
+                       encoding: str | None = None, entity_of: str | None = None) -> tuple[DataFrame, DataFrame]:
     """A1: many small CSV files, one per entity (entity = file stem), each with a
     ``Year`` column ("YR1960") and indicator columns that may differ per file.
 
@@ -22,19 +22,22 @@ def read_entity_series(spark: SparkSession, path_glob: str, *, year_col: str = "
     with non-numeric text -> NULL and year text without digits -> NULL year;
     skipped = files without the year column.  Each file is read whole by one
     task (files are per entity and small); nothing passes through the driver.
+    Quoted fields may hold the separator and doubled quotes.  ``entity_of``: a
+    pattern whose first group, found in the file's path, is the entity instead
+    of the stem (for one folder per entity).
     Use :func:`to_wide` with :func:`indicator_order` for the wide frame."""
     reader = spark.read
     if encoding:
         reader = reader.option("encoding", encoding)
     raw = reader.text(path_glob, wholetext=True).select(
-        F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias(entity),
+        (F.regexp_extract(F.col("_metadata.file_path"), entity_of, 1) if entity_of else
+         F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")).alias(entity),
         F.col("value"))
     lines = raw.select(entity, F.posexplode(F.split("value", r"\r?\n")).alias("ln", "line")) \
         .filter(F.trim("line") != "")
-    # fields: split on the separator, trimmed, surrounding quotes removed
-    # (quoted separators inside a field are not supported by this reader)
-    fields = F.transform(F.split("line", re.escape(sep)),
-                         lambda x: F.regexp_replace(F.trim(x), r'^"|"$', ""))
+    # fields: split where an even number of quotes follows, trimmed, unquoted
+    fields = F.transform(F.split("line", re.escape(sep) + r'(?=(?:[^"]*"[^"]*")*[^"]*$)'),
+                         lambda x: F.regexp_replace(F.regexp_replace(F.trim(x), r'^"(.*)"$', "$1"), '""', '"'))
     parsed = lines.select(entity, "ln", fields.alias("vals"))
     first_ln = parsed.groupBy(entity).agg(F.min("ln").alias("ln"))
     header = parsed.join(first_ln, [entity, "ln"]).select(entity, F.col("vals").alias("names"))

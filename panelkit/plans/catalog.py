@@ -51,4 +51,4 @@ def rounded(df: DataFrame, scale: int = 6, cols: list[str] | None = None) -> Dat
 
 def load_all() -> None:
     from . import (q_panel, q_quality, q_features, q_cluster, q_composition,  # noqa: F401
-                   q_category, q_stats, q_models, q_text)
+                   q_category, q_stats, q_models, q_text, q_files)

@@ -43,9 +43,10 @@ def read_csv_skip_preamble(spark: SparkSession, path: str, skip: int, schema: T.
     return parsed.select("r.*")
 
 
-def read_json_records(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """A JSON array of records (one document per file)."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def read_json_records(spark: SparkSession, path: str, schema: T.StructType | str, lines: bool = False) -> DataFrame:
+    """A JSON array of records (one document per file), or one record per line
+    (``lines``; files of any size are then split)."""
+    return spark.read.schema(schema).option("multiLine", not lines).json(path)
 
 
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
