@@ -6,24 +6,30 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import common as C
 
+#: Links that one task handles; fewer links in all need no more than one task.
+LINKS_PER_TASK = 200_000
+
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for each node of ``links`` (a long, b long): the label is
-    the smallest node that links reach.  Each round takes the least label among
-    the neighbours and then that label's own label, so that paths halve; it
-    ends when a round changes nothing.  Every round is a table in shared
-    storage."""
-    edges = links.select("a", "b").union(links.select("b", "a")).distinct()
-    edges = C.cut_lineage(edges)
-    v = C.cut_lineage(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
-                      .withColumn("label", F.least("node", "label")))
+    the smallest node that links reach.  In each round a node takes the least
+    label among its neighbours, the root of its old label takes it too, and
+    then each label is replaced by that label's own; it ends when a round
+    changes nothing.  Every round is a table in shared storage, in as many
+    parts as the links need."""
+    parts = 1 + links.count() // LINKS_PER_TASK
+    cut = lambda df: C.cut_lineage(df.coalesce(parts)).coalesce(parts)
+    edges = cut(links.select("a", "b").union(links.select("b", "a")).coalesce(parts).distinct())
+    v = cut(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
+            .withColumn("label", F.least("node", "label")))
     while True:
-        near = (edges.join(v, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near")))
-        step = (v.join(near.withColumnRenamed("a", "node"), "node")
-                .select("node", F.col("label").alias("was"), F.least("label", "near").alias("label")))
-        up = v.select(F.col("node").alias("label"), F.col("label").alias("top"))
-        new = C.cut_lineage(C.spread_join(step, up, "label", "node")
-                            .select("node", F.least("label", "top").alias("label"), "was"))
+        near = edges.join(v, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        step = v.join(near, "node")
+        root = step.groupBy(F.col("label").alias("node")).agg(F.min("near").alias("hook"))
+        step = cut(step.join(root, "node", "left").select(
+            "node", F.col("label").alias("was"), F.least("label", "near", "hook").alias("label")))
+        up = step.select(F.col("node").alias("label"), F.col("label").alias("top"))
+        new = cut(C.spread_join(step, up, "label", "node").select("node", F.least("label", "top").alias("label"), "was"))
         if new.where("label <> was").isEmpty():
             return new.select("node", "label")
         v = new.select("node", "label")

@@ -11,10 +11,11 @@ A document is the set of its distinct word shingles; two link when
    share one of them.
 3. Classes of equal size and prefix form a group; the inverted index of prefix
    shingles is over groups.
-4. Neighbours in the index, and neighbours inside a group, are verified first
-   (as many candidates as there are index rows, at most).  What that connects
-   needs no further pairs.
-5. All other group pairs in the index are counted; a pair stays when the sizes
+4. Neighbours in the index, and neighbours inside a group, are verified first;
+   then, of the next few rows in an index list, those that are not connected
+   yet.  That makes a number of candidates in proportion to the index, and in a
+   large family of near copies it connects nearly all.
+5. All group pairs in the index that are not connected yet are counted; a pair stays when the sizes
    and the number of shared prefix shingles allow a link: if x's prefix ends
    first, then each shingle of it that y's prefix lacks is one that y lacks.
    What is left expands to its members, and whole sets decide.
@@ -42,6 +43,8 @@ from .registry import register
 
 #: Size of the bitmaps that go to all tasks.
 BITS = 1 << 21
+#: Rows of an index list before a row that are looked at first.
+REACH = 12
 #: A shingle that stands so often in one piece of texts is a common one.
 COMMON = 4
 
@@ -159,41 +162,78 @@ def _full_sets(k: int, common: np.ndarray, wanted: np.ndarray):
 _INDEX = ("key", "n", "grp", "p", "last")
 
 
-def _with_neighbour(num: int, den: int):
+def _with_neighbours(num: int, den: int):
     """Rows sorted by (key, n, grp): those whose key another row shares, with
-    the group of the row before (prev) if that has the key and a size near
-    enough, else its own.  The last row of a batch waits for the next one."""
+    the groups of the up to REACH rows before them that have the key and a size
+    near enough (prevs, the nearest first).  The last row of a batch waits for
+    the next one."""
     def of(batches):
-        wait = np.zeros((0, 7), np.int64)  # the index row, prev, whether it is known to share its key
+        back, wait, known = np.zeros((0, 5), np.int64), np.zeros((0, 5), np.int64), False
         for b in batches:
-            new = np.stack([b.column(c).to_numpy() for c in (*_INDEX, "grp")] + [np.zeros(b.num_rows, np.int64)], 1)
-            rows = np.concatenate([wait, new])
-            if not len(rows):
+            rows = np.concatenate([back, wait, np.stack([b.column(c).to_numpy() for c in _INDEX], 1)])
+            if len(rows) == len(back):
                 continue
-            key, n, grp = rows[:, 0], rows[:, 1], rows[:, 2]
-            same = key[1:] == key[:-1]
-            rows[1:, 6] |= same
-            rows[:-1, 6] |= same
-            at = np.flatnonzero(same & (den * n[:-1] >= num * n[1:])) + 1
-            rows[at, 5] = grp[at - 1]
-            wait, rows = rows[-1:], rows[:-1]
-            yield _index_batch(rows[rows[:, 6] > 0])
-        yield _index_batch(wait[wait[:, 6] > 0])
+            yield _neighbours(rows[:-1], len(back), rows[-1:], known, num, den)
+            known = len(rows) > 1 and rows[-1, 0] == rows[-2, 0]
+            back, wait = rows[:-1][-REACH:], rows[-1:]
+        if len(wait):
+            yield _neighbours(np.concatenate([back, wait]), len(back), wait[:0], known, num, den)
     return of
 
 
-def _index_batch(rows: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(rows[:, j]) for j in range(6)], names=[*_INDEX, "prev"])
+def _neighbours(rows: np.ndarray, first: int, following: np.ndarray, known: bool, num: int, den: int) -> pa.RecordBatch:
+    """The batch of rows from ``first`` on; ``known``: row ``first`` shares its key."""
+    key, n, grp = rows[:, 0], rows[:, 1], rows[:, 2]
+    shared = np.zeros(len(rows), bool)
+    same = key[1:] == key[:-1]
+    shared[1:] |= same
+    shared[:-1] |= same
+    if len(rows) and len(following):
+        shared[-1] |= key[-1] == following[0, 0]
+    if first < len(rows):
+        shared[first] |= known
+    at = np.flatnonzero(shared[first:]) + first
+    before = at[:, None] - np.arange(1, REACH + 1)
+    ok = (before >= 0) & (key[before] == key[at][:, None]) & (den * n[before] >= num * n[at][:, None])
+    ends = np.concatenate([[0], np.cumsum(ok.sum(axis=1))]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(grp[before[ok]]))
+    return pa.RecordBatch.from_arrays([*(pa.array(rows[at, j]) for j in range(5)), lists], names=[*_INDEX, "prevs"])
 
 
 def _connect(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of classes whose sets link."""
+    need = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    sets = sets.join(need, "cls", "left_semi")
     one = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a")
     two = one.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
     return two.where((num + den) * both >= num * (F.size("x") + F.size("y"))).select("a", "b")
 
 
+def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """The pairs whose classes have different labels (none: their own)."""
+    for side in ("a", "b"):
+        pairs = pairs.join(label.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}")), side, "left")
+    differ = F.coalesce("label_a", "a") != F.coalesce("label_b", "b")
+    return pairs.where(differ).select("a", "b")
+
+
+def _extend(label: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after more links: components of the labels that they join."""
+    known = label
+    for side in ("a", "b"):
+        links = links.join(known.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}")), side, "left")
+    met = C.cut_lineage(links.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+                        .where("a <> b").distinct())
+    if met.isEmpty():
+        return label
+    top = components(met)
+    up = top.select(F.col("node").alias("label"), F.col("label").alias("up"))
+    moved = C.spread_join(label, up, "label", "node", "left").select("node", F.coalesce("up", "label").alias("label"))
+    fresh = top.join(label, "node", "left_anti").select("node", "label")
+    return C.cut_lineage(moved.unionByName(fresh))
+
+
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4,
                     num: int = 85, den: int = 100) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id (smallest id
@@ -214,20 +254,24 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                                         F.min("cls").alias("leader"))
     index = groups.select("n", "grp", F.size("prefix").cast("long").alias("p"), F.element_at("prefix", -1).alias("last"),
                           F.explode("prefix").alias("key")).select("key", "n", "grp", "p", "last")
-    shared = C.cut_lineage(index.repartition("key").sortWithinPartitions("key", "n", "grp")
-                           .mapInArrow(_with_neighbour(num, den), ", ".join(f"{c} long" for c in (*_INDEX, "prev"))))
+    shared = C.cut_lineage(index.repartition("key").sortWithinPartitions("key", "n", "grp").mapInArrow(
+        _with_neighbours(num, den), ", ".join(f"{c} long" for c in _INDEX) + ", prevs array<long>"))
 
     # first the neighbours: a quarter of the prefix in common makes it worth a look
-    near = (shared.where("prev <> grp").groupBy("prev", "grp").agg(F.count("*").alias("k"), F.any_value("p").alias("p"))
+    near = (shared.select("grp", "p", F.posexplode("prevs").alias("far", "prev"))
+            .groupBy("prev", "grp").agg(F.count("*").alias("k"), F.any_value("p").alias("p"), F.min("far").alias("far"))
             .where("4 * k >= p"))
     lead = groups.select("grp", "leader")
     near = (near.join(lead.select(F.col("grp").alias("prev"), F.col("leader").alias("a")), "prev")
-            .join(lead.select("grp", F.col("leader").alias("b")), "grp").select("a", "b"))
-    inside = classes.select(F.lag("cls").over(Window.partitionBy("grp").orderBy("cls")).alias("a"), F.col("cls").alias("b"))
-    first = C.cut_lineage(near.unionByName(inside.where("a IS NOT NULL")).distinct())
+            .join(lead.select("grp", F.col("leader").alias("b")), "grp").select("a", "b", "far"))
+    inside = classes.select(F.lag("cls").over(Window.partitionBy("grp").orderBy("cls")).alias("a"), F.col("cls").alias("b"),
+                            F.lit(0).alias("far"))
+    near = C.cut_lineage(near.unionByName(inside.where("a IS NOT NULL")))
     sets_of = lambda pairs: _sets_of(rows, signed, pairs, k, common)
-    links = C.cut_lineage(_connect(first, sets_of(first), num, den))
-    label = components(links)
+    sets = sets_of(near)
+    label = components(C.cut_lineage(_connect(near.where("far = 0").select("a", "b"), sets, num, den)))
+    more = C.cut_lineage(_apart(near.where("far > 0"), label))
+    label = _extend(label, C.cut_lineage(_connect(more, sets, num, den)))
 
     # then all pairs that are not connected yet
     member = classes.select("cls", "grp", "n").join(label.withColumnRenamed("node", "cls"), "cls", "left")
@@ -251,8 +295,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     within = (m1.join(mixed, "g", "left_semi").join(m2, F.col("g") == F.col("h")).where("la < lb").select("a", "b"))
     second = C.cut_lineage(across.unionByName(within).distinct())
     if not second.isEmpty():
-        links = C.cut_lineage(links.unionByName(_connect(second, sets_of(second), num, den)))
-        label = components(links)
+        label = _extend(label, C.cut_lineage(_connect(second, sets_of(second), num, den)))
 
     least = classes.select("cls", "least").join(label.withColumnRenamed("node", "cls"), "cls", "left")
     least = least.withColumn("label", F.coalesce("label", "cls"))
