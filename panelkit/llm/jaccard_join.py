@@ -202,8 +202,6 @@ def _neighbours(rows: np.ndarray, first: int, following: np.ndarray, known: bool
 
 def _connect(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of classes whose sets link."""
-    need = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    sets = sets.join(need, "cls", "left_semi")
     one = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a")
     two = one.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
@@ -271,7 +269,8 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = sets_of(near)
     label = components(C.cut_lineage(_connect(near.where("far = 0").select("a", "b"), sets, num, den)))
     more = C.cut_lineage(_apart(near.where("far > 0"), label))
-    label = _extend(label, C.cut_lineage(_connect(more, sets, num, den)))
+    need = more.select(F.col("a").alias("cls")).union(more.select("b")).distinct()
+    label = _extend(label, C.cut_lineage(_connect(more, sets.join(need, "cls", "left_semi"), num, den)))
 
     # then all pairs that are not connected yet
     member = classes.select("cls", "grp", "n").join(label.withColumnRenamed("node", "cls"), "cls", "left")
@@ -308,8 +307,8 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _sets_of(rows: DataFrame, signed: DataFrame, pairs: DataFrame, k: int, common: np.ndarray) -> DataFrame:
-    """(cls, shingles) of the classes in ``pairs``: their least documents are
-    found by a bitmap of id hashes, a superset that the join then cuts."""
+    """(cls, shingles) of the classes in ``pairs``, and of a few more: their
+    documents are found by a bitmap of id hashes."""
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS))
     cls = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
     cls = C.cut_lineage(cls)
@@ -317,7 +316,7 @@ def _sets_of(rows: DataFrame, signed: DataFrame, pairs: DataFrame, k: int, commo
     wanted = _bitmap(rep.select(bit("id").alias("bit")).union(rep.where("id IS NULL").select(bit("id"))))
     found = (rows.select(bit("id").alias("bit"), "text")
              .mapInArrow(_full_sets(k, common, wanted), "lo long, hi long, n long, shingles array<long>"))
-    found = found.withColumn("cls", F.xxhash64("lo", "hi", "n")).join(cls, "cls", "left_semi")
+    found = found.withColumn("cls", F.xxhash64("lo", "hi", "n"))
     return C.cut_lineage(found.groupBy("cls").agg(F.any_value("shingles").alias("shingles")))
 
 
