@@ -2,9 +2,11 @@
 
 A url becomes a set of tokens (scheme, domains, path segments, extension,
 query keys; numbers are one token).  Over the labelled pages Spark's FP-growth
-mines the token sets that come with the label "block"; rules below the support
-or the confidence go, and so does a rule that a shorter one with no lower
-confidence implies.  Each rule stands in an inverted index under its rarest
+mines the token sets that come with the label "block".  A rule stays when its
+confidence is at least ``MIN_LIFT`` times the share of pages to block, and the
+pages to block that it holds are ``MIN_SUPPORT`` of the labelled ones and
+``MIN_PAGES`` at least; it goes when a shorter one with no lower confidence
+implies it.  Each rule stands in an inverted index under its rarest
 token.  Pages with equal tokens are one row until their verdict is known, so a
 frequent token meets the index once for each distinct set.
 
@@ -12,8 +14,8 @@ Explicit rules (host, path, verdict) come first: one fits its host and all
 subdomains when the url's path starts with its path; the longest wins.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path, no
-explicit rule and only the token ``none``; without labelled pages nothing is
-mined and the verdict is "allow"; null ids are kept; repeated rows give
+explicit rule and only the token ``none``; with fewer than ``MIN_PAGES``
+labelled pages to block nothing is mined and the verdict is "allow"; null ids are kept; repeated rows give
 repeated rows; further columns are ignored.
 """
 
@@ -28,7 +30,7 @@ from .registry import register
 # The explicit rules (host, path, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 MIN_SUPPORT = 0.005
-MIN_CONFIDENCE = 0.6
+MIN_PAGES = 5
 MIN_LIFT = 1.1
 LABEL = "label:block"
 
@@ -76,17 +78,20 @@ def explicit_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colu
     return rule, verdict
 
 
-def mine_rules(baskets: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE,
-               min_lift: float = MIN_LIFT) -> DataFrame:
+def mine_rules(baskets: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = 0.0,
+               min_lift: float = MIN_LIFT, min_pages: int = MIN_PAGES) -> DataFrame:
     """``baskets``: (tokens array, blocked boolean).  Returns the rules
     (antecedent, confidence, support), pruned."""
     spark = baskets.sparkSession
     items = C.cut_lineage(baskets.select(F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(LABEL))))
                                          .otherwise(F.col("tokens")).alias("items")))
     shape = "antecedent array<string>, confidence double, support double"
-    if items.isEmpty():
+    n, blocked = items.agg(F.count("*"), F.count_if(F.array_contains("items", LABEL))).first()
+    if blocked < max(min_pages, 1):
         return spark.createDataFrame([], shape)
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
+    # a little less than each bound, as Spark rounds up; the exact ones follow
+    asked = min(1.0, max(min_confidence, 0.999 * min_lift * blocked / n))
+    model = FPGrowth(itemsCol="items", minSupport=max(min_support, (min_pages - 0.5) / n), minConfidence=asked).fit(items)
     rules = (model.associationRules.where((F.col("consequent") == F.array(F.lit(LABEL))) & (F.col("lift") >= min_lift))
              .select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support"))
     rules = C.cut_lineage(rules)

@@ -354,6 +354,14 @@ def test_url_rules(spark):
     assert url_rules.judge_urls(pages.limit(0), spark.createDataFrame(shown, "url string, blocked boolean")).count() == 0
 
 
+def test_url_rules_are_held_against_the_base_rate(spark):
+    """Blocked: 15 of 100 pages, 10 of the 25 under /ads/ (confidence 0.4), and the only page of one host."""
+    shown = [(f"http://a.io/ads/{i}", i < 10) for i in range(25)] + [(f"http://a.io/read/{i}", i < 4) for i in range(74)] + [("http://once.io/read/1", True)]
+    pages = spark.createDataFrame([(1, "http://a.io/ads/99"), (2, "http://a.io/read/99"), (3, "http://once.io/read/99")], "page_id long, url string")
+    got = {r.page_id: (r.verdict, r.confidence) for r in url_rules.judge_urls(pages, spark.createDataFrame(shown, "url string, blocked boolean")).collect()}
+    assert got == {1: ("block", 0.4), 2: ("allow", None), 3: ("allow", None)}
+
+
 def test_mined_rules_are_the_frequent_ones(spark):
     rng = random.Random(8)
     baskets = [(sorted(rng.sample("abcdef", rng.randint(1, 4))), rng.random() < 0.4) for _ in range(120)]
