@@ -236,6 +236,15 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     num: int = 85, den: int = 100) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id (smallest id
     that links reach, its own included)."""
+    some, none, _ = _members(docs, id_col, text_col, k, num, den)
+    some, none = (x.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id") for x in (some, none))
+    return some.unionByName(none)
+
+
+def _members(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """The rows with a set (id, cls, n, label of the component, component_id),
+    those with an empty one (id, n, component_id), and the common shingles, by
+    which the classes are named."""
     rows = docs.select(F.col(id_col).alias("id"), C.text_or_empty(text_col).alias("text"))
     common = _bitmap(rows.select("text").mapInArrow(_mark_common(k), "bit long"))
     kind = rows.schema["id"].dataType
@@ -299,11 +308,11 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = classes.select("cls", "least").join(label.withColumnRenamed("node", "cls"), "cls", "left")
     least = least.withColumn("label", F.coalesce("label", "cls"))
     root = least.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = C.spread_join(least.select("cls", "label"), root, "label", "cls").select("cls", "component_id")
+    named = C.spread_join(least.select("cls", "label"), root, "label", "cls").select("cls", "label", "component_id")
     each = signed.select("cls", "n", F.explode("ids").alias("id"))
-    some = C.spread_join(each.where("n > 0"), named, "cls", "id").select("id", "n", "component_id")
+    some = C.spread_join(each.where("n > 0"), named, "cls", "id").select("id", "cls", "n", "label", "component_id")
     none = each.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
-    return some.unionByName(none).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    return some, none, common
 
 
 def _sets_of(rows: DataFrame, signed: DataFrame, pairs: DataFrame, k: int, common: np.ndarray) -> DataFrame:
@@ -320,13 +329,33 @@ def _sets_of(rows: DataFrame, signed: DataFrame, pairs: DataFrame, k: int, commo
     return C.cut_lineage(found.groupBy("cls").agg(F.any_value("shingles").alias("shingles")))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
-    """Of each component one row of the smallest id; a row with an empty set is
-    a component alone, and rows with a null id all stay."""
-    found = link_components(docs, id_col, **kw)
-    stay = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_id")).distinct()
-    kept = docs.join(stay, docs[id_col] == stay["_id"], "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+def _with_names(k: int, common: np.ndarray, text: int, names: list[str]):
+    """The rows of a batch and the names of their sets."""
+    def of(batches):
+        for b in batches:
+            name = [(*_name(x), len(x)) for _, texts in W.chunks(b.column(text)) for x in _sets(texts, k, common)]
+            more = [pa.array([x[j] for x in name], pa.int64()) for j in range(3)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, *names])
+    return of
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, num: int = 85,
+             den: int = 100) -> DataFrame:
+    """Of each component one row of the smallest id, whatever other rows of
+    that id there are; a row with an empty set is a component alone, and rows
+    with a null id all stay."""
+    some, _, common = _members(docs, id_col, text_col, k, num, den)
+    free = lambda x: x if x not in docs.columns else free(x + "_")
+    names, cls, at, of = [free(x) for x in ("_lo", "_hi", "_n")], free("_cls"), free("_at"), free("_of")
+    stay = (some.where(F.col("id") == F.col("component_id")).groupBy("label", F.col("id").alias(at))
+            .agg(F.min("cls").alias(of)).select(at, of))
+    alone = F.col(id_col).isNull() | ~C.text_or_empty(text_col).rlike(C.WORD)
+    shape = T.StructType([*docs.schema.fields, *(T.StructField(x, T.LongType()) for x in names)])
+    rows = docs.where(~alone).mapInArrow(_with_names(k, common, docs.columns.index(text_col), names), shape)
+    rows = rows.withColumn(cls, F.xxhash64(*names))
+    # rows of equal id and equal set are of one component
+    kept = rows.join(stay, (F.col(id_col) == F.col(at)) & (F.col(cls) == F.col(of)), "left_semi").dropDuplicates([id_col, cls])
+    return kept.select(*docs.columns).unionByName(docs.where(alone))
 
 
 @register("op9_jaccard_join")

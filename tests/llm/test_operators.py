@@ -202,6 +202,20 @@ def test_jaccard_join_of_a_large_family(spark):
     assert Counter(map(tuple, jaccard_join.link_components(df).collect())) == Counter(jaccard_brute(rows, 4, 85, 100))
 
 
+def test_keep_one_of_repeated_ids(spark):
+    """Id 5 stands on a near copy of document 3, on a text alone, and twice on another; empty sets stay."""
+    rng = random.Random(6)
+    a, b, c = (sentence(rng, 60) for _ in range(3))
+    rows = [(3, a), (5, a + " end"), (5, b), (5, c), (5, c), (7, c), (8, ""), (8, None), (8, " "), (None, b)]
+    df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, _cls int").repartition(3)
+    for _ in range(2):
+        kept = jaccard_join.keep_one(df, k=5, num=80)
+        assert kept.columns == df.columns
+        assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(
+            [(3, a), (5, b), (5, c), (8, ""), (8, None), (8, " "), (None, b)])
+        df = df.repartition(1)
+
+
 ITEMS = [(0, "What is the capital of the northern province. It is Veldmark."), (1, "one two three four five six seven eight nine ten. eleven twelve"),
          (2, None), (3, ""), (4, "the of and to in is it on at by for with from up out as if so no be"), (4, "Red green blue?\nYellow brown.")]
 
