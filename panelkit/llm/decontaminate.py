@@ -14,9 +14,13 @@ and block-max WAND returns all items at or above the threshold:
 A retrieved item counts as leaked when its question and its answer (the last
 sentence) both overlap the passage in word trigrams.
 
-The items are indexed in blocks of at most ``items_per_index``, one pass over
-the documents each, so that the broadcast index is bounded whatever the size
-of the benchmark.  Nothing is shuffled.
+The items are indexed in blocks of about ``items_per_index`` items or
+``bytes_per_index`` bytes, one pass over the documents each, so that the
+broadcast index is bounded whatever the size of the benchmark.  Document
+frequencies, the number of items, their mean length and the passage length are
+those of all items, whatever the blocks.  With several blocks, each one's hits
+are a table before the next index is built.  Documents are not shuffled, but
+for ``drop_leaked`` with several blocks.
 
 Edge cases: null or empty texts and items without words have no hits; a null
 id is an id like others; repeated rows and repeated items each give their own
@@ -43,6 +47,7 @@ BLOCK = 4
 THRESHOLD = 0.6
 OVERLAP = 0.6
 ITEMS_PER_INDEX = 20_000
+BYTES_PER_INDEX = 1 << 26
 #: Passages times blocks that are summed at once.
 CELLS = 1 << 21
 
@@ -86,19 +91,30 @@ class Index:
         self.blocks, self.maxima, self.bounds = self.block.tolist(), self.block_max.tolist(), self.bound.tolist()
 
 
-def build_index(items: list[tuple]) -> Index:
-    """Index of (item_id, text) rows."""
+@dataclass
+class Totals:
+    """Of all items: their number, mean and greatest length, and how many hold
+    each word of one block (``vocab``, sorted)."""
+    items: int
+    mean: float
+    longest: int
+    vocab: np.ndarray
+    df: np.ndarray
+
+
+def build_index(items: list[tuple], totals: Totals | None = None) -> Index:
+    """Index of (item_id, text) rows; without ``totals`` these are all items."""
     texts = [t or "" for _, t in items]
     words = _words(texts)
     length = np.array([len(w) for w in words] or [0], float)
-    mean = max(length.mean(), 1.0)
+    mean = max(totals.mean if totals else length.mean(), 1.0)
     doc = np.repeat(np.arange(len(words)), length.astype(int)[: len(words)])
     allw = np.concatenate(words) if words else np.zeros(0, np.uint64)
     vocab, term = np.unique(allw, return_inverse=True)
     pair, tf = np.unique(term.astype(np.int64) * max(len(words), 1) + doc, return_counts=True)
     t, d = pair // max(len(words), 1), pair % max(len(words), 1)
-    df = np.bincount(t, minlength=len(vocab))
-    idf = np.log1p((len(words) - df + 0.5) / (df + 0.5))
+    df = totals.df[np.searchsorted(totals.vocab, vocab)] if totals else np.bincount(t, minlength=len(vocab))
+    idf = np.log1p(((totals.items if totals else len(words)) - df + 0.5) / (df + 0.5))
     weight = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[d] / mean))
     weight /= np.bincount(d, weight, minlength=len(words))[d]
     at = np.searchsorted(t, np.arange(len(vocab) + 1))
@@ -108,7 +124,7 @@ def build_index(items: list[tuple]) -> Index:
     parts = [tuple(_grams(h) for h in _words(list(question_and_answer(x)))) for x in texts]
     return Index([i for i, _ in items], vocab, at, d, weight, bound,
                  np.searchsorted(t[begin], np.arange(len(vocab) + 1)), d[begin] // BLOCK, block_max, parts,
-                 2 * max(64, int(length.max())))
+                 2 * max(64, totals.longest if totals else int(length.max())))
 
 
 def wand(ix: Index, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
@@ -251,34 +267,68 @@ def _clean(ix: Index, threshold: float, text: int):
     return of
 
 
-def _indexes(benchmark: DataFrame, item_col: str, item_text: str, items_per_index: int):
-    """Indexes over parts of the items, each of a bounded number."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text"))
-    parts = max(1, -(-items.count() // items_per_index))
-    for k in range(parts):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()
-        yield build_index(sorted(map(tuple, part), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")))
+def _item_words(batches):
+    """The length and the distinct words of each item."""
+    for b in batches:
+        words = _words(b.column("text").to_pylist())
+        yield pa.record_batch([b.column("part"), pa.array([len(w) for w in words], pa.int64()),
+                               pa.array([np.unique(w).view(np.int64) for w in words], pa.list_(pa.int64()))],
+                              names=["part", "n", "words"])
+
+
+def _indexes(benchmark: DataFrame, item_col: str, item_text: str, items_per_index: int, bytes_per_index: int):
+    """(number of indexes, the indexes one after the other) over parts of the
+    items, each of a bounded number and size."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), C.text_or_empty(item_text).alias("text"))
+    count, size = items.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    parts = max(1, -(-count // items_per_index), -(-(size or 0) // bytes_per_index))
+    order = lambda part: sorted(map(tuple, part), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+
+    def many():
+        # by row, not by content: copies of an item spread like others
+        held = C.cut_lineage(items.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts))))
+        lengths = C.cut_lineage(held.mapInArrow(_item_words, "part long, n long, words array<long>"))
+        total, longest = lengths.agg(F.sum("n"), F.max("n")).first()
+        word = lengths.select("part", F.explode("words").alias("word"))
+        df = C.cut_lineage(word.groupBy("word").agg(F.count("*").alias("df")))
+        for k in range(parts):
+            part = order(held.where(F.col("part") == k).select("item_id", "text").collect())
+            mine = word.where(F.col("part") == k).select("word").distinct().join(df, "word").toArrow()
+            vocab = mine.column("word").to_numpy().view(np.uint64)
+            by = np.argsort(vocab)
+            yield build_index(part, Totals(count, total / count, longest, vocab[by], mine.column("df").to_numpy()[by]))
+
+    return parts, iter([build_index(order(items.collect()))]) if parts == 1 else many()
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    item_col: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD,
-                   items_per_index: int = ITEMS_PER_INDEX) -> DataFrame:
+                   items_per_index: int = ITEMS_PER_INDEX, bytes_per_index: int = BYTES_PER_INDEX) -> DataFrame:
     """One row per document and retrieved item (long id): the best passage's
     score, question_overlap and answer_overlap, and whether it is ``leaked``."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     shape = f"id {kind}, item_id long, score double, question_overlap double, answer_overlap double"
-    found = [rows.mapInArrow(_hits(ix, threshold), shape) for ix in _indexes(benchmark, item_col, item_text, items_per_index)]
+    parts, indexes = _indexes(benchmark, item_col, item_text, items_per_index, bytes_per_index)
+    hits = lambda: rows.mapInArrow(_hits(next(indexes), threshold), shape)
+    # of several, each is done with before the next one is built
+    found = [hits()] if parts == 1 else [C.cut_lineage(hits()) for _ in range(parts)]
     return (reduce(DataFrame.unionByName, found).withColumnRenamed("id", id_col)
             .withColumn("leaked", (F.col("question_overlap") >= OVERLAP) & (F.col("answer_overlap") >= OVERLAP)))
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
-                item_text: str = "text", threshold: float = THRESHOLD, items_per_index: int = ITEMS_PER_INDEX) -> DataFrame:
+                item_text: str = "text", threshold: float = THRESHOLD, items_per_index: int = ITEMS_PER_INDEX,
+                bytes_per_index: int = BYTES_PER_INDEX) -> DataFrame:
     """The rows of ``docs`` without a leaked item, all columns kept."""
-    for ix in _indexes(benchmark, item_col, item_text, items_per_index):
-        docs = docs.mapInArrow(_clean(ix, threshold, docs.columns.index(text_col)), docs.schema)
-    return docs
+    parts, indexes = _indexes(benchmark, item_col, item_text, items_per_index, bytes_per_index)
+    if parts == 1:
+        return docs.mapInArrow(_clean(next(indexes), threshold, docs.columns.index(text_col)), docs.schema)
+    free = lambda x: x if x not in docs.columns else free(x + "_")
+    row = free("_row")
+    rows = C.cut_lineage(docs.withColumn(row, F.monotonically_increasing_id()))
+    hits = benchmark_hits(rows, benchmark, row, text_col, item_col, item_text, threshold, items_per_index, bytes_per_index)
+    return rows.join(hits.where("leaked").select(row).distinct(), row, "left_anti").select(*docs.columns)
 
 
 @register("op10_benchmark_bm25")

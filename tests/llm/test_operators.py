@@ -237,6 +237,22 @@ def test_decontamination(spark, empty):
     assert decontaminate.benchmark_hits(df, bench.limit(0)).count() == 0 and decontaminate.drop_leaked(df, bench.limit(0)).count() == len(rows)
 
 
+def test_blocks_of_items_change_no_score(spark):
+    """The same pairs and scores from one index, from several by number, and from several by bytes."""
+    rng = random.Random(12)
+    items = [(i, sentence(rng, rng.randint(5, 30)) + " the same end of all. " + sentence(rng, 3)) for i in range(12)] + [(12, sentence(rng, 200)), (12, None)]
+    rows = [(i, sentence(rng, 60) + " " + " ".join(t.split()[: rng.randint(4, 30)]) + " " + sentence(rng, 60)) for i, t in items if t]
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+
+    def hits(**kw):
+        got = decontaminate.benchmark_hits(df, bench, threshold=0.3, **kw).collect()
+        return Counter((r.doc_id, r.item_id, round(r.score, 9), r.leaked) for r in got)
+    want = hits()
+    assert len(want) > 5 and hits(items_per_index=3) == want and hits(bytes_per_index=500) == want
+    left = Counter(map(tuple, decontaminate.drop_leaked(df, bench, threshold=0.3).collect()))
+    assert Counter(map(tuple, decontaminate.drop_leaked(df, bench, threshold=0.3, bytes_per_index=500).collect())) == left
+
+
 def test_wand_finds_all_above_threshold():
     rng = random.Random(4)
     vocabulary = [sentence(rng, 1) + str(i) for i in range(60)]
