@@ -79,10 +79,13 @@ def _mark_common(k: int):
 
 
 def _bitmap(bits: DataFrame) -> np.ndarray:
-    """The set bits (a column of numbers below BITS) as a packed bitmap."""
-    has = np.zeros(BITS, np.uint8)
-    has[[r[0] for r in bits.distinct().collect()]] = 1
-    return np.packbits(has)
+    """The set bits (``bit``: numbers below BITS) as a packed bitmap, put
+    together in words of 64 so that BITS / 64 rows at most reach the driver."""
+    words = bits.groupBy(F.expr("shiftright(bit, 6)").alias("at")).agg(
+        F.expr("bit_or(shiftleft(1L, CAST(bit & 63 AS INT)))").alias("word")).toArrow()
+    has = np.zeros(BITS // 64, np.int64)
+    has[words.column("at").to_numpy()] = words.column("word").to_numpy()
+    return np.packbits(np.unpackbits(has.view(np.uint8), bitorder="little"))
 
 
 def _sets(texts: pa.Array, k: int, common: np.ndarray):

@@ -202,6 +202,19 @@ def test_jaccard_join_of_a_large_family(spark):
     assert Counter(map(tuple, jaccard_join.link_components(df).collect())) == Counter(jaccard_brute(rows, 4, 85, 100))
 
 
+def test_bitmap_reaches_the_driver_in_words(spark, monkeypatch):
+    bits = [0, 1, 63, 64, 65, 200, 200, jaccard_join.BITS - 1] + list(range(1000, 3000, 3))
+    got, sent = None, []
+    frame = type(spark.range(0))
+    for name in ("collect", "toArrow"):
+        monkeypatch.setattr(frame, name, lambda self, f=getattr(frame, name): (sent.append(len(x := f(self))), x)[1])
+    got = jaccard_join._bitmap(spark.createDataFrame([(b,) for b in bits], "bit long").repartition(3))
+    want = np.zeros(jaccard_join.BITS, np.uint8)
+    want[bits] = 1
+    assert (got == np.packbits(want)).all() and sum(sent) == len({b // 64 for b in bits})
+    assert not jaccard_join._bitmap(spark.createDataFrame([], "bit long")).any()
+
+
 def test_keep_one_of_repeated_ids(spark):
     """Id 5 stands on a near copy of document 3, on a text alone, and twice on another; empty sets stay."""
     rng = random.Random(6)
