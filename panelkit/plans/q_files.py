@@ -62,6 +62,14 @@ def file_table(spark, d):
     return R.read_table(spark, path).where("c_nationkey < 10").select("c_custkey", "c_name", F.col("c_nationkey").cast("int"), "c_mktsegment")
 
 
+@register("file_table_whole", _CUSTOMER_SQL)
+def file_table_whole(spark, d):
+    """Parquet stage table partitioned by nation, all partitions read."""
+    path = _path(spark, "stage")
+    S.write_table(_customer(spark, d), path, ["c_nationkey"])
+    return R.read_table(spark, path).select("c_custkey", "c_name", F.col("c_nationkey").cast("int"), "c_mktsegment")
+
+
 @register("file_report", """SELECT o_orderpriority || ': ' || count(*) AS line FROM orders GROUP BY o_orderpriority""")
 def file_report(spark, d):
     """Text report, a line per order priority."""

@@ -40,3 +40,13 @@ def test_incremental_run(spark, tmp_path):
     run_incremental(spark, str(src / "*"), schema, lambda d: d.withColumn("v2", F.col("v") * 2), str(sink),
                     checkpoint=str(tmp_path / "ck"))
     assert sorted(r.v2 for r in spark.read.parquet(str(sink)).collect()) == [4.0, 6.0, 10.0]   # only new file added
+
+
+def test_whole_table_is_read_back(spark):
+    from panelkit.plans import catalog
+    catalog.load_all()
+    d = "/root/testdata/sf0.001"
+    got = catalog.QUERIES["file_table_whole"](spark, d)
+    want = spark.read.parquet(f"{d}/customer.parquet").select(*got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert got.where("c_nationkey >= 10").count() > 0
