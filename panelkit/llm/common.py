@@ -12,8 +12,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 SALTS = 64
 
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -44,6 +48,13 @@ def spread_join(rows: DataFrame, facts: DataFrame, key: str, by: str, how: str =
     return rows.join(pairs, [key, "_salt"], how).drop("_salt")
 
 
+def bound_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Arrow batches of the session hold at most so many bytes, or one row,
+    unless the user has set a bound: long texts come in fewer rows at once."""
+    if spark.conf.get(BATCH_CONF, None) is None:
+        spark.conf.set(BATCH_CONF, str(most))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the cluster shares."""
     import uuid
@@ -51,4 +62,4 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 __all__ = ["SPACE", "WORD", "SALTS", "table", "text_or_empty", "word_count", "salted", "spread_join",
-           "scratch_path", "cut_lineage"]
+           "bound_batches", "scratch_path", "cut_lineage"]

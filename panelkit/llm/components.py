@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import discard
 from . import common as C
 
 #: Links that one task handles; fewer links in all need no more than one task.
@@ -22,6 +23,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = cut(links.select("a", "b").union(links.select("b", "a")).coalesce(parts).distinct())
     v = cut(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
             .withColumn("label", F.least("node", "label")))
+    before = []  # the tables of the round before, which the next one no longer reads
     while True:
         near = edges.join(v, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = v.join(near, "node")
@@ -30,6 +32,9 @@ def components(links: DataFrame) -> DataFrame:
             "node", F.col("label").alias("was"), F.least("label", "near", "hook").alias("label")))
         up = step.select(F.col("node").alias("label"), F.col("label").alias("top"))
         new = cut(C.spread_join(step, up, "label", "node").select("node", F.least("label", "top").alias("label"), "was"))
-        if new.where("label <> was").isEmpty():
+        done = new.where("label <> was").isEmpty()
+        discard(step, *before)
+        if done:
+            discard(edges)
             return new.select("node", "label")
-        v = new.select("node", "label")
+        before, v = [new], new.select("node", "label")

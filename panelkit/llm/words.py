@@ -21,8 +21,9 @@ LOWER[65:91] += 32
 #: Lower case, and ASCII punctuation as white space.
 BARE = LOWER.copy()
 BARE[[i for i in range(128) if not chr(i).isalnum()]] = 0x20
-#: Bytes of text that are handled at once (a longer text is a chunk alone).
-CHUNK = 2 << 20
+#: Bytes of text that are handled at once (a longer text is a chunk alone); the
+#: arrays of a chunk take some 35 times as much.
+CHUNK = 256 << 10
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -46,10 +47,15 @@ class _Powers:
 
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            n = max(n, 1 << 16, 2 * len(self.up))
+            most = 1 << 20  # longer tables are made for one long text and not kept
+            kept = n <= most
+            n = max(n, min(most, max(1 << 16, 2 * len(self.up)))) if kept else n
             one = np.ones(1, np.uint64)
-            self.up = np.cumprod(np.concatenate([one, np.full(n - 1, self.base)]), dtype=np.uint64)
-            self.down = np.cumprod(np.concatenate([one, np.full(n - 1, self.inverse)]), dtype=np.uint64)
+            up = np.cumprod(np.concatenate([one, np.full(n - 1, self.base)]), dtype=np.uint64)
+            down = np.cumprod(np.concatenate([one, np.full(n - 1, self.inverse)]), dtype=np.uint64)
+            if not kept:
+                return up, down
+            self.up, self.down = up, down
         return self.up, self.down
 
 
@@ -135,6 +141,21 @@ def window_hashes(word_hash: np.ndarray, k: int) -> np.ndarray:
     return mix((total[k:] - total[:-k]) * down[: n - k + 1])
 
 
+def sequence_hashes(word_hash: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of words from ``start`` up to ``stop``, of any length."""
+    n = len(word_hash)
+    up, down = _WORDS.to(n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(word_hash * up[:n], out=total[1:])
+    return mix((total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64))
+
+
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each run, one run after the other."""
+    end = np.cumsum(size)
+    return np.arange(end[-1] if len(end) else 0) + np.repeat(start - (end - size), size)
+
+
 def window_starts(first: np.ndarray, k: int) -> np.ndarray:
     """For each position with a hash, whether the k words lie in one text."""
     n = int(first[-1])

@@ -203,16 +203,17 @@ def test_jaccard_join_of_a_large_family(spark):
 
 
 def test_bitmap_reaches_the_driver_in_words(spark, monkeypatch):
-    bits = [0, 1, 63, 64, 65, 200, 200, jaccard_join.BITS - 1] + list(range(1000, 3000, 3))
-    got, sent = None, []
+    size = 1 << 14
+    bits = [0, 1, 63, 64, 65, 200, 200, size - 1, size + 5, -3] + list(range(1000, 3000, 3))
+    sent = []
     frame = type(spark.range(0))
     for name in ("collect", "toArrow"):
         monkeypatch.setattr(frame, name, lambda self, f=getattr(frame, name): (sent.append(len(x := f(self))), x)[1])
-    got = jaccard_join._bitmap(spark.createDataFrame([(b,) for b in bits], "bit long").repartition(3))
-    want = np.zeros(jaccard_join.BITS, np.uint8)
-    want[bits] = 1
-    assert (got == np.packbits(want)).all() and sum(sent) == len({b // 64 for b in bits})
-    assert not jaccard_join._bitmap(spark.createDataFrame([], "bit long")).any()
+    has = jaccard_join._bitmap(spark.createDataFrame([(b,) for b in bits], "bit long").repartition(3), 1000)
+    assert 64 * len(has) == size and sum(sent) == len({b % size // 64 for b in bits})
+    numbers = np.arange(-size, 2 * size)
+    assert (jaccard_join._in_bitmap(has, numbers) == np.isin(numbers % size, np.array(bits) % size)).all()
+    assert not jaccard_join._bitmap(spark.createDataFrame([], "bit long"), 0).any()
 
 
 def test_keep_one_of_repeated_ids(spark):
