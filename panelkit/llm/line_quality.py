@@ -41,7 +41,7 @@ from .registry import register
 
 MAX_PER_CLASS = 4_000
 CUT = 0.3
-RIDGE = 1.0
+RIDGE = 0.1
 STEPS = (20, 25)
 #: Documents that one task of a training step takes.
 DOCS_PER_TASK = 500
