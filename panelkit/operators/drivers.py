@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..session import cut_lineage
 from ..functions.semantics import bround, bands_closed_right, div, safe_corr, spread
 from ..functions.stats import r_pvalue, t_pvalue
 
@@ -148,6 +149,26 @@ def medalist_ranking(rows: DataFrame, athlete: str, country: str, medals: str, o
     return a
 
 
+def global_rank(df: DataFrame, order: Sequence[F.Column], name: str = "rank") -> DataFrame:
+    """Place of each row in a total order, from 1, without a one-task window:
+    rows are range-partitioned and stored with their partition, and a row's place
+    is the number of rows in the partitions before plus its place inside."""
+    order = list(order)
+    d = cut_lineage(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    count = d.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    count = count.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return d.withColumn(name, inside).join(count, "__part").withColumn(name, (F.col(name) + F.col("__before")).cast("long")).drop("__part", "__before")
+
+
+def ranked_medalists(ranking: DataFrame, athlete: str, country: str, countries: Sequence | None = None) -> DataFrame:
+    """``rank`` by medals (ties by athlete) over all athletes, of those of
+    ``countries`` if given."""
+    ranked = global_rank(ranking, [F.desc("medals"), F.asc(athlete)])
+    return ranked if countries is None else ranked.filter(F.col(country).isin(*countries))
+
+
 def small_countries(ranking: DataFrame, country: str, frac: float = 0.0001) -> DataFrame:
     """Countries whose medal sum s satisfies 0 < s < round(frac x total)."""
     per = ranking.groupBy(country).agg(F.sum("medals").alias("medals"))  # one row per country

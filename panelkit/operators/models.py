@@ -8,11 +8,10 @@
   number of groups.  Objective = 0.5 ||w||^2 + C * sum_i s_i logloss_i with
   balanced class weights s_i and an unpenalised intercept (scikit-learn's
   L2 logistic regression).
-* AUC from scores binned at 1e-6 (scores in one bin count as ties, one
-  half): per (group, score bin) positive / negative counts, then a window
-  over at most 10^6 + 1 bins per group - bounded whatever the data size.
-* Trees and regressions use Spark ML; linear least squares (OLS / ridge) use
-  the closed form from an aggregated Gram matrix.
+* AUC ranks the exact scores: counts per score, running sums over slices of
+  the score range, then inside a slice.
+* Trees and forests are grown from counts of binned rows (``trees.py``); OLS,
+  ridge and the lasso path use aggregated Gram matrices, one per fold.
 """
 
 from __future__ import annotations
@@ -20,16 +19,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql import types as T
 
 from .. import dims
 from ..functions.semantics import div
-from ..session import cut_lineage, run_concurrently
+from ..session import cut_lineage
+from .trees import Regression, cells, classifiers_by_group, predict, regressions_by_model
 
 
 MAX_GROUPS = 100_000  # model groups (categories x folds) whose coefficients are broadcast
@@ -169,58 +164,20 @@ def logit_per_category(data: DataFrame, keys: Sequence[str], category: str, feat
     return cv.join(full, category).join(n, category)
 
 
-def _assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep").transform(df)
-
-
-def _parallel(tasks, workers: int = 8):
-    return run_concurrently(tasks, workers)
-
-
 def trees_per_category(data: DataFrame, keys: Sequence[str], category: str, features: Sequence[str],
-                       label: str = "y", k: int = 5, seed: int = 42, workers: int = 24) -> DataFrame:
+                       label: str = "y", k: int = 5, seed: int = 42, trees: int = 300, rounds: int = 200) -> DataFrame:
     """M3: per category, k-fold AUC of a balanced random forest (300 trees,
     depth 5, min leaf 5) and an unweighted gradient-boosted model (200 rounds,
-    depth 3, step 0.05); feature importances of fits on all rows.  All
-    (category, model, fold) fits are independent and run concurrently."""
-    d = cut_lineage(_assemble(_balanced_weights(
-        stratified_folds(data, [*keys, category], [category, label], k), [category], label)
-        .withColumn(label, F.col(label).cast("double")), features))
-    cats = sorted(r[0] for r in d.select(category).distinct().limit(MAX_GROUPS + 1).collect())
-    if len(cats) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} categories")
-    spark = data.sparkSession
-    makers = {
-        "rf": lambda: RandomForestClassifier(labelCol=label, numTrees=300, maxDepth=5, minInstancesPerNode=5,
-                                             weightCol="__sw", seed=seed),
-        "gbt": lambda: GBTClassifier(labelCol=label, maxIter=200, maxDepth=3, stepSize=0.05, seed=seed),
-    }
-
-    def fold_task(cat, name, f):
-        def run():
-            dc = d.filter(F.col(category) == cat)
-            m = makers[name]().fit(dc.filter(F.col("fold") != f))
-            sc = m.transform(dc.filter(F.col("fold") == f)).withColumn("score", vector_to_array("probability")[1])
-            return grouped_auc(sc.withColumn("__g", F.lit(1)), ["__g"], label).first()["auc"]
-        return run
-
-    def full_task(cat, name):
-        def run():
-            return makers[name]().fit(d.filter(F.col(category) == cat)).featureImportances.toArray().tolist()
-        return run
-
-    combos = [(c, n) for c in cats for n in makers]
-    tasks = [fold_task(c, n, f) for c, n in combos for f in range(k)] + [full_task(c, n) for c, n in combos]
-    out = _parallel(tasks, workers)
-    aucs, imps = out[:len(combos) * k], out[len(combos) * k:]
-    rows = []
-    for i, (c, n) in enumerate(combos):
-        vals = [a for a in aucs[i * k:(i + 1) * k] if a is not None]
-        rows.append((c, n, float(np.mean(vals)) if vals else None, float(np.std(vals)) if vals else None,
-                     *[float(x) for x in imps[i]]))
-    schema = f"{category} string, model string, auc_mean double, auc_std double, " + \
-        ", ".join(f"imp_{f} double" for f in features)
-    return spark.createDataFrame(rows, schema)
+    depth 3, step 0.05); feature importances of fits on all rows.  Spark counts
+    the binned rows once; all (category, fold) fits start from the counts."""
+    d = cut_lineage(stratified_folds(data, [*keys, category], [category, label], k)
+                    .select(category, "fold", *features, F.col(label).cast("double").alias(label)))
+    table, edges = cells(d, [category, "fold"], features, label)
+    fits = cut_lineage(classifiers_by_group(table, category, features, max([len(e) for e in edges], default=0) + 1, k, seed,
+                                            {"trees": trees, "depth": 5, "leaf": 5}, {"rounds": rounds, "depth": 3, "rate": 0.05}))
+    cv = fits.filter(F.col("model") >= 0).groupBy(category, "kind").agg(F.avg("auc").alias("auc_mean"), F.stddev_pop("auc").alias("auc_std"))
+    imp = fits.filter(F.col("model") == -1).select(category, "kind", *[f"imp_{f}" for f in features])
+    return cv.join(imp, [category, "kind"]).withColumnRenamed("kind", "model")
 
 
 def model_deltas(logit: DataFrame, trees: DataFrame, category: str, threshold: float = 0.01) -> DataFrame:
@@ -283,82 +240,143 @@ def r2_mae(df: DataFrame, label: str, pred: str = "pred") -> DataFrame:
                   .alias("r2"), F.avg(F.abs(F.col(label) - F.col(pred))).alias("mae"))
 
 
-def regression_bakeoff(data: DataFrame, keys: Sequence[str], features: Sequence[str], label: str,
-                       k: int = 5, seed: int = 42, lasso_grid: Sequence[float] = (0.001, 0.01, 0.1, 1.0)) -> DataFrame:
-    """M6: k-fold R2 (mean, sd) and MAE of OLS, ridge (alpha 1), lasso (alpha
-    from the grid, chosen on a validation fold inside the training folds),
-    random forest (200 x depth 8 x leaf 5) and gradient boosting (200 x depth
-    4 x 0.05)."""
-    d = cut_lineage(_assemble(data.withColumn("fold", fold_column(keys, k))
-                              .withColumn(label, F.col(label).cast("double")), features))
+def gram_by(df: DataFrame, by: Sequence[str], features: Sequence[str], label: str) -> dict[tuple, np.ndarray]:
+    """{by values: Z'Z} of Z = (1, features, label), in one aggregation; only
+    these (p + 2)^2 numbers of each group reach the driver."""
+    z = [F.lit(1.0), *[F.col(f).cast("double") for f in features], F.col(label).cast("double")]
+    pairs = [(i, j) for i in range(len(z)) for j in range(i, len(z))]
+    out = {}
+    for r in df.groupBy(*by).agg(*[F.sum(z[i] * z[j]).alias(f"a{i}_{j}") for i, j in pairs]).collect():
+        g = np.zeros((len(z), len(z)))
+        for i, j in pairs:
+            g[i, j] = g[j, i] = r[f"a{i}_{j}"] or 0.0
+        out[tuple(r[c] for c in by)] = g
+    return out
+
+
+def _centred(g: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, float, np.ndarray, np.ndarray]:
+    """(n, feature means, sds, label mean, correlation-scale X'X, X'y) of a Gram matrix."""
+    n, mean, y = g[0, 0], g[0, 1:-1] / g[0, 0], g[0, -1] / g[0, 0]
+    sd = np.sqrt(np.maximum(np.diag(g)[1:-1] / n - mean**2, 0.0))
+    sd[sd <= 1e-9 * np.abs(mean)] = 1.0
+    xx = (g[1:-1, 1:-1] - n * np.outer(mean, mean)) / np.outer(sd, sd)
+    return n, mean, sd, y, xx, (g[1:-1, -1] - n * mean * y) / sd
+
+
+def _on_own_scale(slope: np.ndarray, mean: np.ndarray, sd: np.ndarray, y: float) -> np.ndarray:
+    return np.concatenate([[y - (slope / sd) @ mean], slope / sd])
+
+
+def ridge_from_gram(g: np.ndarray, alpha: float) -> np.ndarray:
+    """Intercept and slopes of ridge on standardised features (alpha 0: OLS)."""
+    n, mean, sd, y, xx, xy = _centred(g)
+    return _on_own_scale(np.linalg.lstsq(xx + alpha * np.eye(len(xy)), xy, rcond=None)[0], mean, sd, y)
+
+
+def lasso_path(xx: np.ndarray, xy: np.ndarray, n: float, alphas: Sequence[float], tol: float = 1e-10, rounds: int = 10_000) -> np.ndarray:
+    """Slopes for each penalty, largest first: coordinate descent on
+    ``1 / (2n) |y - Xb|^2 + alpha |b|_1`` given X'X and X'y, each fit from the one before."""
+    b, out = np.zeros(len(xy)), []
+    for alpha in alphas:
+        for _ in range(rounds):
+            most = 0.0
+            for j in range(len(b)):
+                if xx[j, j] <= 0:
+                    continue
+                rho = xy[j] - xx[j] @ b + xx[j, j] * b[j]
+                new = np.sign(rho) * max(abs(rho) - n * alpha, 0.0) / xx[j, j]
+                most, b[j] = max(most, abs(new - b[j])), new
+            if most <= tol * max(1.0, np.abs(b).max(initial=0.0)):
+                break
+        out.append(b.copy())
+    return np.array(out)
+
+
+def lasso_cv(grams: Sequence[np.ndarray], n_alphas: int = 100, eps: float = 1e-3) -> tuple[np.ndarray, float]:
+    """(intercept and slopes, penalty): the penalty of least mean squared error
+    over the folds given by their Gram matrices, on a path of ``n_alphas``
+    penalties from the least that leaves no slope down to ``eps`` of it.  Errors
+    of a fold left out follow from its own matrix, so no row is read again."""
+    whole = sum(grams)
+    n, mean, sd, y, xx, xy = _centred(whole)
+    top = np.abs(xy).max() / n
+    alphas = top * np.logspace(0, np.log10(eps), n_alphas) if top > 0 else np.zeros(1)
+    error = np.zeros(len(alphas))
+    for g in grams:
+        if g[0, 0] in (0, n):
+            continue
+        m, mu, s, yy, fxx, fxy = _centred(whole - g)
+        for i, slope in enumerate(lasso_path(fxx, fxy, m, alphas, tol=1e-7)):
+            c = np.concatenate([-_on_own_scale(slope, mu, s, yy), [1.0]])
+            error[i] += c @ g @ c / g[0, 0]
+    best = int(np.argmin(error))
+    return _on_own_scale(lasso_path(xx, xy, n, alphas[: best + 1])[-1], mean, sd, y), float(alphas[best])
+
+
+def regression_bakeoff(data: DataFrame, keys: Sequence[str], features: Sequence[str], label: str, k: int = 5, inner: int = 5,
+                       seed: int = 42, forest: dict | None = None, boost: dict | None = None) -> DataFrame:
+    """M6: k-fold R2 (mean, sd) and MAE of OLS, ridge (alpha 1), lasso (penalty
+    by ``inner`` folds inside the training rows, full path), random forest (200 x
+    depth 8 x leaf 5) and gradient boosting (200 x depth 4 x 0.05).  Folds are of
+    equal size.  The linear fits share one aggregation of Gram matrices by
+    (fold, inner fold), the trees one table of cells, the scores one pass."""
+    d = data.withColumn("__all", F.lit(0)).withColumn(label, F.col(label).cast("double"))
+    d = stratified_folds(d, keys, ["__all"], k * inner).withColumnRenamed("fold", "__f")
+    d = cut_lineage(d.withColumn("fold", F.pmod("__f", F.lit(k)).cast("int")).withColumn("inner", F.floor(F.col("__f") / k).cast("int")).drop("__all", "__f"))
+    grams = gram_by(d, ["fold", "inner"], features, label)
+    folds = sorted({f for f, _ in grams})
+    coef = {}
+    for f in folds:
+        parts = [sum(g for (a, i), g in grams.items() if a != f and i == j) for j in range(inner)]
+        parts = [g for g in parts if isinstance(g, np.ndarray)]
+        if parts:
+            coef[f] = {"ols": ridge_from_gram(sum(parts), 0.0), "ridge": ridge_from_gram(sum(parts), 1.0), "lasso": lasso_cv(parts)[0]}
+    table, edges = cells(d, ["fold"], features, label)
+    kinds = {"rf": forest or {"trees": 200, "depth": 8, "leaf": 5}, "gbt": boost or {"rounds": 200, "depth": 4, "rate": 0.05}}
+    fits = regressions_by_model(table, features, edges, folds, kinds, seed)
     spark = data.sparkSession
-    def fold_task(f):
-        def run():
-            out = {}
-            tr, te = d.filter(F.col("fold") != f), d.filter(F.col("fold") == f)
-            for name, alpha in (("ols", 0.0), ("ridge", 1.0)):
-                r = r2_mae(linear_predict(te, gram_fit(tr, features, label, alpha), features), label).first()
-                out[name] = (r["r2"], r["mae"])
-            best = None  # lasso penalty chosen on one validation fold inside the training folds
-            vf = (f + 1) % k
-            itr, ite = tr.filter(F.col("fold") != vf), tr.filter(F.col("fold") == vf)
-            for a in lasso_grid:
-                m = LinearRegression(labelCol=label, elasticNetParam=1.0, regParam=a, standardization=True).fit(itr)
-                score = r2_mae(m.transform(ite).withColumnRenamed("prediction", "pred"), label).first()["r2"]
-                score = -1e300 if score is None else score
-                if best is None or score > best[0]:
-                    best = (score, a)
-            lm = LinearRegression(labelCol=label, elasticNetParam=1.0, regParam=best[1], standardization=True).fit(tr)
-            r = r2_mae(lm.transform(te).withColumnRenamed("prediction", "pred"), label).first()
-            out["lasso"] = (r["r2"], r["mae"])
-            for name, est in (("rf", RandomForestRegressor(labelCol=label, numTrees=200, maxDepth=8,
-                                                            minInstancesPerNode=5, seed=seed, featureSubsetStrategy="all")),
-                              ("gbt", GBTRegressor(labelCol=label, maxIter=200, maxDepth=4, stepSize=0.05, seed=seed))):
-                m = est.fit(tr)
-                r = r2_mae(m.transform(te).withColumnRenamed("prediction", "pred"), label).first()
-                out[name] = (r["r2"], r["mae"])
-            return out
-        return run
-
-    folds = _parallel([fold_task(f) for f in range(k)], k)
-    res = {m: [fo[m] for fo in folds] for m in ("ols", "ridge", "lasso", "rf", "gbt")}
-    rows = []
-    for name, v in res.items():
-        r2 = [x[0] for x in v if x[0] is not None]
-        mae = [x[1] for x in v if x[1] is not None]
-        rows.append((name, float(np.mean(r2)), float(np.std(r2)) if r2 else None, float(np.mean(mae))))
-    return spark.createDataFrame(rows, "model string, r2_mean double, r2_std double, mae double")
+    if not coef:
+        return spark.createDataFrame([], "model string, r2_mean double, r2_std double, mae double")
+    linear = [m for m in ("ols", "ridge", "lasso")]
+    rows = [(f, *[[float(x) for x in c[m]] for m in linear]) for f, c in coef.items()]  # k rows
+    scored = predict(d, {c: {f: fits[f, c] for f in folds if (f, c) in fits} for c in kinds}, "fold")
+    scored = scored.join(F.broadcast(spark.createDataFrame(rows, "fold int, " + ", ".join(f"__{m} array<double>" for m in linear))), "fold")
+    value = lambda m: sum((F.col(f"__{m}")[i + 1] * F.col(x) for i, x in enumerate(features)), F.col(f"__{m}")[0])
+    scored = scored.select("fold", label, *[value(m).alias(m) for m in linear], *kinds)
+    y = F.col(label)
+    spread = F.sum(y * y) - F.sum(y) * F.sum(y) / F.count(y)
+    each = scored.groupBy("fold").agg(*[(1 - div(F.sum((y - F.col(m)) ** 2), spread)).alias(f"r2_{m}") for m in (*linear, *kinds)],
+                                      *[F.avg(F.abs(y - F.col(m))).alias(f"mae_{m}") for m in (*linear, *kinds)])
+    out = each.select("fold", F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"r2_{m}").alias("r2"), F.col(f"mae_{m}").alias("mae"))
+                                                  for m in (*linear, *kinds)])).alias("e")).select("e.*")
+    return out.groupBy("model").agg(F.avg("r2").alias("r2_mean"), F.stddev_pop("r2").alias("r2_std"), F.avg("mae").alias("mae"))
 
 
 def rf_importance(data: DataFrame, features: Sequence[str], label: str, trees: int = 300, depth: int = 8,
                   leaf: int = 5, seed: int = 42):
     """M7: random-forest regressor and its feature importances (feature, importance)."""
-    d = _assemble(data.withColumn(label, F.col(label).cast("double")), features)
-    m = RandomForestRegressor(labelCol=label, numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf,
-                              seed=seed, featureSubsetStrategy="all").fit(d)
-    imp = [(f, float(v)) for f, v in zip(features, m.featureImportances.toArray())]
-    return m, data.sparkSession.createDataFrame(imp, "feature string, importance double")
+    table, edges = cells(data.withColumn("fold", F.lit(0)), ["fold"], features, label)
+    m = regressions_by_model(table, features, edges, [-1], {"rf": {"trees": trees, "depth": depth, "leaf": leaf}}, seed)[-1, "rf"]
+    return m, data.sparkSession.createDataFrame(m.importance(), "feature string, importance double")
 
 
-def holdout_eval(model, test: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+def holdout_eval(model: Regression, test: DataFrame, label: str) -> DataFrame:
     """M8: predictions floored at 0 and rounded to 1 dp; error, abs error."""
-    p = model.transform(_assemble(test, features)).drop("features")
-    p = p.withColumn("pred", F.bround(F.greatest(F.col("prediction"), F.lit(0.0)), 1)).drop("prediction")
+    p = predict(test, {"pred": model}).withColumn("pred", F.bround(F.greatest(F.col("pred"), F.lit(0.0)), 1))
     return p.withColumns({"error": F.col("pred") - F.col(label), "abs_error": F.abs(F.col("pred") - F.col(label))})
 
 
 def project_scenario(panel: DataFrame, entity: str, time: str, gdp: str, pop: str, prev: str,
                      host: str | None = None, life: str | None = None, urban: str | None = None) -> DataFrame:
-    """M9: per entity, growth g = mean percentage change between the last 3
-    non-null values of GDP (by time; two changes at most) clipped to the range,
-    default when undefined; next values:
+    """M9: per entity, growth g = mean percentage change between the GDP values
+    of its last 3 rows, those without a value left out (two changes at most),
+    clipped to the range, default when undefined; next values:
     GDP x (1 + g)^2, population x 1.015, life + 0.5, urban + 0.5 (cap 100)."""
     w = Window.partitionBy(entity).orderBy(time)
     last = Window.partitionBy(entity).orderBy(F.desc(time))
-    pc = panel.filter(F.col(gdp).isNotNull()) \
-        .withColumn("__pct", div(F.col(gdp) - F.lag(gdp).over(w), F.lag(gdp).over(w))) \
-        .withColumn("__rn", F.row_number().over(last))
-    g = pc.filter(F.col("__rn") <= 2).groupBy(entity).agg(F.avg("__pct").alias("__g"))
+    pc = panel.withColumn("__rn", F.row_number().over(last)).filter((F.col("__rn") <= 3) & F.col(gdp).isNotNull()) \
+        .withColumn("__pct", div(F.col(gdp) - F.lag(gdp).over(w), F.lag(gdp).over(w)))
+    g = pc.groupBy(entity).agg(F.avg("__pct").alias("__g"))
     latest = panel.withColumn("__rn", F.row_number().over(last)).filter(F.col("__rn") == 1).drop("__rn")
     lo, hi = dims.GROWTH_CLIP
     j = latest.join(g, entity, "left").withColumn(
@@ -375,24 +393,20 @@ def project_scenario(panel: DataFrame, entity: str, time: str, gdp: str, pop: st
     return out.drop("__g")
 
 
-def forecast_interval(model, rows: DataFrame, features: Sequence[str], lo: float = 0.10, hi: float = 0.90) -> DataFrame:
+def forecast_interval(model: Regression, rows: DataFrame, lo: float = 0.10, hi: float = 0.90) -> DataFrame:
     """Forest prediction floored at 0 and rounded, with the lo / hi
-    percentiles of the individual trees' predictions, floored and rounded alike."""
-    d = _assemble(rows, features)
-    preds = []
-    for i, t in enumerate(model.trees):
-        d = t.setPredictionCol(f"__t{i}").transform(d)
-        preds.append(F.col(f"__t{i}"))
-    arr = F.array_sort(F.array(*preds))
-    n = len(preds)
-
-    def pct(q):  # linear interpolation between order statistics
-        pos = q * (n - 1)
-        i0, frac = int(np.floor(pos)), pos - np.floor(pos)
-        a = F.element_at(arr, i0 + 1)
-        b = F.element_at(arr, min(i0 + 2, n))
-        return a + (b - a) * F.lit(float(frac))
-
-    out = model.transform(d).withColumn("pred", F.bround(F.greatest(F.col("prediction"), F.lit(0.0)), 0))
-    out = out.withColumn("p_lo", F.bround(F.greatest(pct(lo), F.lit(0.0)), 0)).withColumn("p_hi", F.bround(F.greatest(pct(hi), F.lit(0.0)), 0))
-    return out.drop("features", "prediction", *[f"__t{i}" for i in range(n)])
+    percentiles of the individual trees' predictions, floored and rounded alike;
+    one pass walks all trees."""
+    out = predict(rows, {"pred": model}, quantiles={"p_lo": ("pred", lo), "p_hi": ("pred", hi)})
+    return out.withColumns({c: F.bround(F.greatest(F.col(c), F.lit(0.0)), 0) for c in ("pred", "p_lo", "p_hi")})
+
+
+def host_effect(model: Regression, rows: DataFrame, host: str) -> DataFrame:
+    """Prediction of each row as a host and as none, and the difference."""
+    both = [predict(rows.withColumn(host, F.lit(v).cast(rows.schema[host].dataType)), {name: model}).drop(host)
+            for v, name in ((1, "as_host"), (0, "as_guest"))]
+    keys = [c for c in both[0].columns if c != "as_host"]
+    tagged = both[0].select(*keys, "as_host", F.lit(None).cast("double").alias("as_guest")).unionByName(
+        both[1].select(*keys, F.lit(None).cast("double").alias("as_host"), "as_guest"))
+    out = tagged.groupBy(*keys).agg(F.max("as_host").alias("as_host"), F.max("as_guest").alias("as_guest"))
+    return out.withColumn("host_effect", F.col("as_host") - F.col("as_guest"))

@@ -8,11 +8,11 @@ Physical shape (what ``explain`` shows for :func:`build_panel`):
   shuffle by entity, no range join, no join back.  A window partition holds
   one entity's series years plus its panel rows, so a hot entity cannot skew
   it (its raw facts were aggregated into <= one row per year first).
-* host lookup — the games table has one row per edition (bounded by the number
-  of distinct editions), so it is broadcast.
-* densify — the edition list is bounded (checked), turned into an array
-  literal and exploded per entity: a projection, not a join; absent pairs are
-  found with one left-anti join on the full key.
+* host lookup — the games table has one row per edition; Spark measures it and
+  chooses the join.
+* densify — entities and editions are two stored dimension tables; editions
+  are dealt into blocks, each entity meets each block once and the block is
+  exploded; absent pairs are found with one left-anti join on the full key.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.semantics import require_columns
 from ..session import cut_lineage
 
-MAX_EDITIONS = 100_000  # editions are (year, season) pairs; far below this in practice
+BLOCK = 1_000  # rows of the smaller dimension that travel together
+SALTS = 64  # copies of a block, so that no task holds all entities
 
 
 def trailing_mean(panel: DataFrame, series: DataFrame, entity: str, year: str,
@@ -87,30 +88,36 @@ def column_fd(df: DataFrame, keys: Sequence[str], candidates: Sequence[str] | No
     cands = [c for c in (candidates or df.columns) if c not in keys]
     if not cands:
         return []
-    per = df.groupBy(*keys).agg(*[F.count_distinct(c).alias(c) for c in cands])
-    mx = per.agg(*[F.max(c).alias(c) for c in cands]).first()
-    return [c for c in cands if mx[c] is None or mx[c] <= 1]
-
-
-def edition_list(tally: DataFrame, year: str, edition: str) -> list[tuple]:
-    """Distinct (year, edition) pairs; bounded (checked) before it is inlined."""
-    eds = tally.select(year, edition).distinct()
-    rows = eds.limit(MAX_EDITIONS + 1).collect()
-    if len(rows) > MAX_EDITIONS:
-        raise ValueError(f"more than {MAX_EDITIONS} editions; densify expects a bounded edition list")
-    return sorted((r[0], r[1]) for r in rows)
-
-
-def edition_stats(tally: DataFrame, year: str, edition: str, candidates: Sequence[str]) -> list[dict]:
-    """One small job: per (year, edition) the distinct count and the min of
-    each candidate column.  Bounded by the number of editions (checked)."""
-    aggs = [F.count(F.lit(1)).alias("__rows")]
-    for c in candidates:
-        aggs += [F.count_distinct(c).alias(f"__nd_{c}"), F.min(c).alias(f"__min_{c}")]
-    rows = tally.groupBy(year, edition).agg(*aggs).limit(MAX_EDITIONS + 1).collect()
-    if len(rows) > MAX_EDITIONS:
-        raise ValueError(f"more than {MAX_EDITIONS} editions; densify expects a bounded edition list")
-    return sorted((r.asDict() for r in rows), key=lambda r: (r[year], r[edition]))
+    per = df.groupBy(*keys).agg(*[(F.min(c) != F.max(c)).alias(c) for c in cands])
+    mixed = per.agg(*[F.max(c).alias(c) for c in cands]).first()
+    return [c for c in cands if not mixed[c]]
+
+
+def edition_values(tally: DataFrame, year: str, edition: str, candidates: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """(stored table: one row per (year, edition) with the value of each column
+    that depends on them, those columns): a column depends on the edition when
+    its least and greatest value agree in every edition."""
+    cands = list(candidates)
+    per = cut_lineage(tally.groupBy(year, edition).agg(F.count(F.lit(1)).alias("__rows"), *[F.min(c).alias(c) for c in cands],
+                                                       *[(F.min(c) != F.max(c)).alias(f"__mixed_{c}") for c in cands]))
+    mixed = per.agg(F.count(F.lit(1)), *[F.max(f"__mixed_{c}").alias(c) for c in cands]).first()
+    fd = [c for c in cands if not mixed[c]]
+    return per.select(year, edition, *fd), fd
+
+
+def grid(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Every row of ``left`` with every row of ``right`` (the smaller table, read
+    three times): ``right`` is dealt into blocks of some ``BLOCK`` rows, which
+    rows of ``left`` meet by (block, salt), so that neither side is broadcast
+    and a task holds one block and its share of ``left``."""
+    n = right.count()
+    blocks = 1 + n // BLOCK
+    row = F.struct(*[F.col(c) for c in right.columns])
+    dealt = right.groupBy(F.pmod(F.xxhash64(*right.columns), F.lit(blocks)).alias("__block")).agg(F.collect_list(row).alias("__rows"))
+    dealt = dealt.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int")
+    asks = left.withColumn("__salt", salt).withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
+    return asks.join(dealt, ["__block", "__salt"]).select(*left.columns, F.explode("__rows").alias("__r")).select(*left.columns, "__r.*")
 
 
 def densify(tally: DataFrame, entities: DataFrame, entity: str, year: str, edition: str,
@@ -120,26 +127,15 @@ def densify(tally: DataFrame, entities: DataFrame, entity: str, year: str, editi
     (year, edition) copied when the group holds exactly one non-null value,
     every other column NULL.  Returns original rows + added rows.
 
-    The edition list and the functional-dependency values come from one small
-    aggregation job; they are inlined as an array literal, so the added rows
-    are produced by a projection + explode per entity and one left-anti join."""
+    Editions and their dependent values are one stored table, joined with the
+    entities in blocks (``grid``)."""
     cands = [c for c in tally.columns if c not in (entity, year, edition, *zero_cols)]
     if fd_cols is not None:
         cands = [c for c in cands if c in fd_cols]
-    stats = edition_stats(tally, year, edition, cands)
-    fd = [c for c in cands if all(r[f"__nd_{c}"] <= 1 for r in stats)]
+    editions, _ = edition_values(tally, year, edition, cands)
     dtypes = dict(tally.dtypes)
-
-    def lit(v, c):
-        return F.lit(v).cast(dtypes[c])
-
-    ed_arr = F.array(*[F.struct(lit(r[year], year).alias(year), lit(r[edition], edition).alias(edition),
-                                *[lit(r[f"__min_{c}"] if r[f"__nd_{c}"] == 1 else None, c).alias(c) for c in fd])
-                       for r in stats])
-    grid = (entities.select(entity).distinct()
-            .select(entity, F.explode(ed_arr).alias("__ed"))
-            .select(entity, "__ed.*"))
-    absent = grid.join(tally.select(entity, year, edition), [entity, year, edition], "left_anti")
+    pairs = grid(entities.select(entity).distinct(), editions)
+    absent = pairs.join(tally.select(entity, year, edition), [entity, year, edition], "left_anti")
     fill = {c: F.lit(0).cast(dtypes[c]) for c in zero_cols}
     for c in tally.columns:
         if c not in absent.columns and c not in fill:
@@ -163,7 +159,7 @@ def build_panel(tally: DataFrame, games: DataFrame, series: DataFrame, *, entity
         tally, series = cut_lineage(tally), cut_lineage(series)
     dense = densify(tally, series.select(entity), entity, year, edition, list(medals))
     hosts, _ = host_lookup(games, [year, edition], list(host_values))
-    with_host = dense.join(F.broadcast(hosts), [year, edition], "left")
+    with_host = dense.join(hosts, [year, edition], "left")
     out = trailing_mean(with_host, series, entity, year, indicators, n)
     return out.select(*tally.columns, *host_values, *indicators)
 
@@ -193,7 +189,7 @@ def missing_report(tally: DataFrame, games: DataFrame, series: DataFrame, *, ent
     s2 = (ents.join(have, entity, "left_anti")
           .select(F.lit(2).alias("section"),
                   F.format_string("%s: missing country file", F.col(entity).cast("string")).alias("line")))
-    dense = densify(tally, have, entity, year, edition, [])
+    dense = densify(tally.select(entity, year, edition), have, entity, year, edition, [])
     rows = dense.select(entity, year, edition).join(have, entity, "left_semi")
     miss = window_years_present(rows, series, entity, year, n)
     s3 = (rows.join(miss, [entity, year], "inner")

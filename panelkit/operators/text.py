@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
@@ -21,13 +22,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import dims
 from ..session import cut_lineage
+from .panel import grid
 
-# --- fixed values: common UTF-8-read-as-Latin-1 sequences and their repair
-MOJIBAKE = [
-    ("Ã ", "à"), ("Ã¨", "è"), ("Ã©", "é"), ("Ã¬", "ì"), ("Ã²", "ò"), ("Ã¹", "ù"),
-    ("Ã€", "À"), ("Ãˆ", "È"), ("Ã‰", "É"), ("Ã§", "ç"), ("Ã¶", "ö"), ("Ã¼", "ü"), ("Ã¤", "ä"),
-    ("â€™", "’"), ("â€˜", "‘"), ("â€œ", "“"), ("â€\u009d", "”"), ("â€“", "–"), ("â€”", "—"), ("â€¦", "…"),
-]
 LISTING_MAX_NEWLINES = 100
 URL_DATE = r"(\d{4})/(\d{2})/(\d{2})"
 TEXT_DATE = r"\((\d+)°* (\w+) (\d{4})\)"
@@ -122,18 +118,29 @@ def extract_articles(pages: DataFrame, *, id_col: str = "page_id", html_col: str
     return ext.select(id_col, url_col, "title", date.alias("date"), clean_text("raw_text").alias("text"))
 
 
-def fix_mojibake(c) -> F.Column:
-    x = c
-    for bad, good in MOJIBAKE:
-        x = F.replace(x, F.lit(bad), F.lit(good))
-    return x
+#: The characters that windows-1252 has for the bytes 0x80 to 0x9F, and those bytes as control characters.
+_HIGH = {bytes([b]).decode("cp1252"): chr(b) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+_TAIL = "[\u0080-\u00bf" + "".join(_HIGH) + "]"
+_SHAPED = f"[\u00c2-\u00df]{_TAIL}|[\u00e0-\u00ef]{_TAIL}{{2}}|[\u00f0-\u00f4]{_TAIL}{{3}}"
+
+
+def fix_mojibake(x: F.Column) -> F.Column:
+    """UTF-8 bytes that were read as a one-byte charset: each run of characters
+    that has the shape of one UTF-8 character is encoded back to its bytes
+    and decoded as UTF-8, and stays as it is if that is not valid."""
+    pieces = F.regexp_extract_all(x, F.lit(f"(?s)(?:{_SHAPED})|[^\u00c2-\u00f4]+|."), F.lit(0))
+
+    def back(piece):
+        raw = F.encode(F.translate(piece, "".join(_HIGH), "".join(_HIGH.values())), "ISO-8859-1").cast("string")
+        return F.when(piece.rlike(f"^(?:{_SHAPED})$"), F.when(F.is_valid_utf8(raw), raw).otherwise(piece)).otherwise(piece)
+    return F.when(x.rlike(_SHAPED), F.array_join(F.transform(pieces, back), "")).otherwise(x)
 
 
 def clean_text(c) -> F.Column:
     """Strip, tab / CR -> LF, runs of LF -> one, runs of spaces -> one,
-    common mojibake repaired."""
+    mojibake repaired."""
     x = F.col(c) if isinstance(c, str) else c
-    x = F.regexp_replace(x, r"^\s+|\s+$", "")
+    x = F.regexp_replace(x, r"^[\s\p{Z}\x{85}\x1c-\x1f]+|[\s\p{Z}\x{85}\x1c-\x1f]+$", "")  # as str.strip
     x = F.regexp_replace(x, r"[\t\r]", "\n")
     x = F.regexp_replace(x, r"\n{2,}", "\n")
     x = F.regexp_replace(x, r" {2,}", " ")
@@ -193,22 +200,31 @@ def chunk_tokens(df: DataFrame, id_col: str, text: str, size: int = 500, overlap
 
 
 def lexicon_scores(chunks: DataFrame, id_col: str, text: str, lexicon: DataFrame, word: str = "word",
-                   label: str = "label") -> DataFrame:
+                   label: str = "label", salts: int = 64) -> DataFrame:
     """T6 (lexicon scorer): per chunk, the share of its lower-cased word tokens
     found in each label's lexicon; per document the mean over its chunks.
-    Output (id, label, score)."""
+    Output (id, label, score).
+
+    Texts are exploded once, into counts of (document, chunk, word), so a word
+    that recurs in a chunk is one row; the dictionary has ``salts`` copies of
+    each word, so that a word in every chunk is dealt to as many places."""
     t = chunks.select(id_col, "chunk_no", F.explode(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+")).alias("w")) \
         .filter(F.col("w") != "")
-    n = t.groupBy(id_col, "chunk_no").agg(F.count(F.lit(1)).alias("__n"))
-    hits = t.join(lexicon.select(F.col(word).alias("w"), F.col(label).alias(label)).distinct(), "w") \
-        .groupBy(id_col, "chunk_no", label).agg(F.count(F.lit(1)).alias("__h"))
-    labs = [r[0] for r in lexicon.select(label).distinct().limit(10_001).collect()]
-    if len(labs) > 10_000:
-        raise ValueError("lexicon label set is not bounded")
-    grid = n.select(id_col, "chunk_no", "__n", F.explode(F.array(*[F.lit(x) for x in sorted(labs)])).alias(label))
-    s = grid.join(hits, [id_col, "chunk_no", label], "left").withColumn(
-        "score", F.coalesce(F.col("__h"), F.lit(0)) / F.col("__n"))
-    return s.groupBy(id_col, label).agg(F.avg("score").alias("score"))
+    n = t.groupBy(id_col, "chunk_no", "w").agg(F.count(F.lit(1)).alias("__c"))
+    n = n.withColumn("__salt", F.pmod(F.xxhash64(id_col, "chunk_no"), F.lit(salts)).cast("int"))
+    words = lexicon.filter(F.col(word).isNotNull() & F.col(label).isNotNull()) \
+        .groupBy(F.col(word).alias("w")).agg(F.collect_set(label).alias("__labels"))
+    words = words.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    hit = n.join(words, ["w", "__salt"], "left").groupBy(id_col, "chunk_no", "__labels").agg(F.sum("__c").alias("__c"))
+    per = cut_lineage(hit)  # a row for each set of labels in a chunk
+    total = per.groupBy(id_col, "chunk_no").agg(F.sum("__c").alias("__n"))
+    docs = total.groupBy(id_col).agg(F.count(F.lit(1)).alias("__chunks"))
+    found = per.select(id_col, "chunk_no", "__c", F.explode("__labels").alias(label)) \
+        .groupBy(id_col, "chunk_no", label).agg(F.sum("__c").alias("__h")).join(total, [id_col, "chunk_no"]) \
+        .groupBy(id_col, label).agg(F.sum(F.col("__h") / F.col("__n")).alias("__s"))
+    every = grid(docs, lexicon.select(label).filter(F.col(label).isNotNull()).distinct())
+    return every.join(found, [id_col, label], "left").select(
+        id_col, label, (F.coalesce(F.col("__s"), F.lit(0.0)) / F.col("__chunks")).alias("score"))
 
 
 def train_text_model(docs: DataFrame, labels: DataFrame, id_col: str, text: str, targets: Sequence[str],
@@ -268,6 +284,60 @@ def semantic_top_k(vectors: DataFrame, id_col: str, vec: str, query: Sequence[fl
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.asc(id_col))))
 
 
+def fit_lists(vectors: DataFrame, id_col: str, vec: str, lists: int = 32, sample: int = 20_000, seed: int = 5) -> list[list[float]]:
+    """T8 (indexed form): centres of an inverted file, by K-means on the
+    direction of at most ``sample`` vectors in hash order (the documented bound
+    of what the fit reads); ``lists`` x dimension numbers reach the driver."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+    v = F.col(vec).cast("array<double>")
+    some = vectors.filter(v.isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(sample).select(unit(v).alias("v"))
+    some = cut_lineage(some.filter(F.col("v").isNotNull()).select(array_to_vector("v").alias("features")))
+    return [list(map(float, c)) for c in KMeans(k=lists, seed=seed, initMode="k-means||").fit(some).clusterCenters()]
+
+
+def unit(v: F.Column) -> F.Column:
+    """The vector at length 1 (null for a zero vector)."""
+    size = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    return F.when(size > 0, F.transform(v, lambda x: x / size))
+
+
+def _with_lists(centres: Sequence[Sequence[float]], vec: str, probes: int, name: str):
+    m = np.array(centres)
+
+    def of(batches):
+        for d in batches:
+            x = np.array(d[vec].tolist(), float).reshape(len(d), m.shape[1])
+            d[name] = list(np.argsort(-(x @ m.T), axis=1, kind="stable")[:, :probes].astype(np.int32))
+            yield d
+    return of
+
+
+def list_index(vectors: DataFrame, id_col: str, vec: str, centres: Sequence[Sequence[float]], salts: int = 16) -> DataFrame:
+    """(id, unit vector, list, salt) of every row: its list is the centre of
+    greatest inner product; a list's rows are dealt to ``salts`` places."""
+    v = vectors.select(id_col, unit(F.col(vec).cast("array<double>")).alias("v")).filter(F.col("v").isNotNull())
+    kind = dict(v.dtypes)[id_col]
+    got = v.mapInPandas(_with_lists(centres, "v", 1, "lists"), f"`{id_col}` {kind}, v array<double>, lists array<int>")
+    return cut_lineage(got.select(id_col, "v", F.col("lists")[0].alias("list"), F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int").alias("salt")))
+
+
+def indexed_top_k(index: DataFrame, queries: DataFrame, id_col: str, query_id: str, vec: str,
+                  centres: Sequence[Sequence[float]], k: int = 40, probes: int = 8, salts: int = 16) -> DataFrame:
+    """T8 (indexed form): (query, id, score, rank) of the ``k`` best rows in the
+    ``probes`` nearest lists of each query, a stated set of query vectors.  Each
+    (list, salt) keeps its own best rows before they meet."""
+    q = queries.select(F.col(query_id).alias("query"), unit(F.col(vec).cast("array<double>")).alias("v")).filter(F.col("v").isNotNull())
+    q = q.mapInPandas(_with_lists(centres, "v", probes, "lists"), f"query {dict(q.dtypes)['query']}, v array<double>, lists array<int>")
+    q = q.select("query", F.col("v").alias("qv"), F.explode("lists").alias("list")).withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dot = F.aggregate(F.zip_with("v", "qv", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    near = index.join(q, ["list", "salt"]).select("query", id_col, "list", "salt", dot.alias("score"))
+    best = lambda *by: Window.partitionBy("query", *by).orderBy(F.desc("score"), F.asc(id_col))
+    near = near.withColumn("rank", F.row_number().over(best("list", "salt"))).filter(F.col("rank") <= k)
+    return near.withColumn("rank", F.row_number().over(best())).filter(F.col("rank") <= k).select("query", id_col, "score", "rank")
+
+
 def token_estimate(docs: DataFrame, text: str, factor: float = 1.5) -> DataFrame:
     """Total words of the retrieved documents and the token estimate (words x 1.5)."""
     w = F.size(F.filter(F.split(F.col(text), r"\s+"), lambda t: t != ""))
@@ -328,3 +398,99 @@ def grid_density_clusters(df: DataFrame, id_col: str, x: str, y: str, eps: float
         .select("cx", "cy", F.col("cluster_id").alias("label"))
     return cells.join(lab, ["cx", "cy"], "left").select(
         id_col, "cx", "cy", F.coalesce(F.col("label"), F.lit(-1)).alias("cluster"))
+
+
+def connected_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, label): the least node that ``edges`` (a, b; both directions)
+    reach.  Each round takes the least label of the neighbours and then the label
+    of the label; it is stored, and rounds grow with log(diameter)."""
+    v = cut_lineage(nodes.select("node", F.col("node").alias("label")))
+    while True:
+        near = edges.join(v, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        hop = cut_lineage(v.join(near, "node", "left").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label")))
+        up = hop.select(F.col("node").alias("label"), F.col("label").alias("top"))
+        new = cut_lineage(hop.join(up, "label", "left").select("node", "was", F.least("label", "top").alias("label")))
+        if new.filter("label <> was").isEmpty():
+            return new.select("node", "label")
+        v = new.select("node", "label")
+
+
+def density_clusters(df: DataFrame, id_col: str, x: str, y: str, eps: float, min_samples: int = 5,
+                     min_cluster_size: int = 1) -> DataFrame:
+    """DBSCAN.  A point with ``min_samples`` points within ``eps`` (its own
+    included) is core; core points within ``eps`` of each other are one cluster;
+    another point joins the cluster of the nearest core point within ``eps``
+    (ties: least cluster).  Output (id, is_core, cluster), -1 for noise and for
+    clusters below ``min_cluster_size``; points without coordinates are noise.
+
+    Points lie in cells whose diagonal is ``eps``, so all points of a cell are
+    within reach of each other: a cell with ``min_samples`` points is core as a
+    whole, a cell with a core point is one node of the cluster graph, and a cell
+    with fewer points has fewer than ``min_samples`` to compare with the 20 cells
+    around it.  Pairs are thus in proportion to the points.  Cells are joined by
+    their outermost core points first; only where two cells are still apart are
+    their points compared, those near the other cell, each value once."""
+    side = eps / 2**0.5
+    pts = df.select(F.col(id_col).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    cell = lambda c: F.floor(F.col(c) / F.lit(side)).cast("long")
+    pts = pts.withColumns({"cx": cell("x"), "cy": cell("y"), "row": F.monotonically_increasing_id()})
+    pts = cut_lineage(pts)
+    known = pts.filter("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
+    around = [(i, j) for i in range(-2, 3) for j in range(-2, 3) if abs(i) + abs(j) < 4 and (i, j) != (0, 0)]
+    offs = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in around]))
+    within = lambda a, b: ((F.col(f"{a}x") - F.col(f"{b}x")) ** 2 + (F.col(f"{a}y") - F.col(f"{b}y")) ** 2) <= F.lit(eps * eps)
+
+    def reaching(d, keep):
+        """Rows of ``d`` (few in a cell) sent to the cells around them, as p-columns."""
+        e = d.select("cx", "cy", *keep, offs.alias("o"))
+        return e.select(*[F.col(c).alias(f"p{c}") for c in ("cx", "cy", *keep)], (F.col("cx") + F.col("o.i")).alias("cx"),
+                        (F.col("cy") + F.col("o.j")).alias("cy"))
+    count = known.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n"))
+    placed = cut_lineage(known.join(count, ["cx", "cy"]))
+    sparse = placed.filter(F.col("n") < min_samples)
+    values = placed.groupBy("cx", "cy", "x", "y").agg(F.count(F.lit(1)).alias("m"))
+    met = reaching(sparse, ["row", "x", "y", "n"]).join(values, ["cx", "cy"]).filter(within("p", "")) \
+        .groupBy(F.col("prow").alias("row")).agg(F.sum("m").alias("met"))
+    core = sparse.join(met, "row", "left").filter(F.col("n") + F.coalesce("met", F.lit(0)) >= min_samples).select("row", "cx", "cy", "x", "y")
+    core = cut_lineage(placed.filter(F.col("n") >= min_samples).select("row", "cx", "cy", "x", "y").unionByName(core))
+
+    # the graph of cells with core points, by their outermost points, then by the others
+    node = F.xxhash64("cx", "cy")
+    cells = cut_lineage(core.select("cx", "cy").distinct().withColumn("node", node))
+    ends = [F.col("x"), -F.col("x"), F.col("y"), -F.col("y"), F.col("x") + F.col("y"), -F.col("x") - F.col("y"), F.col("x") - F.col("y"), F.col("y") - F.col("x")]
+    outer = core.groupBy("cx", "cy").agg(*[F.min_by(F.struct("x", "y"), F.struct(e, "x", "y")).alias(f"e{i}") for i, e in enumerate(ends)])
+    outer = outer.select("cx", "cy", F.explode(F.array_distinct(F.array(*[f"e{i}" for i in range(len(ends))]))).alias("e")).select("cx", "cy", "e.*")
+
+    def joined(some, others):
+        pairs = reaching(some, ["x", "y"]).join(others, ["cx", "cy"]).filter(within("p", ""))
+        return pairs.select(F.xxhash64("pcx", "pcy").alias("a"), node.alias("b")).distinct()
+    both = lambda e: cut_lineage(e.union(e.select("b", "a")).distinct())
+    edges = both(joined(outer, outer))
+    label = connected_labels(cells, edges)
+    lab = cells.join(label, "node").select("cx", "cy", "label")
+    apart = reaching(lab, ["label"]).join(lab, ["cx", "cy"]).filter(F.col("plabel") != F.col("label")).select("pcx", "pcy", "cx", "cy")
+    gap = lambda c: F.greatest(F.col(f"{c}c") * side - F.col(c), F.col(c) - (F.col(f"{c}c") + 1) * side, F.lit(0.0))
+    one = core.select("cx", "cy", "x", "y").distinct()
+    facing = one.join(apart.select(F.col("pcx").alias("cx"), F.col("pcy").alias("cy"), F.col("cx").alias("xc"), F.col("cy").alias("yc")).distinct(), ["cx", "cy"])
+    facing = facing.filter(gap("x") ** 2 + gap("y") ** 2 <= F.lit(eps * eps * (1 + 1e-9)))
+    left = facing.select(*[F.col(c).alias(f"p{c}") for c in ("cx", "cy", "x", "y")], F.col("xc").alias("cx"), F.col("yc").alias("cy"))
+    right = facing.select("cx", "cy", "x", "y", F.col("xc").alias("pcx"), F.col("yc").alias("pcy"))
+    more = left.filter("pcx < cx OR (pcx = cx AND pcy < cy)").join(right, ["cx", "cy", "pcx", "pcy"]).filter(within("p", ""))
+    more = both(more.select(F.xxhash64("pcx", "pcy").alias("a"), node.alias("b")).distinct())
+    if not more.isEmpty():
+        label = connected_labels(cells, both(edges.union(more)))
+        lab = cells.join(label, "node").select("cx", "cy", "label")
+
+    # border points, each with the nearest core point around it; core points lie in cells of their own label
+    labelled = core.join(lab, ["cx", "cy"])
+    rim = sparse.join(core.select("row"), "row", "left_anti")
+    inside = rim.join(labelled.select("cx", "cy", F.col("x").alias("px"), F.col("y").alias("py"), "label"), ["cx", "cy"])
+    beside = reaching(rim, ["row", "x", "y"]).join(labelled.select("cx", "cy", "x", "y", "label").distinct(), ["cx", "cy"]).filter(within("p", ""))
+    far = ((F.col("px") - F.col("x")) ** 2 + (F.col("py") - F.col("y")) ** 2).alias("d")
+    border = inside.select("row", far, "label").unionByName(beside.select(F.col("prow").alias("row"), far, "label")) \
+        .groupBy("row").agg(F.min_by("label", F.struct("d", "label")).alias("label"))
+    found = cut_lineage(labelled.select("row", "label", F.lit(True).alias("is_core")).unionByName(border.withColumn("is_core", F.lit(False))))
+    size = found.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first")).filter(F.col("n") >= min_cluster_size)
+    names = size.select("label", (F.row_number().over(Window.orderBy("first")) - 1).cast("long").alias("cluster"))  # one row a cluster
+    out = pts.select("id", "row").join(found.join(names, "label", "left"), "row", "left")
+    return out.select(F.col("id").alias(id_col), F.coalesce("is_core", F.lit(False)).alias("is_core"), F.coalesce("cluster", F.lit(-1)).alias("cluster"))

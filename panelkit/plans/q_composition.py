@@ -9,7 +9,7 @@ from ..operators import composition as E
 from . import tables as tb
 from ..session import cut_lineage
 from .catalog import r_sql, register, rounded
-from .sqlbase import with_
+from .sqlbase import chi2_tail_sql, with_
 
 ORDER = dims.INCOME_BAND_ORDER
 TOP_N = 30
@@ -141,10 +141,15 @@ def comp_chi_square(spark, d):
     return rounded(r.select("chi2", F.col("dof").cast("long").alias("dof")), 4)
 
 
-@register("comp_chi_square_p")
+@register("comp_chi_square_p", W(_TOP, _GRID, """e AS (SELECT *, sum(n) OVER (PARTITION BY label) * sum(n) OVER (PARTITION BY sport)
+   / sum(n) OVER () AS ex FROM grid)""",
+    """c AS (SELECT sum(CASE WHEN ex > 0 THEN (n - ex) * (n - ex) / ex END) AS chi2,
+   CAST((count(DISTINCT label) - 1) * (count(DISTINCT sport) - 1) AS BIGINT) AS dof FROM e)""") + f"""
+SELECT {r_sql('chi2', 4)} AS chi2, dof, {r_sql(chi2_tail_sql('chi2', 'dof'))} AS p_value FROM c""")
 def comp_chi_square_p(spark, d):
-    """Chi-square with its p-value (incomplete gamma; checked in tests)."""
-    return E.chi_square(_grid(spark, d), "label", "sport")
+    """Chi-square with its p-value."""
+    r = E.chi_square(_grid(spark, d), "label", "sport").withColumn("dof", F.col("dof").cast("long"))
+    return rounded(rounded(r, 4, ["chi2"]), 6, ["p_value"])
 
 
 @register("comp_share_over_time", W(f"""g AS (SELECT y.year, l.label FROM (SELECT DISTINCT year FROM units WHERE year >= 1995) y

@@ -70,6 +70,50 @@ def file_table_whole(spark, d):
     return R.read_table(spark, path).select("c_custkey", "c_name", F.col("c_nationkey").cast("int"), "c_mktsegment")
 
 
+@register("file_column_fallback", """
+SELECT CAST(c_custkey AS BIGINT) AS c_custkey, c_name, CAST(c_nationkey AS INTEGER) AS c_nationkey,
+  CASE WHEN c_mktsegment < 'F' THEN c_mktsegment END AS c_mktsegment FROM customer""")
+def file_column_fallback(spark, d):
+    """Two files of one table, the second with other column names and without a column."""
+    c, first, second = _customer(spark, d), _path(spark, "names"), _path(spark, "names")
+    S.write_table(c.where("c_mktsegment < 'F'"), first)
+    other = c.where("c_mktsegment >= 'F' OR c_mktsegment IS NULL")
+    S.write_table(other.select(F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("Name"), F.col("c_nationkey").alias("nation")), second)
+    names = {"c_custkey": ["customer_id"], "c_name": ["name", "Name"], "c_nationkey": ["nation_id", "nation"]}
+    parts = [R.with_declared_columns(R.read_table(spark, x), CUSTOMER, names) for x in (first, second)]
+    return parts[0].unionByName(parts[1])
+
+
+@register("file_json_array", _CUSTOMER_SQL)
+def file_json_array(spark, d):
+    """JSON arrays of records, one a file, as another program writes them."""
+    path = _path(spark, "array")
+    rows = _customer(spark, d)
+    arrays = rows.groupBy("c_nationkey").agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value"))
+    arrays.repartition("c_nationkey").write.partitionBy("c_nationkey").text(path)
+    return R.read_json_records(spark, f"{path}/*/*", CUSTOMER)
+
+
+@register("file_text_folder", """SELECT o_orderpriority || ': ' || count(*) AS line FROM orders GROUP BY o_orderpriority""")
+def file_text_folder(spark, d):
+    """Whole text files, their lines taken apart again."""
+    path = _path(spark, "texts")
+    n = tb.load(spark, d, "orders").groupBy("o_orderpriority").count()
+    n.select(F.concat_ws(": ", "o_orderpriority", F.col("count").cast("string")).alias("value")).write.text(path)
+    return R.read_text_files(spark, path).select(F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
+
+
+@register("file_forced_strings", """
+SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, c_mktsegment FROM customer""")
+def file_forced_strings(spark, d):
+    """CSV in another encoding, all columns kept as text."""
+    path = _path(spark, "strings")
+    rows = _customer(spark, d)
+    rows.write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    schema = ", ".join(f"{c} string" for c in rows.columns)
+    return R.read_csv(spark, path, schema, encoding="ISO-8859-1", keep_text=True)
+
+
 @register("file_report", """SELECT o_orderpriority || ': ' || count(*) AS line FROM orders GROUP BY o_orderpriority""")
 def file_report(spark, d):
     """Text report, a line per order priority."""

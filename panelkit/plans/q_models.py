@@ -8,13 +8,16 @@ from .. import dims
 from ..operators import cluster as D
 from ..operators import features as C
 from ..operators import models as M
+from ..session import cut_lineage
 from . import tables as tb
 from .catalog import QUERIES, r_sql, register, rounded
 from .sqlbase import with_
 
 V = tb.PROFILE_VARS
 ZF = ["z_" + c for c in V] + ["is_host"]
-REG_FEATURES = ["spend", "n_lines", "qty", "avg_disc", "prev_total"]
+#: Total, size and ratio as logs, two further indicators, host flag and the previous total.
+REG_FEATURES = ["log_spend", "log_lines", "log_unit", "qty", "avg_disc", "is_host", "prev_total"]
+LAST_YEAR = 2000
 
 
 def _base(spark, d):
@@ -104,44 +107,69 @@ def models_importance_compare(spark, d):
     return coefs.join(imps, ["sport", "feature"])
 
 
-def _reg_data(spark, d):
-    p = QUERIES["panel_build"](spark, d).select("noc", "year", "edition", "total", *REG_FEATURES[:-1])
+def _reg_rows(spark, d):
+    """Entity-editions with the seven features, stored."""
+    p = QUERIES["panel_build"](spark, d).select("noc", "year", "edition", "edition_id", "total", "spend", "n_lines", "qty", "avg_disc")
     p = C.lag_features(p, "noc", ["year", "edition"], "total", lags=(1,))
-    p = p.dropna(subset=["total", *REG_FEATURES])
-    return p
+    hosts = tb.games(spark, d).select("year", "edition", "host_noc")
+    p = p.join(hosts, ["year", "edition"], "left").withColumn("is_host", F.coalesce(F.col("noc") == F.col("host_noc"), F.lit(False)).cast("int"))
+    return cut_lineage(_logs(p, "spend", "n_lines").drop("host_noc"))
+
+
+def _logs(p, spend, lines):
+    return p.withColumns({"log_spend": F.log(spend), "log_lines": F.log(lines), "log_unit": F.log(F.try_divide(F.col(spend), F.col(lines)))})
+
+
+def _reg_data(rows):
+    return rows.dropna(subset=["total", *REG_FEATURES])
 
 
 @register("models_bakeoff")
 def models_bakeoff(spark, d):
-    """M6: 5-fold R2 / MAE of OLS, ridge, lasso, random forest, gradient boosting
-    (complete rows up to 2000; features incl. previous total)."""
-    data = _reg_data(spark, d).filter(F.col("year") <= 2000)
+    """M6: 5-fold R2 / MAE of OLS, ridge, lasso (full path), random forest,
+    gradient boosting (complete rows up to 2000, seven features)."""
+    data = _reg_data(_reg_rows(spark, d)).filter(F.col("year") <= LAST_YEAR)
     return M.regression_bakeoff(data, ["noc", "edition"], REG_FEATURES, "total", 5)
 
 
-def _rf(spark, d):
-    data = _reg_data(spark, d).filter(F.col("year") <= 2000)
-    return M.rf_importance(data, REG_FEATURES, "total", 300, 8, 5)
+def _rf(rows):
+    return M.rf_importance(_reg_data(rows).filter(F.col("year") <= LAST_YEAR), REG_FEATURES, "total", 300, 8, 5)
 
 
 @register("models_rf_importance")
 def models_rf_importance(spark, d):
     """M7: random-forest (300 x depth 8 x leaf 5) feature importances."""
-    return _rf(spark, d)[1]
+    return _rf(_reg_rows(spark, d))[1]
 
 
 @register("models_holdout")
 def models_holdout(spark, d):
     """M8: forest trained on years <= 2000, evaluated on 2001 (floored, 1 dp): R2, MAE."""
-    model, _ = _rf(spark, d)
-    test = _reg_data(spark, d).filter(F.col("year") == 2001).withColumn("total", F.col("total").cast("double"))
-    ev = M.holdout_eval(model, test, REG_FEATURES, "total")
-    return M.r2_mae(ev, "total", "pred")
+    rows = _reg_rows(spark, d)
+    test = _reg_data(rows).filter(F.col("year") == LAST_YEAR + 1).withColumn("total", F.col("total").cast("double"))
+    return M.r2_mae(M.holdout_eval(_rf(rows)[0], test, "total"), "total", "pred")
+
+
+@register("models_polarised")
+def models_polarised(spark, d):
+    """M4: the five sports with the widest and with the least rich - poor gap of the win probability."""
+    gap = models_profile_probabilities(spark, d).filter(F.col("gap").isNotNull())
+    wide = gap.orderBy(F.desc("gap"), "sport").limit(5).withColumn("list", F.lit("most"))
+    return wide.unionByName(gap.orderBy(F.abs("gap"), "sport").limit(5).withColumn("list", F.lit("least")))
+
+
+@register("models_auc_lists")
+def models_auc_lists(spark, d):
+    """M5: the five sports that the logistic model predicts best, and the five that it predicts worst."""
+    lg = cut_lineage(_logit(spark, d).select("sport", "auc_mean", "auc_std", "n_winners").filter(F.col("auc_mean").isNotNull()))
+    top = lg.orderBy(F.desc("auc_mean"), "sport").limit(5).withColumn("list", F.lit("top"))
+    return top.unionByName(lg.orderBy("auc_mean", "sport").limit(5).withColumn("list", F.lit("bottom")))
 
 
-@register("models_scenario", with_("nation_year", extra=["""pc AS (SELECT *, (gdp - lag(gdp) OVER w) / nullif(lag(gdp) OVER w, 0) AS pct,
-      row_number() OVER (PARTITION BY noc ORDER BY year DESC) AS rn FROM nation_year WHERE gdp IS NOT NULL WINDOW w AS (PARTITION BY noc ORDER BY year))""",
-    "g AS (SELECT noc, avg(pct) AS g FROM pc WHERE rn <= 2 GROUP BY noc)",
+@register("models_scenario", with_("nation_year", extra=["""l3 AS (SELECT * FROM nation_year QUALIFY row_number() OVER (PARTITION BY noc ORDER BY year DESC) <= 3)""",
+    """pc AS (SELECT *, (gdp - lag(gdp) OVER w) / nullif(lag(gdp) OVER w, 0) AS pct
+      FROM l3 WHERE gdp IS NOT NULL WINDOW w AS (PARTITION BY noc ORDER BY year))""",
+    "g AS (SELECT noc, avg(pct) AS g FROM pc GROUP BY noc)",
     "la AS (SELECT * FROM nation_year QUALIFY row_number() OVER (PARTITION BY noc ORDER BY year DESC) = 1)"]) + f"""
 SELECT p.noc, p.year, {r_sql('p.gdp', 2)} AS gdp, p.population, p.medals,
   {r_sql(f'coalesce(least(greatest(g.g, {dims.GROWTH_CLIP[0]}), {dims.GROWTH_CLIP[1]}), {dims.GROWTH_DEFAULT})')} AS growth,
@@ -157,9 +185,34 @@ def models_scenario(spark, d):
     return rounded(rounded(out, 2, ["gdp", "gdp_next"]), 6, ["growth", "pop_next"])
 
 
+def _next_rows(rows):
+    """M9's rows for the edition after the last one, with the model's features."""
+    out = M.project_scenario(rows, "noc", "edition_id", "spend", "n_lines", "total", host="is_host", life="qty", urban="avg_disc")
+    out = out.select("noc", F.col("gdp_next").alias("spend"), F.col("pop_next").alias("n_lines"), F.col("life_next").alias("qty"),
+                     F.col("urban_next").alias("avg_disc"), F.lit(0).alias("is_host"), F.col("prev_medals").alias("prev_total"), "growth")
+    return _logs(out, "spend", "n_lines").dropna(subset=REG_FEATURES)
+
+
+def _forecast(spark, d):
+    rows = _reg_rows(spark, d)
+    return _rf(rows)[0], _next_rows(rows)
+
+
 @register("models_forecast_interval")
 def models_forecast_interval(spark, d):
-    """2001 forecast per entity-edition with the 10th / 90th percentile of the trees."""
-    model, _ = _rf(spark, d)
-    rows = _reg_data(spark, d).filter(F.col("year") == 2001)
-    return M.forecast_interval(model, rows, REG_FEATURES).select("noc", "edition", "total", "pred", "p_lo", "p_hi")
+    """Forecast of M9's rows with the 10th / 90th percentile of the trees."""
+    return M.forecast_interval(*_forecast(spark, d)).select("noc", "growth", "prev_total", "pred", "p_lo", "p_hi")
+
+
+@register("models_forecast_top")
+def models_forecast_top(spark, d):
+    """The 15 entities with the highest forecast (ties by entity)."""
+    f = M.forecast_interval(*_forecast(spark, d)).select("noc", "pred", "p_lo", "p_hi")
+    return f.orderBy(F.desc("pred"), "noc").limit(15)
+
+
+@register("models_forecast_host_effect")
+def models_forecast_host_effect(spark, d):
+    """Forecast of each entity as host and as guest, and the difference."""
+    model, rows = _forecast(spark, d)
+    return M.host_effect(model, rows, "is_host").select("noc", "as_host", "as_guest", "host_effect")

@@ -9,7 +9,7 @@ from ..operators import drivers as H
 from . import tables as tb
 from .catalog import ORACLE, QUERIES, r_sql, register, rounded
 from .q_features import _spread_sql
-from .sqlbase import with_
+from .sqlbase import t_tail_sql, with_
 
 XS = ["log_gdp", "log_pop", "log_gdp_pc", "n_orders"]
 YS = ["log_medals_f", "log_medals_m"]
@@ -74,11 +74,15 @@ def stats_corr_by_group(spark, d):
     return rounded(H.corr_by_group(ny, ["year"], "gdp_pc", "medals", 10, complete=["gdp_pc", "medals"]), 6)
 
 
-@register("stats_corr_by_group_p")
+@register("stats_corr_by_group_p", with_("nation_year") + f"""
+, c AS (SELECT year, {_corr('gdp_pc', 'CAST(medals AS DOUBLE)')} AS r, CAST(count(*) AS BIGINT) AS n
+        FROM nation_year WHERE gdp_pc IS NOT NULL AND medals IS NOT NULL GROUP BY year),
+u AS (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t FROM c WHERE n >= 10)
+SELECT year, {r_sql('r')} AS r, n, {r_sql('t')} AS t, {r_sql('2 * ' + t_tail_sql('t', '(n - 2)'))} AS p_value FROM u""")
 def stats_corr_by_group_p(spark, d):
-    """H3 with the two-sided p-value of r (Student t, checked in tests)."""
+    """H3 with the two-sided p-value of r (Student t)."""
     ny = tb.nation_year(spark, d)
-    return H.corr_by_group(ny, ["year"], "gdp_pc", "medals", 10, complete=["gdp_pc", "medals"], with_p=True)
+    return rounded(H.corr_by_group(ny, ["year"], "gdp_pc", "medals", 10, complete=["gdp_pc", "medals"], with_p=True), 6)
 
 
 _OLS = with_("nation_year", extra=["""o AS (SELECT year, regr_slope(medals, ln(gdp_pc)) AS slope,
@@ -87,9 +91,9 @@ _OLS = with_("nation_year", extra=["""o AS (SELECT year, regr_slope(medals, ln(g
    covar_pop(ln(gdp_pc), medals) / nullif(stddev_pop(ln(gdp_pc)) * stddev_pop(medals), 0) AS r FROM nation_year GROUP BY year)"""])
 
 
-def _ols(spark, d):
+def _ols(spark, d, with_p=False):
     ny = tb.nation_year(spark, d).withColumn("x", F.log("gdp_pc")).withColumn("medals", F.col("medals").cast("double"))
-    return H.ols_line(ny, "x", "medals", ["year"])
+    return H.ols_line(ny, "x", "medals", ["year"], with_p)
 
 
 @register("stats_ols", _OLS + f"""
@@ -100,6 +104,14 @@ def stats_ols(spark, d):
     return rounded(_ols(spark, d).withColumn("n", F.col("n").cast("long")), 6)
 
 
+@register("stats_ols_p", _OLS + f"""
+SELECT year, {r_sql('slope')} AS slope, {r_sql('r')} AS r, n,
+  {r_sql('2 * ' + t_tail_sql('r * sqrt((n - 2) / (1 - r * r))', '(n - 2)'))} AS p_value FROM o""")
+def stats_ols_p(spark, d):
+    """H4: slope of each year's line with its two-sided p-value."""
+    return rounded(_ols(spark, d, True).select("year", "slope", "r", F.col("n").cast("long").alias("n"), "p_value"), 6)
+
+
 @register("stats_ols_grid", _OLS + f"""
 SELECT o.year, CAST(i.i AS INTEGER) AS i, {r_sql('x_min + i.i * (x_max - x_min) / 99')} AS x,
   {r_sql('intercept + slope * (x_min + i.i * (x_max - x_min) / 99)', 4)} AS y_hat
@@ -244,10 +256,14 @@ def stats_home_effect_t(spark, d):
     return rounded(H.one_sample_t(_home(spark, d), "effect").drop("p_value"), 6)
 
 
-@register("stats_home_effect_p")
+@register("stats_home_effect_p", _HOME + f""",
+st AS (SELECT avg(effect) AS mean, stddev_samp(effect) AS sd, CAST(count(effect) AS BIGINT) AS n,
+  avg(effect) / (stddev_samp(effect) / sqrt(count(effect))) AS t FROM he)
+SELECT {r_sql('mean')} AS mean, {r_sql('sd')} AS sd, n, {r_sql('t')} AS t,
+  {r_sql("CASE WHEN t >= 0 THEN " + t_tail_sql('t', '(n - 1)') + " ELSE 1 - " + t_tail_sql('t', '(n - 1)') + " END")} AS p_value FROM st""")
 def stats_home_effect_p(spark, d):
-    """One-sided p-value of the home effect (Student t; checked in tests)."""
-    return H.one_sample_t(_home(spark, d), "effect")
+    """One-sided p-value of the home effect (Student t)."""
+    return rounded(H.one_sample_t(_home(spark, d), "effect"), 6)
 
 
 _RANK = with_("raw_events", extra=["""mr AS (SELECT athlete_id, CAST(count(*) AS BIGINT) AS medals,
@@ -275,6 +291,31 @@ def stats_small_countries(spark, d):
     return H.small_countries(_rank(spark, d), "noc", 0.0001)
 
 
+@register("stats_medalist_rank", _RANK + "SELECT athlete_id, medals, noc, row_number() OVER (ORDER BY medals DESC, athlete_id) AS rank FROM mr")
+def stats_medalist_rank(spark, d):
+    """Place of each athlete by medals, ties by athlete."""
+    return H.ranked_medalists(_rank(spark, d), "athlete_id", "noc")
+
+
+@register("stats_medalist_rank_countries", _RANK + """
+, tops AS (SELECT noc FROM mr GROUP BY noc ORDER BY sum(medals) DESC, noc LIMIT 5)
+SELECT athlete_id, medals, noc, rank FROM (SELECT *, row_number() OVER (ORDER BY medals DESC, athlete_id) AS rank FROM mr)
+WHERE noc IN (SELECT noc FROM tops)""")
+def stats_medalist_rank_countries(spark, d):
+    """The athletes of five countries (here those with most medals) with their place among all."""
+    ranking = _rank(spark, d)
+    tops = ranking.groupBy("noc").agg(F.sum("medals").alias("m")).orderBy(F.desc("m"), "noc").limit(5).collect()
+    return H.ranked_medalists(ranking, "athlete_id", "noc", [r["noc"] for r in tops])
+
+
+@register("stats_small_countries_share", _RANK + """
+SELECT noc, CAST(sum(medals) AS BIGINT) AS medals FROM mr GROUP BY noc
+HAVING sum(medals) > 0 AND sum(medals) < round((SELECT sum(medals) FROM mr) * 0.02)""")
+def stats_small_countries_share(spark, d):
+    """The same cut at a share that countries of these tables fall below."""
+    return H.small_countries(_rank(spark, d), "noc", 0.02)
+
+
 def _headline_sql() -> str:
     return (f"WITH gt AS ({ORACLE['cat_global_trend']}), cs AS ({ORACLE['cat_country_share']}),\n"
             + _zp_sql().replace("WITH ", "", 1) + f""",

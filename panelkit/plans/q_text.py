@@ -27,13 +27,18 @@ def text_extract(spark, d):
     return T.extract_articles(tb.load(spark, d, "pages"))
 
 
-_MOJI_SQL = "".join("replace(" for _ in T.MOJIBAKE)
+#: The SQL's own road: sequences and what they stand for.
+MOJIBAKE = [
+    ("Ã ", "à"), ("Ã¨", "è"), ("Ã©", "é"), ("Ã¬", "ì"), ("Ã²", "ò"), ("Ã¹", "ù"),
+    ("Ã€", "À"), ("Ãˆ", "È"), ("Ã‰", "É"), ("Ã§", "ç"), ("Ã¶", "ö"), ("Ã¼", "ü"), ("Ã¤", "ä"),
+    ("â€™", "’"), ("â€˜", "‘"), ("â€œ", "“"), ("â€\u009d", "”"), ("â€“", "–"), ("â€”", "—"), ("â€¦", "…"),
+]
 
 
 def _clean_sql(x: str) -> str:
-    e = f"""regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '^\\s+|\\s+$', '', 'g'),
+    e = f"""regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '^[\\s\\p{{Z}}\\x{{85}}\\x1c-\\x1f]+|[\\s\\p{{Z}}\\x{{85}}\\x1c-\\x1f]+$', '', 'g'),
           '[\\t\\r]', chr(10), 'g'), '\\n{{2,}}', chr(10), 'g'), ' {{2,}}', ' ', 'g')"""
-    for bad, good in T.MOJIBAKE:
+    for bad, good in MOJIBAKE:
         e = f"replace({e}, '{bad}', '{good}')"
     return e
 
@@ -48,6 +53,33 @@ def text_clean(spark, d):
                        T.clean_title(F.split_part(F.col("text"), F.lit("\n"), F.lit(1))).alias("title"))
 
 
+@register("text_mojibake", "SELECT doc_id, text FROM documents")
+def text_mojibake(spark, d):
+    """Whole texts whose UTF-8 bytes were read as Latin-1 come back."""
+    docs = _docs(spark, d)
+    broken = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
+    return docs.select("doc_id", T.fix_mojibake(broken).alias("text"))
+
+
+_DATED = """dated AS (SELECT o_orderkey, '0000-00-00' AS date, 'Roma (' || day(o_orderdate) || '° ' ||
+    ['gennaio', 'febbraio', 'marzo', 'aprile', 'maggio', 'giugno', 'luglio', 'agosto', 'settembre', 'ottobre', 'novembre', 'dicembre'][month(o_orderdate)]
+    || ' ' || year(o_orderdate) || ') ' || o_orderpriority AS text, o_orderdate FROM orders)"""
+
+
+@register("text_repair_date_orders", f"""WITH {_DATED}
+SELECT o_orderkey, year(o_orderdate) || '-' || lpad(CAST(month(o_orderdate) AS VARCHAR), 2, '0') || '-' || day(o_orderdate) AS date,
+  CAST(o_orderdate AS DATE) AS day FROM dated""")
+def text_repair_date_orders(spark, d):
+    """A sentinel date and a text that names the order's day in Italian; the
+    repaired date, and the real date that it stands for."""
+    o = tb.load(spark, d, "orders")
+    names = F.array(*[F.lit(m) for m in dims.ITALIAN_MONTHS])
+    day, month, year = F.dayofmonth("o_orderdate"), F.month("o_orderdate"), F.year("o_orderdate")
+    text = F.concat(F.lit("Roma ("), day.cast("string"), F.lit("° "), F.element_at(names, month), F.lit(" "), year.cast("string"), F.lit(") "), "o_orderpriority")
+    rows = o.select("o_orderkey", F.lit("0000-00-00").alias("date"), text.alias("text"))
+    return rows.select("o_orderkey", T.repair_date("date", "text").alias("date")).withColumn("day", T.as_date("date"))
+
+
 @register("text_repair_date", """
 SELECT doc_id, CASE WHEN regexp_matches(text, '\\((\\d+)°* (\\w+) (\\d{4})\\)') THEN
     regexp_extract(text, '\\((\\d+)°* (\\w+) (\\d{4})\\)', 3) || '-' ||
@@ -186,3 +218,35 @@ def text_density_clusters(spark, d):
     e = tb.load(spark, d, "events").select("event_id", "ts", "value")
     e = e.withColumn("hour", F.hour("ts") + F.minute("ts") / 60.0)
     return T.grid_density_clusters(e, "event_id", "hour", "value", eps=0.5, min_samples=5, min_cluster_size=10)
+
+
+def _day_score(spark, d):
+    return _time_score(spark, d).select("event_id", (F.col("ordinal") / F.lit(365.0)).alias("day"), "score")
+
+
+@register("text_density_core", """
+WITH f AS (SELECT event_id, (datediff('day', DATE '0001-01-01', CAST(ts AS DATE)) + 1) / 365.0::DOUBLE AS day,
+    least(greatest(value / 50.0::DOUBLE + CASE WHEN event_type = 'purchase' THEN 0.25 ELSE 0.0 END, 0.0), 1.0) AS score
+  FROM events WHERE ts IS NOT NULL)
+SELECT a.event_id, count(*) >= 5 AS is_core FROM f a JOIN f b
+  ON b.day BETWEEN a.day - 0.01 AND a.day + 0.01 AND power(a.day - b.day, 2) + power(a.score - b.score, 2) <= 0.005 * 0.005
+GROUP BY a.event_id""")
+def text_density_core(spark, d):
+    """Core points of DBSCAN on date and score."""
+    return T.density_clusters(_day_score(spark, d), "event_id", "day", "score", 0.005, 5).select("event_id", "is_core")
+
+
+@register("text_density_dbscan")
+def text_density_dbscan(spark, d):
+    """DBSCAN clusters of events on date and score, clusters of 10 and more."""
+    return T.density_clusters(_day_score(spark, d), "event_id", "day", "score", 0.005, 5, 10)
+
+
+@register("text_semantic_index")
+def text_semantic_index(spark, d):
+    """T8 (indexed form): for every vector whose id is divisible by 20, its 40
+    nearest by an inverted file over all vectors (recall against all pairs in tests)."""
+    e = tb.load(spark, d, "embeddings").select("vec_id", "embedding")
+    centres = T.fit_lists(e, "vec_id", "embedding")
+    index = T.list_index(e, "vec_id", "embedding", centres)
+    return T.indexed_top_k(index, e.filter(F.col("vec_id") % 20 == 0), "vec_id", "vec_id", "embedding", centres, TOP_K)

@@ -163,3 +163,20 @@ PROFILES = """profiles AS (
   FROM series s LEFT JOIN roster r ON r.noc = s.noc AND r.year = s.year
   LEFT JOIN customer c ON c.c_custkey = s.noc)"""
 DEPS["profiles"] = (PROFILES, ("series", "roster"))
+
+
+def t_tail_sql(t: str, nu: str) -> str:
+    """P(T > |t|) for a whole number of degrees of freedom, by the finite
+    trigonometric series (the library integrates the density)."""
+    a, j = f"atan(abs({t}) / sqrt({nu}))", "lambda j: "
+    odd = f"""2 / pi() * ({a} + CASE WHEN {nu} > 1 THEN sin({a}) * list_sum(list_transform(range(0, CAST(({nu} - 1) / 2 AS BIGINT)),
+      {j}exp(lgamma(j + 1) + lgamma(1.5) - lgamma(j + 1.5)) * power(cos({a}), 2 * j + 1))) ELSE 0 END)"""
+    even = f"""sin({a}) * list_sum(list_transform(range(0, CAST({nu} / 2 AS BIGINT)),
+      {j}exp(lgamma(j + 0.5) - lgamma(j + 1) - lgamma(0.5)) * power(cos({a}), 2 * j)))"""
+    return f"((1 - CASE WHEN {nu} % 2 = 1 THEN {odd} ELSE {even} END) / 2)"
+
+
+def chi2_tail_sql(x: str, k: str) -> str:
+    """Upper tail of chi-square by the series of the lower one."""
+    return f"""(1 - list_sum(list_transform(range(0, 3000),
+      lambda j: exp(({k} / 2.0 + j) * ln({x} / 2.0) - {x} / 2.0 - lgamma({k} / 2.0 + j + 1)))))"""

@@ -53,3 +53,16 @@ def read_text_files(spark: SparkSession, path: str) -> DataFrame:
     """Whole text files: (file_name, text)."""
     return spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text"))
+
+
+def with_declared_columns(df: DataFrame, schema: T.StructType | str, aliases: dict[str, list[str]] | None = None) -> DataFrame:
+    """``df`` with exactly the columns of a declared schema: each is taken under
+    its own name or, failing that, the first of its ``aliases`` that the table
+    has; one that the table lacks is null of the declared type."""
+    if isinstance(schema, str):
+        schema = T._parse_datatype_string(schema)
+    out = []
+    for f in schema.fields:
+        name = next((c for c in [f.name, *(aliases or {}).get(f.name, [])] if c in df.columns), None)
+        out.append((F.lit(None) if name is None else F.col(f"`{name}`")).cast(f.dataType).alias(f.name))
+    return df.select(*out)

@@ -62,11 +62,13 @@ def test_ridge_is_on_standardised_features(spark):
         assert np.allclose(got, [y.mean() - w @ x.mean(0), *w], rtol=1e-6)
 
 
-def test_growth_is_over_the_last_three_values(spark):
-    rows = [("a", 2000, 100.0), ("a", 2001, None), ("a", 2002, 200.0), ("a", 2003, 202.0), ("a", 2004, 206.04), ("b", 2000, 5.0), ("c", 2000, None)]
+def test_growth_is_over_the_last_three_rows(spark):
+    rows = [("a", 2000, 100.0), ("a", 2001, None), ("a", 2002, 200.0), ("a", 2003, 202.0), ("a", 2004, 206.04), ("b", 2000, 5.0), ("c", 2000, None),
+            ("d", 2000, 1.0), ("d", 2001, 100.0), ("d", 2002, 104.0), ("d", 2003, None)]
     df = spark.createDataFrame([(n, y, g, 10, 1) for n, y, g in rows], "n string, y int, gdp double, pop int, m int")
     got = {r.n: r.growth for r in M.project_scenario(df, "n", "y", "gdp", "pop", "m").collect()}
-    assert math.isclose(got["a"], 0.015) and set(got) == {"a", "b", "c"} and got["b"] == got["c"]
+    assert math.isclose(got["a"], 0.015) and set(got) == {"a", "b", "c", "d"} and got["b"] == got["c"]
+    assert math.isclose(got["d"], 0.04)
 
 
 def test_specialization_over_a_zero_filled_grid(spark):
