@@ -6,8 +6,10 @@ of second-person words to lexicon words, rates of capitals, punctuation and
 obfuscated words.  Spark ML fits the trees; isotonic regression turns their
 probability into a calibrated score.
 
-Labels are used only for training rows, in three disjoint parts: lexicon,
-trees, calibration.  The training rows are a bounded sample, at most
+Labels are used only for training rows, which fall into ``FOLDS`` folds by their
+text.  A row's features use the lexicon of the other folds, and its probability
+for the calibration comes from trees of the other folds, at every size; the
+final lexicon and trees learn from all rows.  The training rows are a bounded sample, at most
 ``max_per_class`` of each class in hash order (the documented bound on what
 is collected and broadcast); a text that occurs twice among them counts once.
 Scoring reads every whole text and shuffles nothing.
@@ -15,7 +17,9 @@ Scoring reads every whole text and shuffles nothing.
 Edge cases: a null or empty text has all-zero features and a score like any
 other; labels that are null, or whose row has no document, are ignored; with
 no training row of either class the score is the share of class 1 (0 without
-rows); repeated rows get equal scores; further columns pass through.
+rows); a fold whose others lack a class has the share of class 1 as
+probability; repeated rows get equal scores; further columns pass through, but
+for one of the score's name, which is replaced.
 """
 
 from __future__ import annotations
@@ -30,15 +34,17 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
+from ..session import discard, run_concurrently
 from . import common as C
 from . import words as W
 from .registry import register
 
 MAX_PER_CLASS = 8_000
+#: Beyond so many entries a lexicon asks for more texts of class 1 with each.
 MAX_LEXICON = 20_000
+LEAST_TEXTS = 3
 CUT = 0.3
-#: With fewer texts of a class in a part, all three steps learn from all rows.
-MIN_PART = 50
+FOLDS = 4
 
 # Insults, and second-person words of the corpus' languages.
 SEED = ("idiot", "stupid", "moron", "loser", "trash", "pathetic", "scum", "worthless", "clown", "disgusting",
@@ -137,45 +143,88 @@ def features(texts: pa.Array, lex: Lexicon) -> np.ndarray:
     return out
 
 
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * FEATURES), pa.array(x.ravel()))
+
+
 def _with_features(lex: Lexicon, text: int):
     def of(batches):
         for b in batches:
             parts = [features(t, lex) for _, t in W.chunks(b.column(text))]
             x = np.concatenate(parts) if parts else np.zeros((0, FEATURES))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * FEATURES), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([*b.columns, lists], names=[*b.schema.names, "_"])
+            yield pa.RecordBatch.from_arrays([*b.columns, _lists(x)], names=[*b.schema.names, "_"])
+    return of
+
+
+def _out_of_fold(lexicons: dict[int, Lexicon]):
+    """(toxic, part, x): features of training rows by the lexicon of the other folds."""
+    def of(batches):
+        for b in batches:
+            for f in np.unique(b.column("part").to_numpy()).tolist():
+                own = b.filter(pa.array(b.column("part").to_numpy() == f))
+                x = np.concatenate([features(t, lexicons[f]) for _, t in W.chunks(own.column("text"))])
+                yield pa.RecordBatch.from_arrays([own.column("toxic"), own.column("part"), _lists(x)], names=["toxic", "part", "x"])
     return of
 
 
 def _key_counts(batches):
-    """(key, documents of class 1, of class 0), combined for each batch."""
+    """(key, part, texts of class 1, of class 0), combined for each batch."""
     for b in batches:
         toxic = b.column("toxic").to_numpy(zero_copy_only=False)
-        keys, ones = [], []
+        part = b.column("part").to_numpy(zero_copy_only=False).astype(np.int64)
+        keys, rows = [], []
         for row, texts in W.chunks(b.column("text")):
             w = W.split(texts, W.BARE)
             for at, h in _keys(w):
                 pair = np.unique(np.stack([w.doc[at].astype(np.uint64), h], 1), axis=0) if len(at) else np.zeros((0, 2), np.uint64)
                 keys.append(pair[:, 1])
-                ones.append(toxic[row + pair[:, 0].astype(np.int64)])
+                rows.append(row + pair[:, 0].astype(np.int64))
         if keys:
-            key, of = np.unique(np.concatenate(keys), return_inverse=True)
-            one = np.bincount(of, np.concatenate(ones), minlength=len(key)).astype(np.int64)
-            every = np.bincount(of, minlength=len(key)).astype(np.int64)
-            yield pa.record_batch([key.view(np.int64), one, every - one], names=["key", "ones", "zeros"])
-
-
-def learn_lexicon(rows: DataFrame, ones: int, zeros: int) -> Lexicon:
-    """Keys of ``rows`` (text, toxic) whose smoothed log-odds of class 1 are
-    above 2, in at least 3 texts of class 1; at most MAX_LEXICON of them."""
-    odds = F.log((F.col("o") + 0.5) / F.lit(ones + 1.0)) - F.log((F.col("z") + 0.5) / F.lit(zeros + 1.0))
-    best = (rows.select("text", "toxic").mapInArrow(_key_counts, "key long, ones long, zeros long")
-            .groupBy("key").agg(F.sum("ones").alias("o"), F.sum("zeros").alias("z")).where("o >= 3")
-            .withColumn("odds", odds).where("odds > 2")
-            .orderBy(F.desc("odds"), "key").limit(MAX_LEXICON).select("key", "odds").collect())
-    key = np.array([r[0] for r in best], np.int64).view(np.uint64)
-    order = np.argsort(key)
-    return Lexicon(key[order], np.array([r[1] for r in best], float)[order])
+            key, row = np.concatenate(keys), np.concatenate(rows)
+            for f in np.unique(part).tolist():
+                own = part[row] == f
+                name, of = np.unique(key[own], return_inverse=True)
+                one = np.bincount(of, toxic[row[own]], minlength=len(name)).astype(np.int64)
+                every = np.bincount(of, minlength=len(name)).astype(np.int64)
+                yield pa.record_batch([name.view(np.int64), np.full(len(name), f), one, every - one], names=["key", "part", "ones", "zeros"])
+
+
+def learn_lexicons(rows: DataFrame, count: dict[tuple[int, int], int]) -> dict[int, Lexicon]:
+    """{fold: lexicon of the rows (text, toxic, part) outside it; -1: of all}.
+    Entries are keys with smoothed log-odds of class 1 above 2 in at least
+    LEAST_TEXTS texts of class 1, in more if there are over MAX_LEXICON such
+    keys.  ``count``: texts by (part, class)."""
+    models = [-1, *range(FOLDS)]
+    per = (rows.select("text", "toxic", "part").mapInArrow(_key_counts, "key long, part long, ones long, zeros long")
+           .groupBy("key").agg(*[F.sum(F.when(F.col("part") == f, F.col(c))).alias(f"{c}{f}") for f in range(FOLDS) for c in ("ones", "zeros")]))
+    rest = lambda c, m: sum((F.coalesce(f"{c}{f}", F.lit(0)) for f in range(FOLDS) if f != m), F.lit(0))
+    sides = [F.struct(F.lit(m).alias("m"), rest("ones", m).alias("o"), rest("zeros", m).alias("z"),
+                      *[F.lit(sum(n for (p, t), n in count.items() if p != m and t == k) + 1.0).alias(f"n{k}") for k in (1, 0)]) for m in models]
+    odds = F.log((F.col("o") + 0.5) / F.col("n1")) - F.log((F.col("z") + 0.5) / F.col("n0"))
+    good = per.select("key", F.explode(F.array(*sides)).alias("s")).select("key", "s.*").where(F.col("o") >= LEAST_TEXTS)
+    good = C.cut_lineage(good.withColumn("odds", odds).where("odds > 2").select("m", "key", "o", "odds"))
+    found: dict[int, list] = {m: [] for m in models}
+    for r in good.groupBy("m", "o").count().collect():  # at most folds x texts of class 1
+        found[r["m"]].append((r["o"], r["count"]))
+    least = {}
+    for m, hist in found.items():
+        size, least[m] = 0, LEAST_TEXTS
+        for o, n in sorted(hist, reverse=True):
+            size += n
+            if size > MAX_LEXICON:
+                least[m] = o + 1
+                break
+    keep = F.array(*[F.lit(least[m]) for m in models])
+    entries = {m: [] for m in models}
+    for r in good.where(F.col("o") >= F.element_at(keep, F.col("m") + 2)).select("m", "key", "odds").collect():
+        entries[r["m"]].append((r["key"], r["odds"]))
+    discard(good)
+    out = {}
+    for m, rows_ in entries.items():
+        key = np.array([r[0] for r in rows_], np.int64).view(np.uint64)
+        order = np.argsort(key)
+        out[m] = Lexicon(key[order], np.array([r[1] for r in rows_], float)[order])
+    return out
 
 
 @dataclass
@@ -189,6 +238,7 @@ class Model:
         """``docs`` with a column ``name``, from 0 to 1."""
         if self.trees is None:
             return docs.withColumn(name, F.lit(self.prior))
+        docs = docs.drop(name)
         free = lambda x: x if x not in docs.columns else free(x + "_")
         x, v, raw, p, out = (free(k) for k in ("_x", "_features", "_raw", "_p", "_fit"))
         schema = T.StructType([*docs.schema.fields, T.StructField(x, T.ArrayType(T.DoubleType()))])
@@ -214,24 +264,28 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
     rows = docs.select(F.col(id_col).alias("id"), C.text_or_empty(text_col).alias("text"))
     rows = C.cut_lineage(rows.join(F.broadcast(sample), "id").groupBy(F.sha2("text", 256).alias("k")).agg(
         F.min_by(F.struct("text", "toxic"), "id").alias("r")).select("r.text", "r.toxic",
-        F.pmod(F.conv(F.substring("k", 1, 8), 16, 10).cast("long"), F.lit(4)).alias("part")))
-    parts = {"lexicon": F.col("part") < 2, "trees": F.col("part") == 2, "scale": F.col("part") == 3}
+        F.pmod(F.conv(F.substring("k", 1, 8), 16, 10).cast("long"), F.lit(FOLDS)).alias("part")))
     count = {(r["part"], r["toxic"]): r["n"] for r in rows.groupBy("part", "toxic").agg(F.count("*").alias("n")).collect()}
     ones, zeros = (sum(n for (_, t), n in count.items() if t == k) for k in (1, 0))
+    prior = ones / max(1, ones + zeros)
     if not ones or not zeros:
-        return Model(Lexicon(np.zeros(0, np.uint64), np.zeros(0)), prior=ones / max(1, ones + zeros))
-    if min(count.get((p, t), 0) for p in (0, 1, 2, 3) for t in (0, 1)) < MIN_PART:  # too few for parts
-        parts = dict.fromkeys(parts, F.lit(True))
-    learn = rows.where(parts["lexicon"])
-    per = {r[0]: r[1] for r in learn.groupBy("toxic").count().collect()}
-    lex = learn_lexicon(learn, per[1], per[0])
-    schema = T.StructType([*rows.schema.fields, T.StructField("x", T.ArrayType(T.DoubleType()))])
-    table = C.cut_lineage(rows.where(parts["trees"] | parts["scale"]).mapInArrow(_with_features(lex, 0), schema).drop("text"))
+        return Model(Lexicon(np.zeros(0, np.uint64), np.zeros(0)), prior=prior)
+    lexicons = learn_lexicons(rows, count)
+    table = C.cut_lineage(rows.mapInArrow(_out_of_fold(lexicons), "toxic int, part long, x array<double>"))
     table = table.withColumn("features", array_to_vector("x")).withColumn("label", F.col("toxic").cast("double")).drop("x")
-    trees = GBTClassifier(maxIter=20, maxDepth=3, stepSize=0.3, seed=seed).fit(table.where(parts["trees"]))
-    held = trees.transform(table.where(parts["scale"])).select("label", vector_to_array("probability")[1].alias("p"))
-    scale = IsotonicRegression(featuresCol="p", labelCol="label").fit(held)
-    return Model(lex, trees, scale, ones / (ones + zeros))
+    learner = GBTClassifier(maxIter=20, maxDepth=3, stepSize=0.3, seed=seed)
+
+    def held(f):
+        own, others = table.where(F.col("part") == f), table.where(F.col("part") != f)
+        if not all(sum(n for (p, t), n in count.items() if p != f and t == k) for k in (0, 1)):
+            return own.select("label", F.lit(prior).alias("p"))
+        return learner.fit(others).transform(own).select("label", vector_to_array("probability")[1].alias("p"))
+    trees, *apart = run_concurrently([lambda: learner.fit(table), *[lambda f=f: held(f) for f in range(FOLDS)]], FOLDS + 1)
+    scored = apart[0]
+    for one in apart[1:]:
+        scored = scored.unionByName(one)
+    scale = IsotonicRegression(featuresCol="p", labelCol="label").fit(C.cut_lineage(scored))
+    return Model(lexicons[-1], trees, scale, prior)
 
 
 def held_out(id_col: str) -> Column:
