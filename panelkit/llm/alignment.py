@@ -31,6 +31,7 @@ import hashlib
 import os
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,9 @@ from .registry import register
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_BPE = "/opt/tokenizers/piece_bpe_32k.model"
 #: Encoded parts that a worker keeps.
-KEPT = 200_000
+KEPT = 400_000
+#: Bytes of text that are handled at once: the more, the fewer parts are looked up again.
+CHUNK = 4 * W.CHUNK
 #: Bytes that are not cut before a blank: white space, and the last bytes of wide white space.
 _CLOSED = np.ones(256, bool)
 _CLOSED[list(range(0x09, 0x0E)) + list(range(0x1C, 0x21))] = False
@@ -156,8 +159,8 @@ class Encoders:
         b = self.b.encode([t[1:] for t in texts], num_threads=1)
         b = [[self.blank] if t == " " else x for t, x in zip(texts, b)]
         for i, ids in enumerate((a, b)):
-            self.flat[i] = np.concatenate([self.flat[i], np.array([x for p in ids for x in p], np.int64)])
-            self.size[i] = np.concatenate([self.size[i], np.array([len(p) for p in ids], np.int64)])
+            self.flat[i] = np.concatenate([self.flat[i], np.fromiter(chain.from_iterable(ids), np.int64)])
+            self.size[i] = np.concatenate([self.size[i], np.fromiter(map(len, ids), np.int64, len(ids))])
         for p in parts:
             self.slot[p] = len(self.slot)
 
@@ -188,8 +191,8 @@ class Encoders:
             self._forget()
         fresh = [p for p in names if p not in self.slot]
         if fresh:
-            self._learn(list(dict.fromkeys(fresh)))
-        slot = np.array([self.slot[p] for p in names], np.int64)[of] if names else np.zeros(0, np.int64)
+            self._learn(fresh)
+        slot = np.fromiter(map(self.slot.__getitem__, names), np.int64, len(names))[of] if names else np.zeros(0, np.int64)
         doc = np.searchsorted(begin, start, "right") - 1
         ids, count = [], []
         for flat, length in zip(self.flat, self.size):
@@ -244,6 +247,14 @@ def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
+@lru_cache(maxsize=None)
+def _decimals(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The digits of all numbers below ``n``, with room for a sign, and how many they are."""
+    width = len(str(n))
+    text = np.array([str(i).ljust(width + 1) for i in range(n)], f"S{width + 1}").view(np.uint8).reshape(n, width + 1)
+    return text, np.array([len(str(i)) for i in range(n)])
+
+
 @lru_cache(maxsize=2)
 def encoders(byte_bpe: str, piece_bpe: str) -> Encoders:
     return Encoders(byte_bpe, piece_bpe)
@@ -317,17 +328,11 @@ class Alignment:
         at_b = np.arange(len(self.b)) + (last_a + 1)[group_b]
         ids[at_a], ids[at_b] = self.a, self.b
         sign[at_a[last_a]], sign[at_b[last_b]] = ord("|"), ord(";")
-        digits = 1 + sum((ids >= 10**k).astype(np.int64) for k in range(1, 10))
-        end = np.cumsum(digits + 1)
-        text = np.zeros(end[-1] if len(end) else 0, np.uint8)
-        text[end - 1] = sign
-        left, place = ids.copy(), end - 2
-        todo = np.arange(len(ids))
-        while len(todo):
-            text[place[todo]] = 48 + left[todo] % 10
-            left[todo] //= 10
-            place[todo] -= 1
-            todo = todo[left[todo] > 0]
+        text, size = _decimals(1 << int(ids.max(initial=0)).bit_length())
+        text, size = text[ids], size[ids]
+        text[np.arange(len(ids)), size] = sign
+        end = np.cumsum(size + 1)
+        text = text[np.arange(text.shape[1]) <= size[:, None]]
         stop = np.concatenate([[0], end])[np.concatenate([[0], np.cumsum(self.n_a + self.n_b)])]
         return [hashlib.sha256(text[i: j - 1]).hexdigest() if j > i else "" for i, j in zip(stop[:-1].tolist(), stop[1:].tolist())]
 
@@ -339,7 +344,7 @@ def _aligned(paths: tuple[str, str]):
         e, pairs = encoders(*paths), possible_pairs(*paths)
         width = len(e.vb.tokens)
         for b in batches:
-            for row, texts in W.chunks(b.column("text")):
+            for row, texts in W.chunks(b.column("text"), CHUNK):
                 x = Alignment.of(e, texts)
                 last_a, last_b = x.together()
                 link = np.searchsorted(pairs, x.a[last_a] * width + x.b[last_b]).astype(np.int32)
