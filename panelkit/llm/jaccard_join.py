@@ -18,12 +18,12 @@ A document is the set of its distinct word shingles; two link when
    that are not connected yet.  That makes a number of candidates in proportion
    to the index, and in a large family of near copies it connects nearly all.
    Index lists whose groups are all connected are then done.
-5. All other group pairs in the index that are not connected yet are counted (in ``class_links``:
-   all group pairs); a row of the join goes when the places of the shingle in both sets leave too
-   few others, and a pair stays when the sizes
-   and the number of shared prefix shingles allow a link: if x's prefix ends
-   first, then each shingle of it that y's prefix lacks is one that y lacks.
-   What is left expands to its members, and whole texts decide.
+5. All other group pairs in the index that are not connected yet (in
+   ``class_links``: all group pairs) meet at the first shingle that they share.
+   A pair stays when the sizes, the places of that shingle and the number of
+   shared prefix shingles allow a link: if x's prefix ends first, then each
+   shingle of it that y's prefix lacks is one that y lacks.  What is left
+   expands to its members, and whole texts decide.
 
 Shingles are compared by 59-bit hashes.  A bucket of the index is never held
 in memory: Spark sorts and joins it.
@@ -40,7 +40,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from ..session import discard
@@ -54,6 +54,8 @@ COUNTERS = 1 << 22
 BLOCK = 1 << 14
 #: Rows of an index list before a row that are looked at first.
 REACH = 6
+#: Keys of its group that an index row carries into the join.
+FIRST_KEYS = 32
 #: Bits of a bitmap that goes to all tasks: a few for each entry, and no more than these.
 BITS_EACH = 16
 MOST_BITS = 1 << 26
@@ -238,9 +240,9 @@ def _shared_rows(batches):
         yield pa.record_batch([np.ascontiguousarray(x) for x in wait.T], names=list(_INDEX))
 
 
-def _most(n1, at1, n2, at2, least=np.minimum):
+def _most(n1, at1, n2, at2):
     """How many shingles two sets can share that have one at these places."""
-    return least(at1, at2) + 1 + least(n1 - at1 - 1, n2 - at2 - 1)
+    return np.minimum(at1, at2) + 1 + np.minimum(n1 - at1 - 1, n2 - at2 - 1)
 
 
 def _near_pairs(num: int, den: int):
@@ -333,19 +335,35 @@ class Index:
         two = one.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
         return C.cut_lineage(two.mapInArrow(_linked(self.k, self.num, self.den), "a long, b long"))
 
-    def group_pairs(self, rows: DataFrame, apart: Column) -> DataFrame:
-        """(g, h): pairs of groups that may hold links, by the index ``rows``
-        for whose two sides x and y ``apart`` holds."""
+    def group_pairs(self, rows: DataFrame, label: str | None = None) -> DataFrame:
+        """(g, h): pairs of groups that may hold links, by the index ``rows``;
+        with ``label``, of groups with different labels (or none) only, whose
+        common keys are then all in ``rows``.
+
+        Each row carries its group's first keys.  A pair comes out at the first
+        key that it shares (a longer list may let it out again), and only if
+        the places there and the number of shared keys allow a link."""
         num, den = self.num, self.den
+        more = [label] if label else []
+        lists = rows.groupBy("grp").agg(*[F.any_value(c).alias(c) for c in ("n", "p", "last", *more)],
+                                        F.sort_array(F.collect_list(F.struct("key", "at"))).alias("list"))
+        rows = lists.select("grp", "n", "p", "last", *more, (F.size("list") <= FIRST_KEYS).alias("whole"),
+                            F.slice("list.key", 1, FIRST_KEYS).alias("keys"), F.explode("list").alias("e"))
+        rows = rows.select(*rows.columns[:-1], "e.key", "e.at")
         x, y = rows.alias("x"), rows.alias("y")
-        most = _most(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at"), F.least)
+        need = num * (F.col("x.n") + F.col("y.n"))
+        places = 1 + F.least(F.col("x.n") - F.col("x.at") - 1, F.col("y.n") - F.col("y.at") - 1)
+        common = F.array_intersect("x.keys", "y.keys")
+        few = (F.col("x.whole") & F.col("y.whole")
+               & ((num + den) * (F.col("x.n") - F.col("x.p") + F.size(common)) < need))
         may = ((F.col("x.key") == F.col("y.key")) & (F.col("x.last") <= F.col("y.last"))
                & ((F.col("x.last") < F.col("y.last")) | (F.col("x.grp") < F.col("y.grp")))
                & (den * F.least("x.n", "y.n") >= num * F.greatest("x.n", "y.n"))
-               & ((num + den) * most >= num * (F.col("x.n") + F.col("y.n"))) & apart)
-        return (x.join(y, may).groupBy(F.col("x.grp").alias("g"), F.col("y.grp").alias("h"))
-                .agg(F.count("*").alias("k"), F.any_value("x.n").alias("n"), F.any_value("x.p").alias("p"), F.any_value("y.n").alias("m"))
-                .where((num + den) * (F.col("n") - F.col("p") + F.col("k")) >= num * (F.col("n") + F.col("m"))).select("g", "h"))
+               & ((num + den) * places >= need))
+        if label:
+            may &= F.coalesce(F.col(f"x.{label}") != F.col(f"y.{label}"), F.lit(True))
+        may &= (F.coalesce(F.get(common, F.lit(0)), F.col("x.key")) == F.col("x.key")) & ~few
+        return x.join(y, may).select(F.col("x.grp").alias("g"), F.col("y.grp").alias("h")).distinct()
 
 
 def _index(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> Index:
@@ -444,7 +462,7 @@ def _members(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den:
     stored = C.cut_lineage(shared.join(whole, "grp"))
     open_ = stored.groupBy("key").agg(F.min("one").alias("lo"), F.max("one").alias("hi"), F.max(F.col("one").isNull()).alias("mixed"))
     rest = stored.join(open_.where("mixed OR lo < hi").select("key"), "key", "left_semi")
-    pairs = ix.group_pairs(rest, F.coalesce(F.col("x.one") != F.col("y.one"), F.lit(True)))
+    pairs = ix.group_pairs(rest, "one")
     m1 = member.select(F.col("grp").alias("g"), F.col("cls").alias("a"), F.col("label").alias("la"))
     m2 = member.select(F.col("grp").alias("h"), F.col("cls").alias("b"), F.col("label").alias("lb"))
     across = pairs.join(m1, "g").join(m2, "h").where("la <> lb").select("a", "b", "la", "lb")
@@ -480,7 +498,7 @@ def class_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ix = _index(docs, id_col, text_col, k, num, den)
     m1 = ix.classes.select(F.col("grp").alias("g"), F.col("cls").alias("a"))
     m2 = ix.classes.select(F.col("grp").alias("h"), F.col("cls").alias("b"))
-    across = ix.group_pairs(ix.shared, F.lit(True)).join(m1, "g").join(m2, "h")
+    across = ix.group_pairs(ix.shared).join(m1, "g").join(m2, "h")
     within = m1.join(m2, (F.col("g") == F.col("h")) & (F.col("a") < F.col("b")))
     pairs = across.select("a", "b").unionByName(within.select("a", "b"))
     pairs = C.cut_lineage(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
