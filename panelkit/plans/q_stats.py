@@ -310,10 +310,10 @@ def stats_medalist_rank_countries(spark, d):
 
 @register("stats_small_countries_share", _RANK + """
 SELECT noc, CAST(sum(medals) AS BIGINT) AS medals FROM mr GROUP BY noc
-HAVING sum(medals) > 0 AND sum(medals) < round((SELECT sum(medals) FROM mr) * 0.02)""")
+HAVING sum(medals) > 0 AND sum(medals) < round((SELECT sum(medals) FROM mr) * 0.04)""")
 def stats_small_countries_share(spark, d):
     """The same cut at a share that countries of these tables fall below."""
-    return H.small_countries(_rank(spark, d), "noc", 0.02)
+    return H.small_countries(_rank(spark, d), "noc", 0.04)
 
 
 def _headline_sql() -> str:
