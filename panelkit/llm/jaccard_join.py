@@ -17,13 +17,17 @@ A document is the set of its distinct word shingles; two link when
    neighbours inside a group first, then the other near rows of the index lists
    that are not connected yet.  That makes a number of candidates in proportion
    to the index, and in a large family of near copies it connects nearly all.
-   Index lists whose groups are all connected are then done.
+   Index lists whose groups are all connected are then done; in the others each
+   group meets one group of the largest family there.
 5. All other group pairs in the index that are not connected yet (in
    ``class_links``: all group pairs) meet at the first shingle that they share.
    A pair stays when the sizes, the places of that shingle and the number of
    shared prefix shingles allow a link: if x's prefix ends first, then each
    shingle of it that y's prefix lacks is one that y lacks.  What is left
-   expands to its members, and whole texts decide.
+   expands to its members.
+6. Before their texts are read, pairs of classes are held against 512 parity
+   bits of each set; more bits that differ than shingles may differ rule a
+   pair out.  Whole texts decide on all others.
 
 Shingles are compared by 59-bit hashes.  A bucket of the index is never held
 in memory: Spark sorts and joins it.
@@ -56,6 +60,8 @@ BLOCK = 1 << 14
 REACH = 6
 #: Keys of its group that an index row carries into the join.
 FIRST_KEYS = 32
+#: Words of 64 parity bits of a set.
+PARITIES = 8
 #: Bits of a bitmap that goes to all tasks: a few for each entry, and no more than these.
 BITS_EACH = 16
 MOST_BITS = 1 << 26
@@ -165,6 +171,13 @@ def _name(x: np.ndarray) -> tuple[int, int, int]:
     return int(y.sum(dtype=np.uint64).view(np.int64)), int(W.mix(y ^ _TOP).sum(dtype=np.uint64).view(np.int64)), len(x)
 
 
+def _parities(x: np.ndarray) -> np.ndarray:
+    """For each bit whether an odd number of shingles falls on it.  A shingle
+    that one of two sets lacks turns one bit at most."""
+    odd = np.bincount((x & np.uint64(64 * PARITIES - 1)).astype(np.int64), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array((x ^ _TOP).view(np.int64))
 
@@ -181,7 +194,7 @@ def _signatures(k: int, num: int, den: int, grades: np.ndarray):
                 for i, x in enumerate(_sets(texts, k, grades)):
                     name = _name(x)
                     if name not in seen:
-                        seen[name] = (x[: _prefix(len(x), num, den)].copy(), [])
+                        seen[name] = (x[: _prefix(len(x), num, den)].copy(), [], _parities(x))
                     seen[name][1].append(row + i)
             names = list(seen)
             at = np.cumsum([0, *(len(seen[x][1]) for x in names)])
@@ -191,8 +204,10 @@ def _signatures(k: int, num: int, den: int, grades: np.ndarray):
             yield pa.RecordBatch.from_arrays([
                 *[pa.array([x[j] for x in names], pa.int64()) for j in range(3)],
                 pa.ListArray.from_arrays(pa.array(pre.astype(np.int32)), _signed(flat)),
-                pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), b.column("id").take(order))],
-                names=["lo", "hi", "n", "prefix", "ids"])
+                pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), b.column("id").take(order)),
+                pa.ListArray.from_arrays(pa.array(np.arange(len(names) + 1, dtype=np.int32) * PARITIES), pa.array(
+                    np.concatenate([seen[x][2] for x in names]) if names else np.zeros(0, np.int64)))],
+                names=["lo", "hi", "n", "prefix", "ids", "odd"])
     return of
 
 
@@ -309,7 +324,7 @@ def _many(texts: pa.Array, k: int):
 @dataclass
 class Index:
     """rows: (id, text); signed: a row for each set of an Arrow batch, with its
-    ids; classes: (cls, n, grp: the least class of its group, least id);
+    ids; classes: (cls, n, odd: parity bits, grp: the least class of its group, least id);
     shared: index rows of keys that several groups have."""
     rows: DataFrame
     signed: DataFrame
@@ -329,6 +344,21 @@ class Index:
         found = found.select(F.xxhash64("lo", "hi", "n").alias("cls"), "text").join(cls, "cls", "left_semi")
         return C.cut_lineage(found.groupBy("cls").agg(F.any_value("text").alias("text")))
 
+    def far(self, x: str, y: str):
+        """Whether the parity bits alone show that two classes (columns n<x>,
+        odd<x>, n<y>, odd<y>) do not link: they differ in more bits than there
+        may be shingles that one of the two lacks."""
+        n, need = F.col(f"n{x}") + F.col(f"n{y}"), F.lit(self.num + self.den)
+        differ = sum(F.bit_count(F.get(f"odd{x}", F.lit(i)).bitwiseXOR(F.get(f"odd{y}", F.lit(i)))) for i in range(PARITIES))
+        return need * (n - differ) < 2 * self.num * n
+
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) of classes that their parity bits allow to link, stored."""
+        x, y = (self.classes.select(F.col("cls").alias(f"cls{c}"), F.col("n").alias(f"n{c}"), F.col("odd").alias(f"odd{c}"))
+                for c in ("a", "b"))
+        pairs = pairs.join(x, F.col("a") == F.col("clsa")).join(y, (F.col("b") == F.col("clsb")) & ~self.far("a", "b"))
+        return C.cut_lineage(pairs.select("a", "b"))
+
     def verify(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """The pairs (a, b) of classes that link, stored."""
         one = pairs.select("a", "b").join(texts.select(F.col("cls").alias("a"), F.col("text").alias("x")), "a")
@@ -365,6 +395,25 @@ class Index:
         may &= (F.coalesce(F.get(common, F.lit(0)), F.col("x.key")) == F.col("x.key")) & ~few
         return x.join(y, may).select(F.col("x.grp").alias("g"), F.col("y.grp").alias("h")).distinct()
 
+    def hub_pairs(self, rows: DataFrame, label: str) -> DataFrame:
+        """Pairs (a, b) of groups of different labels that are likely to link, at
+        most one for each index row: in each list the groups meet the
+        least group of the label with most groups there.  Of the pairs of a
+        group with a label the one with most lists in common is taken, if their
+        number allows a link."""
+        num, den = self.num, self.den
+        some = rows.where(F.col(label).isNotNull())
+        hub = some.groupBy("key", label).agg(F.count("*").alias("c"), F.min(F.struct("grp", "n", "p", "last")).alias("b"))
+        hub = hub.groupBy("key").agg(F.max(F.struct("c", F.col(label).alias("lb"), "b")).alias("hub"))
+        x = some.join(hub, "key").where(F.col(label) != F.col("hub.lb")).select(
+            F.col("grp").alias("a"), F.col(label).alias("la"), "n", "p", "last", "hub.lb", F.col("hub.b").alias("y"))
+        x = x.where(den * F.least("n", "y.n") >= num * F.greatest("n", "y.n"))
+        free = F.when(F.col("last") <= F.col("y.last"), F.col("n") - F.col("p")).otherwise(F.col("y.n") - F.col("y.p"))
+        met = x.groupBy("a", "lb", F.col("y.grp").alias("b")).agg(
+            F.count("*").alias("c"), F.any_value(F.struct(free.alias("free"), (num * (F.col("n") + F.col("y.n"))).alias("need"))).alias("f"))
+        met = met.where((num + den) * (F.col("f.free") + F.col("c")) >= F.col("f.need"))
+        return met.groupBy("a", "lb").agg(F.max_by("b", F.struct("c", "b")).alias("b")).select("a", "b")
+
 
 def _index(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> Index:
     C.bound_batches(docs.sparkSession)
@@ -372,15 +421,15 @@ def _index(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: i
     grades = _grades(rows.select("text"), k)
     kind = rows.schema["id"].dataType
     shape = T.StructType([*T._parse_datatype_string("lo long, hi long, n long, prefix array<long>").fields,
-                          T.StructField("ids", T.ArrayType(kind))])
+                          T.StructField("ids", T.ArrayType(kind)), T.StructField("odd", T.ArrayType(T.LongType()))])
     signed = rows.mapInArrow(_signatures(k, num, den, grades), shape)
     signed = C.cut_lineage(signed.select(F.monotonically_increasing_id().alias("row"), F.xxhash64("lo", "hi", "n").alias("cls"),
-                                         F.xxhash64("n", "prefix").alias("same"), "n", "prefix", "ids"))
+                                         F.xxhash64("n", "prefix").alias("same"), "n", "prefix", "ids", "odd"))
     some = signed.where("n > 0")
     groups = C.cut_lineage(some.groupBy("same").agg(F.min("cls").alias("grp"), F.any_value("n").alias("n"),
                                                     F.any_value("prefix").alias("prefix")))
     classes = some.groupBy("cls").agg(F.any_value("n").alias("n"), F.any_value("same").alias("same"),
-                                      F.min(F.array_min("ids")).alias("least"))
+                                      F.any_value("odd").alias("odd"), F.min(F.array_min("ids")).alias("least"))
     classes = C.cut_lineage(classes.join(groups.select("same", "grp"), "same").drop("same"))
     twice = C.cut_lineage(groups.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count("*").alias("c"))
                           .where("c > 1").select("key"))
@@ -418,6 +467,21 @@ def _extend(label: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
+def _open_lists(classes: DataFrame, rows: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The classes with their labels (none: their own), stored; the groups with
+    the label ``one`` that all their classes have, or null; and, stored with
+    ``one``, the index rows of lists that more than one label has."""
+    member = C.cut_lineage(classes.select("cls", "grp", "n", "odd").join(label.withColumnRenamed("node", "cls"), "cls", "left")
+                           .withColumn("label", F.coalesce("label", "cls")))
+    whole = member.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    whole = whole.select("grp", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("one"))
+    stored = C.cut_lineage(rows.join(whole, "grp"))
+    open_ = stored.groupBy("key").agg(F.min("one").alias("lo"), F.max("one").alias("hi"), F.max(F.col("one").isNull()).alias("mixed"))
+    rest = C.cut_lineage(stored.join(open_.where("mixed OR lo < hi").select("key"), "key", "left_semi"))
+    discard(stored)
+    return member, whole, rest
+
+
 def _classes_in(pairs: DataFrame) -> DataFrame:
     return C.cut_lineage(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct())
 
@@ -443,8 +507,8 @@ def _members(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den:
                          .where("4 * k >= p").select("prev", "grp", "k", "far"))
     best = near.groupBy(F.col("grp").alias("b")).agg(F.max_by("prev", F.struct("k", -F.col("far"), "prev")).alias("a"))
     inside = classes.select(F.lag("cls").over(Window.partitionBy("grp").orderBy("cls")).alias("a"), F.col("cls").alias("b"))
-    first = C.cut_lineage(best.select("a", "b").unionByName(inside.where("a IS NOT NULL")))
-    others = near.select(F.col("prev").alias("a"), F.col("grp").alias("b"))
+    first = ix.likely(best.select("a", "b").unionByName(inside.where("a IS NOT NULL")))
+    others = ix.likely(near.select(F.col("prev").alias("a"), F.col("grp").alias("b")))
     need = _classes_in(first.unionByName(others))
     texts = ix.texts_of(need)
     links = ix.verify(first, texts)
@@ -452,22 +516,26 @@ def _members(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den:
     more = _apart(others, label)
     found = ix.verify(more, texts)
     label = _extend(label, found)
-    discard(near, first, need, texts, links, more, found)
+    discard(near, first, others, need, texts, links, more, found)
 
-    # then all pairs that are not connected yet, in index lists that are not done
-    member = C.cut_lineage(classes.select("cls", "grp").join(label.withColumnRenamed("node", "cls"), "cls", "left")
-                           .withColumn("label", F.coalesce("label", "cls")))
-    whole = member.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-    whole = whole.select("grp", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("one"))
-    stored = C.cut_lineage(shared.join(whole, "grp"))
-    open_ = stored.groupBy("key").agg(F.min("one").alias("lo"), F.max("one").alias("hi"), F.max(F.col("one").isNull()).alias("mixed"))
-    rest = stored.join(open_.where("mixed OR lo < hi").select("key"), "key", "left_semi")
+    # then, in index lists that are not done, each group and one of the family that has most groups there
+    member, whole, stored = _open_lists(classes, shared, label)
+    hub = ix.likely(ix.hub_pairs(stored, "one"))
+    need = _classes_in(hub)
+    texts = ix.texts_of(need)
+    links = ix.verify(hub, texts)
+    label = _extend(label, links)
+    discard(hub, need, texts, links, member)
+
+    # then all pairs that are not connected yet, in index lists that are still not done
+    member, whole, rest = _open_lists(classes, stored.drop("one"), label)
     pairs = ix.group_pairs(rest, "one")
-    m1 = member.select(F.col("grp").alias("g"), F.col("cls").alias("a"), F.col("label").alias("la"))
-    m2 = member.select(F.col("grp").alias("h"), F.col("cls").alias("b"), F.col("label").alias("lb"))
-    across = pairs.join(m1, "g").join(m2, "h").where("la <> lb").select("a", "b", "la", "lb")
+    m1, m2 = (member.select(F.col("grp").alias(g), F.col("cls").alias(c), F.col("label").alias(f"l{c}"),
+                            F.col("n").alias(f"n{c}"), F.col("odd").alias(f"odd{c}")) for g, c in (("g", "a"), ("h", "b")))
+    near = (F.col("la") != F.col("lb")) & ~ix.far("a", "b")
+    across = pairs.join(m1, "g").alias("x").join(m2.alias("y"), (F.col("x.h") == F.col("y.h")) & near).select("a", "b", "la", "lb")
     mixed = whole.where("one IS NULL").select(F.col("grp").alias("g"))
-    within = m1.join(mixed, "g", "left_semi").join(m2, F.col("g") == F.col("h")).where("la < lb").select("a", "b", "la", "lb")
+    within = m1.join(mixed, "g", "left_semi").join(m2, (F.col("g") == F.col("h")) & (F.col("la") < F.col("lb")) & ~ix.far("a", "b")).select("a", "b", "la", "lb")
     second = C.cut_lineage(across.unionByName(within).distinct())
     if not second.isEmpty():
         # one pair of two components may settle all of theirs
@@ -478,7 +546,7 @@ def _members(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den:
         label = _extend(label, ix.verify(one, texts))
         label = _extend(label, ix.verify(_apart(second.select("a", "b").join(one, ["a", "b"], "left_anti"), label), texts))
         discard(need, texts)
-    discard(second, stored, shared, member)
+    discard(second, stored, rest, shared, member)
 
     least = classes.select("cls", "least").join(label.withColumnRenamed("node", "cls"), "cls", "left")
     least = least.withColumn("label", F.coalesce("label", "cls"))
@@ -501,7 +569,7 @@ def class_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     across = ix.group_pairs(ix.shared).join(m1, "g").join(m2, "h")
     within = m1.join(m2, (F.col("g") == F.col("h")) & (F.col("a") < F.col("b")))
     pairs = across.select("a", "b").unionByName(within.select("a", "b"))
-    pairs = C.cut_lineage(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    pairs = ix.likely(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     need = _classes_in(pairs)
     texts = ix.texts_of(need)
     links = ix.verify(pairs, texts)

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from panelkit.llm import jaccard_join
 from test_operators import sentence
 
@@ -42,3 +44,22 @@ def test_links_and_index_do_not_depend_on_the_partitions(spark):
     assert {r.doc_id: (r.n_shingles, r.n_links) for r in got} == {i: (len(sets[i]), links[i]) for i, _ in rows}
     assert len({r.cls for r in got if r.cls is not None}) == len({frozenset(x) for x in sets if x})
     assert all((r.cls is None) == (not sets[r.doc_id]) for r in got)
+
+
+def test_parity_bits_never_differ_in_more_places_than_the_sets(spark):
+    rng = np.random.default_rng(5)
+    for n in (1, 30, 300, 5000):
+        x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.int64).astype(np.uint64))
+        for lost in (0, 1, n // 10, n):
+            y = np.union1d(x[lost:], rng.integers(0, 1 << 63, lost, dtype=np.int64).astype(np.uint64))
+            differ = sum((a ^ b).bit_count() for a, b in zip(
+                jaccard_join._parities(x).view(np.uint64).tolist(), jaccard_join._parities(y).view(np.uint64).tolist()))
+            assert differ <= len(np.setxor1d(x, y))
+    rows = corpus()
+    ix = jaccard_join._index(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 4, 85, 100)
+    cls = [r.cls for r in ix.classes.select("cls").collect()]
+    text = {r.cls: shingles(r.text, 4) for r in ix.texts_of(ix.classes.select("cls")).collect()}
+    pairs = [(a, b) for a in cls for b in cls if a < b]
+    stay = {tuple(r) for r in ix.likely(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    links = {(a, b) for a, b in pairs if 100 * len(text[a] & text[b]) >= 85 * len(text[a] | text[b])}
+    assert links and links <= stay and len(stay) < len(pairs) / 4
