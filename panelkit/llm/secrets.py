@@ -4,9 +4,11 @@ A text version is content-addressed by its SHA-256 (the blob).  The ledger, a
 Parquet table in shared storage, holds for each (blob, rule, rule version)
 that was ever scanned one row per finding, or one row without a span.  A scan
 reads the distinct blobs of the given history, leaves out each pair of blob
-and rule version that the ledger knows, scans the rest once, appends, and
-joins the findings back to all paths and versions.  A new rule version scans
-everything again for that rule alone.
+and rule version that the ledger knows, scans the rest once, writes them under
+its own name, and joins the findings back to all paths and versions.  A new
+rule version scans everything again for that rule alone.  A scan that is
+repeated under its name replaces its own rows; spans are a set, so that two
+scans of one blob at the same time find nothing twice.
 
 Built-in functions only: a match and all text since the previous match come
 out of one lazy pattern (begun by \\G: else the rest behind the last match is
@@ -21,7 +23,8 @@ results; further columns are ignored.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, replace
 from functools import reduce
 from operator import or_
 
@@ -70,10 +73,10 @@ def _matches(text: str, rule: Rule):
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
-    """(blob, kind, version, start, end); start and end null: nothing found.
-    None for a ledger that is not there yet."""
+    """(blob, kind, version, start, end, scan: the name of the scan); start and
+    end null: nothing found.  None for a ledger that is not there yet."""
     try:
-        return spark.read.schema("blob string, kind string, version int, start long, end long").parquet(path)
+        return spark.read.schema("blob string, kind string, version int, start long, end long, scan string").parquet(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
@@ -106,24 +109,36 @@ def scan_blobs(blobs: DataFrame, ledger: DataFrame | None, rules=RULES) -> DataF
 
 
 def scan_history(history: DataFrame, ledger_path: str, path_col: str = "path", text_col: str = "text",
-                 rules=RULES) -> DataFrame:
+                 rules=RULES, scan: str | None = None) -> DataFrame:
     """Bring the ledger up to date with ``history`` (one row per path and
-    version) and return one row per row of it: path, blob and
-    ``found``: array of (start, rank of the kind, kind, end), sorted."""
+    version) and return one row per row of it: path, blob, ``found``: array of
+    (start, rank of the kind, kind, end), sorted, and ``n_scanned`` and
+    ``n_skipped``: how many rule versions this scan tried on the blob, and how
+    many the ledger knew.  ``scan`` names the scan (letters, digits, - and _;
+    by default a new name)."""
     spark = history.sparkSession
+    scan = scan or uuid.uuid4().hex
     rows = history.select(F.col(path_col).alias("path"), C.text_or_empty(text_col).alias("text"))
     rows = rows.withColumn("blob", F.sha2("text", 256))
-    paths = C.cut_lineage(rows.select("path", "blob"))
-    blobs = rows.groupBy("blob", "text").agg(F.count("*").alias("copies")).select("blob", "text")
-    new = scan_blobs(blobs, read_ledger(spark, ledger_path), rules)
+    # rows without a path, or with one repeated path, are dealt by their number
+    paths = C.cut_lineage(rows.select("path", "blob", F.monotonically_increasing_id().alias("_row")))
+    here = paths.select("blob").distinct()
+    # by blob alone: the ledger then meets the texts where they are
+    blobs = rows.groupBy("blob").agg(F.any_value("text").alias("text"))
+    ledger = read_ledger(spark, ledger_path)
+    if ledger is not None:
+        ledger = ledger.where(F.col("scan") != scan).join(here, "blob", "left_semi")
+    new = scan_blobs(blobs, ledger, rules)
     # the rows are light: no more files than cores, each with its own write buffers
-    new.coalesce(2 * spark.sparkContext.defaultParallelism).write.mode("append").parquet(ledger_path)
+    new.coalesce(2 * spark.sparkContext.defaultParallelism).write.mode("overwrite").parquet(f"{ledger_path}/scan={scan}")
     rank = F.array_position(F.array(*[F.lit(r.kind) for r in rules]), F.col("kind"))
     now = F.concat_ws("@", "kind", "version").isin([f"{r.kind}@{r.version}" for r in rules])
-    per_blob = (read_ledger(spark, ledger_path).where(now & F.col("start").isNotNull())
-                .groupBy("blob").agg(F.array_sort(F.collect_list(F.struct(
-                    "start", rank.alias("rank"), "kind", "end"))).alias("found")))
-    return C.spread_join(paths, per_blob, "blob", "path", "left")
+    span = F.when(F.col("start").isNotNull(), F.struct("start", rank.alias("rank"), "kind", "end"))
+    tried = F.when(F.col("scan") == scan, F.col("kind"))
+    per_blob = (read_ledger(spark, ledger_path).where(now).join(here, "blob", "left_semi").groupBy("blob")
+                .agg(F.array_sort(F.collect_set(span)).alias("found"), F.size(F.collect_set(tried)).cast("long").alias("n_scanned")))
+    per_blob = per_blob.withColumn("n_skipped", F.lit(len(rules)).cast("long") - F.col("n_scanned"))
+    return C.spread_join(paths, per_blob, "blob", "_row", "left").drop("_row")
 
 
 def span_string(found: str):
@@ -133,11 +148,18 @@ def span_string(found: str):
 
 @register("op6_secret_ledger")
 def op6_secret_ledger(spark, sf_dir):
-    """All documents against a new ledger.  The built-in rules are the base;
-    ``spans`` holds them all."""
+    """All documents, in two deliveries to one new ledger; together they hold
+    every row.  Before the second the rule for hex has a new version, so that
+    a blob that came with the first delivery is scanned for hex alone.  The
+    built-in rules are the base; ``spans`` holds them all.  ``n_scanned`` and
+    ``n_skipped`` are of the row's own delivery."""
     docs = C.table(spark, sf_dir, "documents")
-    found = scan_history(docs, C.scratch_path(spark, "ledger"), "doc_id")
+    ledger = C.scratch_path(spark, "ledger")
+    early = F.xxhash64("doc_id") >= 0
+    newer = tuple(replace(r, version=r.version + (r.kind == "hex")) for r in RULES)
+    found = scan_history(docs.where(early), ledger, "doc_id", scan="first").unionByName(
+        scan_history(docs.where(~early), ledger, "doc_id", rules=newer, scan="second"))
     count = lambda kind: F.coalesce(F.size(F.filter("found", lambda x: x["kind"] == kind)), F.lit(0)).cast("long")
     return (found.select(F.col("path").alias("doc_id"), *[count(r.kind).alias(f"n_{r.kind}") for r in RULES],
-                         span_string("found").alias("spans"))
+                         span_string("found").alias("spans"), "n_scanned", "n_skipped")
             .withColumn("base_sha256", F.sha2("spans", 256)))

@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -131,6 +132,45 @@ def test_secret_ledger(spark, empty):
     assert secrets.scan_history(empty, common.scratch_path(spark, "test-ledger"), "doc_id").count() == 0
 
 
+def test_secret_ledger_counts_and_repeats(spark):
+    """A known blob is skipped, a repeated scan changes nothing, rows found
+    twice count once, a long text and many rows without a path pass."""
+    long = ("word " * 50_000) + "token=" + "q" * 9 + (" word" * 50_000)
+    texts = [(d, t) for d, t in SECRETS] + [(20, long)] + [(None, "deadbeef" * 5)] * 30
+    rows = spark.createDataFrame(texts, "path long, text string")
+    ledger = common.scratch_path(spark, "test-ledger")
+
+    def counts(df):
+        return Counter((r.path, r.s, r.n_scanned, r.n_skipped) for r in df.withColumn(
+            "s", secrets.span_string("found")).select("path", "s", "n_scanned", "n_skipped").collect())
+
+    first = counts(secrets.scan_history(rows, ledger, scan="one"))
+    assert first == Counter((d, spans(t), 3, 0) for d, t in texts)
+    stored = spark.read.parquet(ledger).count()
+    assert counts(secrets.scan_history(rows, ledger, scan="one")) == first
+    assert spark.read.parquet(ledger).count() == stored
+    newer = [replace(r, version=r.version + (r.kind == "hex")) for r in secrets.RULES]
+    assert counts(secrets.scan_history(rows, ledger, rules=newer, scan="two")) == Counter((d, spans(t), 1, 2) for d, t in texts)
+    # two scans of one blob at the same time leave equal rows under two names
+    spark.read.parquet(f"{ledger}/scan=one").write.parquet(f"{ledger}/scan=other")
+    assert counts(secrets.scan_history(rows, ledger, scan="three")) == Counter((d, spans(t), 0, 3) for d, t in texts)
+
+
+def test_secret_query(spark, tmp_path):
+    """Both deliveries against the patterns of Python; copies that came with
+    the first are scanned for the new rule version alone."""
+    texts = [(i, t) for i, (_, t) in enumerate(SECRETS * 6)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = secrets.op6_secret_ledger(spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.spans for r in got} == {d: spans(t) for d, t in texts} and len(got) == len(texts)
+    assert all(r.n_scanned + r.n_skipped == 3 for r in got)
+    assert {r.n_skipped for r in got} == {0, 2}
+    for r in got:
+        kinds = Counter(x.split(":")[0] for x in r.spans.split(",") if x)
+        assert (r.n_assign, r.n_access, r.n_hex) == (kinds["assign"], kinds["access"], kinds["hex"])
+        assert r.base_sha256 == hashlib.sha256(r.spans.encode()).hexdigest()
+
+
 def test_substring_dedup(docs, empty):
     k = 35
     rows = corpus()
