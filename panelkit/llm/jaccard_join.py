@@ -384,8 +384,10 @@ class Index:
         need = num * (F.col("x.n") + F.col("y.n"))
         places = 1 + F.least(F.col("x.n") - F.col("x.at") - 1, F.col("y.n") - F.col("y.at") - 1)
         common = F.array_intersect("x.keys", "y.keys")
-        few = (F.col("x.whole") & F.col("y.whole")
-               & ((num + den) * (F.col("x.n") - F.col("x.p") + F.size(common)) < need))
+        # both sides need the same columns, so that one exchange serves them
+        free = F.col("x.n") - F.col("x.p")
+        free = F.when(F.col("x.last") == F.col("y.last"), F.least(free, F.col("y.n") - F.col("y.p"))).otherwise(free)
+        few = F.col("x.whole") & F.col("y.whole") & ((num + den) * (free + F.size(common)) < need)
         may = ((F.col("x.key") == F.col("y.key")) & (F.col("x.last") <= F.col("y.last"))
                & ((F.col("x.last") < F.col("y.last")) | (F.col("x.grp") < F.col("y.grp")))
                & (den * F.least("x.n", "y.n") >= num * F.greatest("x.n", "y.n"))
