@@ -40,6 +40,8 @@ def test_incremental_run(spark, tmp_path):
     run_incremental(spark, str(src / "*"), schema, lambda d: d.withColumn("v2", F.col("v") * 2), str(sink),
                     checkpoint=str(tmp_path / "ck"))
     assert sorted(r.v2 for r in spark.read.parquet(str(sink)).collect()) == [4.0, 6.0, 10.0]   # only new file added
+    # each micro-batch is a partition of its own: run again, it replaces itself
+    assert spark.read.parquet(str(sink)).select("batch").distinct().count() == 2
 
 
 def test_whole_table_is_read_back(spark):
