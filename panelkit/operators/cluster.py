@@ -12,7 +12,10 @@ StandardScaler (ddof 1) and Imputer (lower median) are deliberately not used.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -83,32 +86,93 @@ def assign_missing_band(df: DataFrame, band: str, proxies: Sequence[str], out: s
 
 
 def feature_table(df: DataFrame, feature_cols: Sequence[str]) -> DataFrame:
-    """Assemble the feature vector once and checkpoint it (shared checkpoint
-    folder), so K-means restarts read a materialised entity table instead of
-    replaying the joins behind it - and survive executor loss."""
+    """The features, and their vector, checkpointed (shared checkpoint folder),
+    so K-means restarts read a materialised entity table instead of replaying
+    the joins behind it - and survive executor loss."""
     va = VectorAssembler(inputCols=list(feature_cols), outputCol="features")
-    return cut_lineage(va.transform(df))
+    return cut_lineage(va.transform(df.select(*feature_cols)))
+
+
+@dataclass
+class Centres:
+    """A fitted K-means: its centres, and the cost of the last round's assignment."""
+    centres: np.ndarray
+    cost: float
+
+    def nearest(self, feature_cols: Sequence[str]) -> F.Column:
+        """Index of the nearest centre (ties: the first)."""
+        far = lambda c: sum(((F.col(f) - F.lit(float(v))) ** 2 for f, v in zip(feature_cols, c)), F.lit(0.0))
+        return F.array_min(F.array(*[F.struct(far(c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(self.centres)]))["i"]
+
+
+def _assigner(centres: Sequence[np.ndarray], feature_cols: Sequence[str], names: Sequence[str]):
+    """For ``mapInArrow``: per run and cluster the rows nearest to it, their cost
+    and the sums of their features - one row each, however many rows come in."""
+    every, at = np.concatenate(centres), np.cumsum([0] + [len(c) for c in centres])
+    half = (every**2).sum(axis=1) / 2
+
+    def of(batches):
+        total = np.zeros((len(every), 2 + len(feature_cols)))
+        for b in batches:
+            x = np.column_stack([b.column(f).to_numpy(zero_copy_only=False) for f in feature_cols])
+            near, size = half - x @ every.T, (x**2).sum(axis=1)
+            for i, j in zip(at[:-1], at[1:]):
+                label = near[:, i:j].argmin(axis=1)
+                cost = np.maximum(size + 2 * near[np.arange(len(x)), i + label], 0.0)
+                for c, w in enumerate((None, cost, *x.T)):
+                    total[i:j, c] += np.bincount(label, w, j - i)
+        run = np.repeat(np.arange(len(centres)), np.diff(at))
+        here = total[:, 0] > 0
+        cols = [run[here], (np.arange(len(every)) - at[run])[here], *total[here].T]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
+    return of
+
+
+def fit_kmeans_runs(data: DataFrame, feature_cols: Sequence[str], runs: Sequence[tuple[int, int]], max_iter: int = 300,
+                    tol: float = 1e-4) -> list[Centres]:
+    """K-means for each (k, seed) of ``runs``.  Each starts from the centres that
+    Spark's K-means|| draws with its seed; Lloyd's rounds of all runs that still
+    move then share one pass over the rows.  A run ends as Spark's does, when no
+    centre moves by more than ``tol``.  Each task sends runs x centres x features
+    numbers to the driver, whatever its rows."""
+    data = data.persist()  # else every start would keep its own copy
+
+    def start(k, seed):
+        return lambda: np.array(KMeans(k=k, seed=seed, maxIter=0, featuresCol="features").fit(data).clusterCenters())
+    centres = run_concurrently([start(*r) for r in runs], 16)
+    cost, active = [0.0] * len(runs), list(range(len(runs)))
+    names = ["run", "cluster", "n", "cost", *[f"s{i}" for i in range(len(feature_cols))]]
+    schema = "run long, cluster long, " + ", ".join(f"{c} double" for c in names[2:])
+    rows = data.select(*feature_cols)
+    for _ in range(max_iter):
+        sums = [np.zeros((len(centres[r]), len(names) - 2)) for r in active]
+        for run, cluster, *g in rows.mapInArrow(_assigner([centres[r] for r in active], feature_cols, names), schema).collect():
+            sums[run][cluster] += g
+        moved = []
+        for r, g in zip(active, sums):
+            here = g[:, 0] > 0  # a centre that no row is nearest to stays
+            to = np.where(here[:, None], g[:, 2:] / np.maximum(g[:, :1], 1), centres[r])
+            if (((to - centres[r]) ** 2).sum(axis=1) > tol**2).any():
+                moved.append(r)
+            centres[r], cost[r] = to, float(g[:, 1].sum())
+        active = moved
+        if not active:
+            break
+    data.unpersist()
+    return [Centres(c, x) for c, x in zip(centres, cost)]
 
 
 def fit_kmeans(df: DataFrame, feature_cols: Sequence[str], k: int, n_init: int = 10, seed: int = 42,
-               max_iter: int = 300, data: DataFrame | None = None):
+               max_iter: int = 300) -> tuple[Centres, float]:
     """K-means restarted ``n_init`` times (seeds seed .. seed+n_init-1); the
     model with the lowest training cost wins.  Returns (model, cost)."""
-    data = data if data is not None else feature_table(df, feature_cols)
+    fits = fit_kmeans_runs(feature_table(df, feature_cols), feature_cols, [(k, seed + s) for s in range(n_init)], max_iter)
+    best = min(fits, key=lambda m: m.cost)
+    return best, best.cost
 
-    def fit(s):
-        def run():
-            m = KMeans(k=k, seed=seed + s, maxIter=max_iter, featuresCol="features").fit(data)
-            return m, m.summary.trainingCost
-        return run
-
-    fits = run_concurrently([fit(s) for s in range(n_init)], n_init)  # independent restarts
-    return min(fits, key=lambda mc: mc[1])
 
-
-def predict(model, df: DataFrame, feature_cols: Sequence[str], out: str = "cluster") -> DataFrame:
-    va = VectorAssembler(inputCols=list(feature_cols), outputCol="features")
-    return model.transform(va.transform(df)).withColumnRenamed("prediction", out).drop("features")
+def predict(model: Centres, df: DataFrame, feature_cols: Sequence[str], out: str = "cluster") -> DataFrame:
+    return df.withColumn(out, model.nearest(feature_cols))
 
 
 def fit_profile_clusters(df: DataFrame, cols: Sequence[str], k: int = 4, fit_on: F.Column | None = None,
@@ -128,16 +192,18 @@ def k_sweep(df: DataFrame, feature_cols: Sequence[str], ks: Sequence[int] = rang
     """(k, inertia, silhouette) per k.  Silhouette is Spark's exact
     squared-Euclidean silhouette (O(n k)); the pairwise Euclidean version is
     O(n^2) and is not computed."""
-    data = feature_table(df, feature_cols)
+    data, ks = feature_table(df, feature_cols), list(ks)
     ev = ClusteringEvaluator(featuresCol="features", predictionCol="prediction",
                              distanceMeasure="squaredEuclidean")
-    def one(k):
+    fits = fit_kmeans_runs(data, feature_cols, [(k, seed + s) for k in ks for s in range(n_init)])
+
+    def one(i, k):
         def run():
-            m, cost = fit_kmeans(df, feature_cols, k, n_init, seed, data=data)
-            return int(k), float(cost), float(ev.evaluate(m.transform(data)))
+            m = min(fits[i * n_init: (i + 1) * n_init], key=lambda x: x.cost)
+            return int(k), float(m.cost), float(ev.evaluate(predict(m, data, feature_cols, "prediction")))
         return run
 
-    rows = run_concurrently([one(k) for k in ks], len(list(ks)))
+    rows = run_concurrently([one(i, k) for i, k in enumerate(ks)], len(ks))
     return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..operators import cluster as D
+from ..session import cut_lineage
 from . import tables as tb
 from .catalog import ORACLE, QUERIES, r_sql, register, rounded
 from .sqlbase import band_sql, with_
@@ -73,7 +74,7 @@ def cluster_assign_missing(spark, d):
 
 
 def _kmeans(spark, d, n_init=10):
-    b = _banded(spark, d)
+    b = cut_lineage(_banded(spark, d))
     scored, model, params = D.fit_profile_clusters(b, V, 4, F.col("cluster_wb").isNotNull(), n_init, 42)
     return D.rank_labels(scored, "cluster", "gdp_pc", dims.CLUSTER_ORDER), model, params
 
@@ -89,7 +90,7 @@ def cluster_kmeans(spark, d):
 @register("cluster_k_sweep")
 def cluster_k_sweep(spark, d):
     """Inertia and (squared-Euclidean) silhouette for k = 2..8."""
-    b = _banded(spark, d)
+    b = cut_lineage(_banded(spark, d))  # read by the scaler and by the fits
     params = D.fit_scaler(b, V)
     z = b.withColumns(D.scaled_columns(params))
     return D.k_sweep(z, ["z_" + c for c in V], range(2, 9), n_init=10)
@@ -216,7 +217,7 @@ def cluster_alias_successor(spark, d):
 @register("cluster_static")
 def cluster_static(spark, d):
     """Mean profile of all years per entity -> K-means (k=4) -> named clusters."""
-    s = _static(spark, d)
+    s = cut_lineage(_static(spark, d))
     scored, _, _ = D.fit_profile_clusters(s, V, 4, None, 10, 42)
     return D.rank_labels(scored, "cluster", "gdp_pc", dims.CLUSTER_ORDER).select(
         "noc", "country", "cluster_code", "cluster_label")
@@ -265,7 +266,7 @@ def cluster_outcome_table(spark, d):
 @register("cluster_outcome_clusters")
 def cluster_outcome_clusters(spark, d):
     """K-means (k=4, 20 restarts) on the z-scored outcome profile, named by rule."""
-    t = _outcome(spark, d)
+    t = cut_lineage(_outcome(spark, d))  # read by the scaler, the fits and the names
     cols = ["avg_medals", "medals_per_m", "consistency", "avg_gdp_pc", "n_editions"]
     scored, _, _ = D.fit_profile_clusters(t, cols, 4, None, 20, 42)
     return D.outcome_names(scored, "cluster").select("noc", "cluster", "cluster_name")

@@ -68,3 +68,18 @@ def test_kmeans_sweep_invariants(spark):
     df = spark.createDataFrame(rows, "x double, y double")
     sw = {r.k: r for r in D.k_sweep(df, ["x", "y"], [2, 3], n_init=2).collect()}
     assert sw[3].inertia <= sw[2].inertia and sw[2].silhouette > 0.9
+
+
+def test_kmeans_runs_end_where_sparks_do(spark):
+    from pyspark.ml.clustering import KMeans
+    rng = np.random.default_rng(5)
+    rows = [(float(a), float(b)) for a, b in np.concatenate([rng.normal(size=(150, 2)) + c for c in ([0, 0], [4, 1], [1, 5])])]
+    data = D.feature_table(spark.createDataFrame(rows, "x double, y double"), ["x", "y"])
+    runs = [(3, 42), (3, 43), (5, 42)]
+    got = D.fit_kmeans_runs(data, ["x", "y"], runs)
+    for (k, seed), m in zip(runs, got):
+        want = KMeans(k=k, seed=seed, maxIter=300, featuresCol="features").fit(data)
+        assert np.allclose(m.centres, np.array(want.clusterCenters()), atol=1e-9)
+        assert abs(m.cost - want.summary.trainingCost) < 1e-6
+        both = D.predict(m, want.transform(data), ["x", "y"])
+        assert both.where("cluster <> prediction").count() == 0
