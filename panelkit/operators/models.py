@@ -35,13 +35,16 @@ def training_sets(base: DataFrame, events: DataFrame, keys: Sequence[str], categ
     """M1: base rows x categories with >= ``min_rows`` event rows; y = 1 when
     the key won anything in that category.  The category list is bounded
     (checked) and exploded per base row."""
-    counts = events.groupBy(category).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= min_rows)
+    each = cut_lineage(events.groupBy(*keys, category).agg(F.count(F.lit(1)).alias("__n"), F.max(F.col(won)).alias("__won")))
+    counts = each.groupBy(category).agg(F.sum("__n").alias("__n")).filter(F.col("__n") >= min_rows)
     cats = [r[0] for r in counts.select(category).limit(max_categories + 1).collect()]
     if len(cats) > max_categories:
         raise ValueError("too many categories for one training table")
-    flags = events.filter(F.col(won)).select(*keys, category).distinct().withColumn("__y", F.lit(1))
-    grid = base.select("*", F.explode(F.array(*[F.lit(c) for c in sorted(cats)])).alias(category))
-    return grid.join(flags, [*keys, category], "left").withColumn("y", F.coalesce("__y", F.lit(0))).drop("__y")
+    wins = each.filter("__won").groupBy(*keys).agg(F.collect_set(category).alias("__wins"))
+    # a base row and its list of wins meet once, before there is a row for each category
+    wide = cut_lineage(base.join(wins, list(keys), "left"))
+    grid = wide.select("*", F.explode(F.array(*[F.lit(c) for c in sorted(cats)])).alias(category))
+    return grid.withColumn("y", F.coalesce(F.array_contains("__wins", F.col(category)).cast("int"), F.lit(0))).drop("__wins")
 
 
 def stratified_folds(df: DataFrame, keys: Sequence[str], strata: Sequence[str], k: int = 5, parts: int = 64) -> DataFrame:
@@ -57,6 +60,11 @@ def stratified_folds(df: DataFrame, keys: Sequence[str], strata: Sequence[str],
     return d.withColumn("fold", F.pmod(F.col("__first") + inside, F.lit(k)).cast("int")).drop("__h", "__part", "__first")
 
 
+def with_folds(data: DataFrame, keys: Sequence[str], category: str, label: str, k: int = 5) -> DataFrame:
+    """``data`` with the folds of the models of a category, stored: all its models start from it."""
+    return cut_lineage(stratified_folds(data, [*keys, category], [category, label], k))
+
+
 def fold_column(keys: Sequence[str], k: int = 5) -> F.Column:
     """Deterministic fold id in 0..k-1 from a hash of the row key."""
     return F.pmod(F.xxhash64(*[F.col(c) for c in keys]), F.lit(k)).cast("int")
@@ -67,20 +75,21 @@ def _balanced_weights(df: DataFrame, group: Sequence[str], label: str) -> DataFr
     (groups x classes) count table joined back - no window over a whole group."""
     c = df.groupBy(*group, label).agg(F.count(F.lit(1)).alias("__ny"))
     tot = c.groupBy(*group).agg(F.sum("__ny").alias("__n"), F.count(F.lit(1)).alias("__k"))
-    wt = c.join(tot, list(group)).select(*group, label, (F.col("__n") / (F.col("__k") * F.col("__ny"))).alias("__sw"))
+    wt = cut_lineage(c.join(tot, list(group)).select(*group, label, (F.col("__n") / (F.col("__k") * F.col("__ny"))).alias("__sw")))
     return df.join(F.broadcast(wt), [*group, label])  # groups x classes rows
 
 
 def grouped_logit(df: DataFrame, group: Sequence[str], features: Sequence[str], label: str,
-                  c: float = 1.0, balanced: bool = True, max_iter: int = 50, tol: float = 1e-10) -> DataFrame:
+                  c: float = 1.0, balanced: bool = True, max_iter: int = 50, tol: float = 1e-10, stored: bool = False) -> DataFrame:
     """Newton fits of L2 logistic regression for every group at once.
-    Returns (group..., b0, b_<feature>...) with b0 the intercept."""
+    Returns (group..., b0, b_<feature>...) with b0 the intercept.  ``stored``:
+    ``df`` is a plain reading of a stored table, whose rows are not written again."""
     spark = df.sparkSession
     feats = list(features)
     p = len(feats) + 1
     d = _balanced_weights(df, group, label) if balanced else df.withColumn("__sw", F.lit(1.0))
-    d = cut_lineage(d.select(*group, *[F.col(f).cast("double").alias(f) for f in feats],
-                             F.col(label).cast("double").alias("__y"), "__sw"))
+    d = d.select(*group, *[F.col(f).cast("double").alias(f) for f in feats], F.col(label).cast("double").alias("__y"), "__sw")
+    d = d if stored else cut_lineage(d)
     keys = [tuple(r) for r in d.select(*group).distinct().limit(MAX_GROUPS + 1).collect()]  # categories x folds
     if len(keys) > MAX_GROUPS:
         raise ValueError(f"more than {MAX_GROUPS} model groups")
@@ -150,16 +159,17 @@ def logit_per_category(data: DataFrame, keys: Sequence[str], category: str, feat
                        label: str = "y", k: int = 5, c: float = 1.0) -> DataFrame:
     """M2: per category, k-fold cross-validated AUC (mean, sd ddof 0) of the
     balanced L2 logistic model, coefficients of the fit on all rows, number
-    and percent of winners; sorted by mean AUC at the sink."""
-    d = cut_lineage(stratified_folds(data, [*keys, category], [category, label], k))
+    and percent of winners; sorted by mean AUC at the sink.  ``data`` may come
+    from ``with_folds``."""
+    d = data if "fold" in data.columns else with_folds(data, keys, category, label, k)
     train = d.select("*", F.explode(F.sequence(F.lit(-1), F.lit(k - 1))).alias("model")) \
         .filter(F.col("model") != F.col("fold"))          # model -1 = all rows
-    coef = grouped_logit(train, [category, "model"], features, label, c)
+    coef = grouped_logit(train, [category, "model"], features, label, c, stored=True)  # a row is in k models
     test = d.withColumn("model", F.col("fold"))
     auc = grouped_auc(logit_score(test, coef, [category, "model"], features), [category, "model"], label)
     cv = auc.groupBy(category).agg(F.avg("auc").alias("auc_mean"), F.stddev_pop("auc").alias("auc_std"))
     full = coef.filter(F.col("model") == -1).drop("model")
-    n = data.groupBy(category).agg(F.sum(label).alias("n_winners"), (100 * F.avg(label)).alias("pct_winners"),
+    n = d.groupBy(category).agg(F.sum(label).alias("n_winners"), (100 * F.avg(label)).alias("pct_winners"),
                                    F.count(F.lit(1)).alias("n"))
     return cv.join(full, category).join(n, category)
 
@@ -169,9 +179,10 @@ def trees_per_category(data: DataFrame, keys: Sequence[str], category: str, feat
     """M3: per category, k-fold AUC of a balanced random forest (300 trees,
     depth 5, min leaf 5) and an unweighted gradient-boosted model (200 rounds,
     depth 3, step 0.05); feature importances of fits on all rows.  Spark counts
-    the binned rows once; all (category, fold) fits start from the counts."""
-    d = cut_lineage(stratified_folds(data, [*keys, category], [category, label], k)
-                    .select(category, "fold", *features, F.col(label).cast("double").alias(label)))
+    the binned rows once; all (category, fold) fits start from the counts.
+    ``data`` may come from ``with_folds``."""
+    d = data if "fold" in data.columns else with_folds(data, keys, category, label, k)
+    d = d.select(category, "fold", *features, F.col(label).cast("double").alias(label))
     table, edges = cells(d, [category, "fold"], features, label)
     fits = cut_lineage(classifiers_by_group(table, category, features, max([len(e) for e in edges], default=0) + 1, k, seed,
                                             {"trees": trees, "depth": 5, "leaf": 5}, {"rounds": rounds, "depth": 3, "rate": 0.05}))

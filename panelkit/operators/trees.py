@@ -32,6 +32,8 @@ BINS = 32
 MAX_CELLS = 200_000
 #: Histogram entries (tree, cell, feature) that are added up at once.
 AT_ONCE = 4_000_000
+#: Tasks that grow the trees of one forest of regression trees.
+SHARES = 8
 
 
 def bin_edges(df: DataFrame, features: Sequence[str], bins: int = BINS, accuracy: int = 10_000) -> list[np.ndarray]:
@@ -92,31 +94,43 @@ class Forest:
 
 
 def grow(bins: np.ndarray, count: np.ndarray, weight: np.ndarray, total: np.ndarray, depth: int, leaf: int,
-         features: int, rng: np.random.Generator, n_bins: int) -> Forest:
+         features: int, rng: np.random.Generator, n_bins: int, classes: tuple[float, float] | None = None) -> Forest:
     """All trees at once.  ``bins`` (features, cells); for each (tree, cell) the
     rows ``count``, their ``weight`` and weighted target ``total``.  A split is
     the one of greatest gain ``left^2 / w + right^2 / w`` (least squares, and
     Gini for a 0/1 target) that leaves ``leaf`` rows on either side, of
-    ``features`` features drawn for each node."""
+    ``features`` features drawn for each node.  With ``classes``, the weights of
+    ones and zeros, ``total`` is the number of ones and ``weight`` is not read."""
     (trees, _), p = count.shape, len(bins)
     nodes = 2 ** (depth + 1) - 1
     out = Forest(np.full((trees, nodes), -1, np.int16), np.zeros((trees, nodes), np.int16), np.zeros((trees, nodes)), np.zeros((trees, p)))
     tree, cell = np.nonzero(count > 0)
     node = np.zeros(len(tree), np.int64)
-    stats = [x[tree, cell] for x in (count, weight, total)]
+    sums = (count, total) if classes or weight is count else (count, weight, total)
+    stats = [x[tree, cell] for x in sums]
+
+    def three(x):
+        """(rows, weight, weighted target) from the sums kept."""
+        if classes:
+            return x[0], classes[0] * x[1] + classes[1] * (x[0] - x[1]), classes[0] * x[1]
+        return (x[0], x[0], x[1]) if weight is count else x
     for d in range(depth + 1):
         width, base = 2**d, 2**d - 1
         at = tree * width + node
-        n, w, s = (np.bincount(at, x, trees * width) for x in stats)
+        n, w, s = three([np.bincount(at, x, trees * width) for x in stats])
         here = n > 0
         value = np.divide(s, w, out=np.zeros_like(s), where=w > 0)
         t, k = np.divmod(np.flatnonzero(here), width)
         out.value[t, base + k] = value[here]
         if d == depth or not len(at):
             break
-        key = ((at * p)[None, :] + np.arange(p)[:, None]) * n_bins + bins[:, cell]
-        left = [np.bincount(key.ravel(), np.tile(x, p), trees * width * p * n_bins).reshape(trees * width, p, n_bins).cumsum(axis=2)
-                for x in stats]
+        left = [np.empty((trees * width, p, n_bins)) for _ in stats]
+        row = at * n_bins
+        for f in range(p):
+            key = row + bins[f][cell]
+            for a, x in zip(left, stats):
+                a[:, f] = np.bincount(key, x, trees * width * n_bins).reshape(-1, n_bins)
+        left = three([a.cumsum(axis=2) for a in left])
         right = [a[:, None, None] - x for a, x in zip((n, w, s), left)]
         with np.errstate(divide="ignore", invalid="ignore"):
             gain = left[2] ** 2 / left[1] + right[2] ** 2 / right[1] - (s**2 / w)[:, None, None]
@@ -146,23 +160,35 @@ def _shares(importance: np.ndarray) -> np.ndarray:
 
 
 def random_forest(bins: np.ndarray, n: np.ndarray, s: np.ndarray, trees: int, depth: int, leaf: int, features: int,
-                  seed: int, n_bins: int, balanced: bool = False) -> Forest:
+                  seed: int, n_bins: int, balanced: bool = False, share: tuple[int, int] = (0, 1)) -> Forest:
     """Bagged trees: each tree draws every row a Poisson(1) number of times.  A
     0/1 target (``balanced``) is drawn class by class and weighted so that both
-    classes have the same total."""
+    classes have the same total.  ``share`` (i, n): the i-th of n even runs of
+    the lots that an unbalanced forest is grown in, the draws before it passed over."""
     rng = np.random.default_rng(seed)
     lot = max(1, AT_ONCE // max(1, n.size * len(bins)))
-    parts = []
-    for first in range(0, trees, lot):
+    firsts, parts = range(0, trees, lot), []
+    mine = set(list(firsts)[len(firsts) * share[0] // share[1]: len(firsts) * (share[0] + 1) // share[1]])
+    for first in firsts:
         size = (min(lot, trees - first), len(n))
         if balanced:
             ones, zeros = rng.poisson(s, size).astype(float), rng.poisson(n - s, size).astype(float)
             total = n.sum()
             up, down = (total / (2 * x) if x else 0.0 for x in (s.sum(), (n - s).sum()))
-            parts.append(grow(bins, ones + zeros, up * ones + down * zeros, up * ones, depth, leaf, features, rng, n_bins))
+            drawn = ones + zeros
+            parts.append(grow(bins, drawn, drawn, ones, depth, leaf, features, rng, n_bins, (up, down)))
         else:
             drawn = rng.poisson(n, size).astype(float)
+            if first not in mine:
+                continue
             parts.append(grow(bins, drawn, drawn, drawn * (s / n)[None, :], depth, leaf, features, rng, n_bins))
+    if not parts:  # more runs than lots
+        none = np.zeros((0, 2 ** (depth + 1) - 1))
+        return Forest(none.astype(np.int16), none.astype(np.int16), none, np.zeros((0, len(bins))))
+    return joined(parts)
+
+
+def joined(parts: Sequence[Forest]) -> Forest:
     return Forest(*(np.concatenate([getattr(x, k) for x in parts]) for k in ("feature", "cut", "value", "importance")))
 
 
@@ -173,11 +199,11 @@ def boosted(bins: np.ndarray, n: np.ndarray, s: np.ndarray, rounds: int, depth:
     leaves by a Newton step."""
     rng, p, mean = np.random.default_rng(0), len(bins), s.sum() / n.sum()
     first = float(np.log(mean / (1 - mean))) if logistic and 0 < mean < 1 else float(mean)
-    score = np.full(len(n), first)
+    score, rows = np.full(len(n), first), n[None]
     parts = []
     for _ in range(rounds if not logistic or 0 < mean < 1 else 0):
         prob = 1 / (1 + np.exp(-score)) if logistic else score
-        tree = grow(bins, n[None], n[None], (s - n * prob)[None], depth, 1, p, rng, n_bins)
+        tree = grow(bins, rows, rows, (s - n * prob)[None], depth, 1, p, rng, n_bins)
         at = tree.leaves(bins)[0]
         if logistic:
             up = np.bincount(at, s - n * prob, tree.value.shape[1])
@@ -188,7 +214,7 @@ def boosted(bins: np.ndarray, n: np.ndarray, s: np.ndarray, rounds: int, depth:
         parts.append(tree)
     if not parts:
         parts = [Forest(np.full((1, 1), -1, np.int16), np.zeros((1, 1), np.int16), np.zeros((1, 1)), np.zeros((1, p)))]
-    return Forest(*(np.concatenate([getattr(x, k) for x in parts]) for k in ("feature", "cut", "value", "importance"))), first
+    return joined(parts), first
 
 
 def auc_of_cells(score: np.ndarray, n: np.ndarray, s: np.ndarray) -> float | None:
@@ -223,9 +249,8 @@ def classifiers_by_group(table: DataFrame, group: str, features: Sequence[str],
         train = d[d.fold != model].groupby(names, as_index=False)[["n", "s"]].sum()
         bins, n, s = train[names].to_numpy().T.astype(np.int64), train.n.to_numpy(), train.s.to_numpy()
         at, rows = test[names].to_numpy().T.astype(np.int64), []
-        for kind in ("rf", "gbt"):
-            if not len(n):
-                continue
+        kind = key[2]
+        if len(n):
             if kind == "rf":
                 f = random_forest(bins, n, s, seed=seed, n_bins=n_bins, features=max(1, int(len(names) ** 0.5)), balanced=True, **forest)
                 score = lambda x, f=f: _score_blocks(f, x, np.mean)
@@ -235,8 +260,16 @@ def classifiers_by_group(table: DataFrame, group: str, features: Sequence[str],
             auc = auc_of_cells(score(at), test.n.to_numpy(), test.s.to_numpy()) if len(test) else None
             rows.append((key[0], model, kind, auc, *_shares(f.importance)))
         return pd.DataFrame(rows, columns=[x.name for x in fields])
-    each = table.withColumn("model", F.explode(F.sequence(F.lit(-1), F.lit(k - 1))))
-    return each.groupBy(group, "model").applyInPandas(fit, T.StructType(fields))
+    each = table.withColumn("model", F.explode(F.sequence(F.lit(-1), F.lit(k - 1)))) \
+        .withColumn("kind", F.explode(F.array(F.lit("rf"), F.lit("gbt"))))
+    by = [group, "model", "kind"]
+    return _spread(each, by, table.select(group).distinct().count() * (k + 1) * 2).groupBy(*by).applyInPandas(fit, T.StructType(fields))
+
+
+def _spread(df: DataFrame, by: Sequence[str], fits: int) -> DataFrame:
+    """A place for each fit: its rows are few and its work is much, so places
+    chosen by size would put many fits in one task, one after the other."""
+    return df.repartition(min(4 * max(fits, 1), 4000), *by)
 
 
 @dataclass
@@ -271,28 +304,31 @@ def regressions_by_model(table: DataFrame, features: Sequence[str], edges: list[
                          kinds: dict[str, dict], seed: int = 42) -> dict[tuple[int, str], Regression]:
     """{(model, kind): fit} from a ``cells`` table by fold: model f leaves fold f
     out, model -1 takes all rows.  ``kinds``: {"rf": {trees, depth, leaf},
-    "gbt": {rounds, depth, rate}}.  The fits come back as bounded arrays (trees x nodes)."""
+    "gbt": {rounds, depth, rate}}.  A forest is grown in ``SHARES`` tasks.  The
+    fits come back as bounded arrays (trees x nodes)."""
     names, n_bins = [f"b{i}" for i in range(len(features))], max([len(e) for e in edges], default=0) + 1
 
     def fit(key, d: pd.DataFrame) -> pd.DataFrame:
-        model, kind = int(key[0]), key[1]
+        model, kind, share = int(key[0]), key[1], int(key[2])
         train = d[d.fold != model].groupby(names, as_index=False)[["n", "s"]].sum()
         bins, n, s = train[names].to_numpy().T.astype(np.int64), train.n.to_numpy(), train.s.to_numpy()
         if not len(n):
-            return pd.DataFrame([], columns=["model", "kind", "fit"])
+            return pd.DataFrame([], columns=["model", "kind", "share", "fit"])
         if kind == "rf":
-            f, first = random_forest(bins, n, s, features=len(names), seed=seed, n_bins=n_bins, **kinds[kind]), 0.0
+            f, first = random_forest(bins, n, s, features=len(names), seed=seed, n_bins=n_bins, share=(share, SHARES), **kinds[kind]), 0.0
         else:
             f, first = boosted(bins, n, s, n_bins=n_bins, logistic=False, **kinds[kind])
-        return pd.DataFrame([(model, kind, pickle.dumps((f, first)))], columns=["model", "kind", "fit"])
-    pick = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(c).alias("kind")) for m in models for c in kinds]))
+        return pd.DataFrame([(model, kind, share, pickle.dumps((f, first)))], columns=["model", "kind", "share", "fit"])
+    tasks = [(m, c, i) for m in models for c in kinds for i in range(SHARES if c == "rf" else 1)]
+    pick = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(c).alias("kind"), F.lit(i).alias("share")) for m, c, i in tasks]))
     each = table.withColumn("__m", pick).select("*", "__m.*").drop("__m")
-    got = each.groupBy("model", "kind").applyInPandas(fit, "model int, kind string, fit binary").collect()
-    out = {}
-    for r in got:
-        forest, first = pickle.loads(bytes(r["fit"]))
-        out[r["model"], r["kind"]] = Regression(list(features), edges, forest, "mean" if r["kind"] == "rf" else "sum", first)
-    return out
+    by = ["model", "kind", "share"]
+    got = _spread(each, by, len(tasks)).groupBy(*by).applyInPandas(fit, "model int, kind string, share int, fit binary").collect()
+    parts: dict = {}
+    for r in sorted(got, key=lambda r: r["share"]):
+        parts.setdefault((r["model"], r["kind"]), []).append(pickle.loads(bytes(r["fit"])))
+    return {(m, c): Regression(list(features), edges, joined([f for f, _ in fits]), "mean" if c == "rf" else "sum", fits[0][1])
+            for (m, c), fits in parts.items()}
 
 
 def predict(df: DataFrame, fits: dict[str, Regression | dict[int, Regression]], fold: str | None = None,

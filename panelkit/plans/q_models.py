@@ -20,19 +20,22 @@ REG_FEATURES = ["log_spend", "log_lines", "log_unit", "qty", "avg_disc", "is_hos
 LAST_YEAR = 2000
 
 
-def _base(spark, d):
-    """Entity-years with all five indicators; z-scored indicators + raw host flag."""
+def _complete(spark, d):
+    """Entity-years with all five indicators and the host flag, stored: the
+    scaler, the profiles and the training rows read it."""
     p = tb.profiles(spark, d)
     for c in V:
         p = p.filter(F.col(c).isNotNull())
     hosts = tb.games(spark, d).select(F.col("host_noc").alias("noc"), "year").distinct().withColumn("is_host", F.lit(1))
     b = p.join(hosts, ["noc", "year"], "left").withColumn("is_host", F.coalesce("is_host", F.lit(0)))
-    params = D.fit_scaler(b, V)
-    return b.withColumns(D.scaled_columns(params)).select("noc", "year", *ZF)
+    return cut_lineage(b.drop("country"))
 
 
-def _train(spark, d):
-    return M.training_sets(_base(spark, d), tb.type_events(spark, d), ["noc", "year"], "sport", "won", 50)
+def _train(spark, d, complete=None, params=None):
+    """A row for each complete entity-year (z-scored indicators, raw host flag) and sport."""
+    b = _complete(spark, d) if complete is None else complete
+    base = b.withColumns(D.scaled_columns(params or D.fit_scaler(b, V))).select("noc", "year", *ZF)
+    return M.training_sets(base, tb.type_events(spark, d), ["noc", "year"], "sport", "won", 50)
 
 
 @register("models_training_set", with_("profiles", extra=["""ev AS (SELECT o.o_custkey AS noc, CAST(year(o.o_orderdate) AS INTEGER) AS year,
@@ -48,43 +51,47 @@ def models_training_set(spark, d):
     return _train(spark, d).select("noc", "year", "sport", "y")
 
 
-def _logit(spark, d):
-    return M.logit_per_category(_train(spark, d), ["noc", "year"], "sport", ZF, "y", 5, 1.0)
+def _folds(spark, d):
+    return M.with_folds(_train(spark, d), ["noc", "year"], "sport", "y", 5)
+
+
+def _logit(rows):
+    return M.logit_per_category(rows, ["noc", "year"], "sport", ZF, "y", 5, 1.0)
 
 
 @register("models_logit")
 def models_logit(spark, d):
     """M2: balanced L2 logistic model per sport: 5-fold AUC, coefficients, winners."""
-    return _logit(spark, d)
+    return _logit(_folds(spark, d))
 
 
-def _trees(spark, d):
-    return M.trees_per_category(_train(spark, d), ["noc", "year"], "sport", ZF, "y", 5, 42)
+def _trees(rows):
+    return M.trees_per_category(rows, ["noc", "year"], "sport", ZF, "y", 5, 42)
 
 
 @register("models_trees")
 def models_trees(spark, d):
     """M3: random forest and gradient boosting per sport: 5-fold AUC and importances."""
-    return _trees(spark, d)
+    return _trees(_folds(spark, d))
 
 
 @register("models_tree_deltas")
 def models_tree_deltas(spark, d):
     """M3: AUC gain of the tree models over the logistic model (> 0.01 counted)."""
-    return M.model_deltas(_logit(spark, d), _trees(spark, d), "sport", 0.01)
+    rows = _folds(spark, d)
+    return M.model_deltas(_logit(rows), _trees(rows), "sport", 0.01)
 
 
 @register("models_profile_probabilities")
 def models_profile_probabilities(spark, d):
     """M4: win probability per sport for the median profile of each income band
     (scaled like the training rows, host = 0) and the rich - poor gap."""
-    b = tb.profiles(spark, d)
-    for c in V:
-        b = b.filter(F.col(c).isNotNull())
+    b = _complete(spark, d)
     params = D.fit_scaler(b, V)
     med = D.coherence(b.withColumn("band", D.income_band("gdp_pc")), "band", V)
     prof = med.withColumns(D.scaled_columns(params)).withColumn("is_host", F.lit(0.0))
-    coef = M.grouped_logit(_train(spark, d).withColumn("model", F.lit(-1)), ["sport", "model"], ZF, "y")
+    rows = _train(spark, d, b, params).withColumn("model", F.lit(-1))
+    coef = M.grouped_logit(rows, ["sport", "model"], ZF, "y", stored=True)
     _, gap = M.profile_probabilities(coef, prof, "sport", "band", ZF, dims.CLUSTER_ORDER[0], dims.CLUSTER_ORDER[-1])
     return gap
 
@@ -93,7 +100,8 @@ def models_profile_probabilities(spark, d):
 def models_importance_compare(spark, d):
     """M5: normalised |logit coefficient| vs gradient-boosting importance per
     feature, for the sport with the largest tree gain and the one with the smallest |gain|."""
-    lg, tr = _logit(spark, d), _trees(spark, d)
+    rows = _folds(spark, d)
+    lg, tr = cut_lineage(_logit(rows)), cut_lineage(_trees(rows))
     deltas = M.model_deltas(lg, tr, "sport").filter(F.col("model") == "gbt")
     picks = deltas.agg(F.max_by("sport", "delta").alias("max_sport"),
                        F.min_by("sport", F.abs("delta")).alias("min_sport")).first()
@@ -161,7 +169,7 @@ def models_polarised(spark, d):
 @register("models_auc_lists")
 def models_auc_lists(spark, d):
     """M5: the five sports that the logistic model predicts best, and the five that it predicts worst."""
-    lg = cut_lineage(_logit(spark, d).select("sport", "auc_mean", "auc_std", "n_winners").filter(F.col("auc_mean").isNotNull()))
+    lg = cut_lineage(_logit(_folds(spark, d)).select("sport", "auc_mean", "auc_std", "n_winners").filter(F.col("auc_mean").isNotNull()))
     top = lg.orderBy(F.desc("auc_mean"), "sport").limit(5).withColumn("list", F.lit("top"))
     return top.unionByName(lg.orderBy("auc_mean", "sport").limit(5).withColumn("list", F.lit("bottom")))
 

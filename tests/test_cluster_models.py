@@ -83,3 +83,19 @@ def test_kmeans_runs_end_where_sparks_do(spark):
         assert abs(m.cost - want.summary.trainingCost) < 1e-6
         both = D.predict(m, want.transform(data), ["x", "y"])
         assert both.where("cluster <> prediction").count() == 0
+
+
+def test_training_rows_with_twin_keys_and_unknown_wins(spark):
+    base = spark.createDataFrame([(1, 0.5), (1, 0.7), (2, 0.1), (None, 0.2)], "k int, f double")
+    ev = spark.createDataFrame([(1, "a", True), (1, "a", False), (2, "b", False), (2, "a", None), (None, "b", True), (2, "rare", True)],
+                               "k int, c string, won boolean")
+    got = sorted((r.k or 0, r.f, r.c, r.y) for r in M.training_sets(base, ev, ["k"], "c", "won", 2).collect())
+    assert got == sorted((k, f, c, int((k, c) == (1, "a"))) for k, f in ((1, 0.5), (1, 0.7), (2, 0.1), (0, 0.2)) for c in "ab")
+
+
+def test_logit_of_stored_rows(spark):
+    rng = np.random.default_rng(6)
+    rows = [("ab"[i % 2], float(a), float(a + rng.normal() > 0)) for i, a in enumerate(rng.normal(size=200))]
+    df = spark.createDataFrame(rows, "g string, a double, y double")
+    plain, stored = (M.grouped_logit(df, ["g"], ["a"], "y", stored=s).orderBy("g").collect() for s in (False, True))
+    assert np.allclose([tuple(r)[1:] for r in plain], [tuple(r)[1:] for r in stored], atol=1e-9)

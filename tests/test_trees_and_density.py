@@ -210,6 +210,21 @@ def test_lexicon_scores_of_several_labels(spark):
                    (2, "pos"): 1.0, (2, "neg"): 0.0, (2, "warm"): 0.0, (2, "rare"): 0.0}
 
 
+def test_forest_grown_in_shares_is_the_same_forest():
+    rng = np.random.default_rng(8)
+    x, n = rng.integers(0, 8, (3, 500)), rng.integers(1, 4, 500).astype(float)
+    s = n * x[0] + rng.normal(size=500)
+    make = lambda share: R.random_forest(x, n, s, trees=20, depth=4, leaf=2, features=3, seed=1, n_bins=8, share=share)
+    whole, at_once = make((0, 1)), R.AT_ONCE
+    assert sum(len(make((i, 3)).feature) for i in range(3)) == 20  # one lot, two empty shares
+    R.AT_ONCE = 3 * x.size
+    try:
+        parts = R.joined([make((i, 4)) for i in range(4)])
+        assert np.array_equal(parts.value, make((0, 1)).value) and np.array_equal(parts.cut, whole.cut)
+    finally:
+        R.AT_ONCE = at_once
+
+
 def test_declared_columns(spark):
     df = spark.createDataFrame([("7", "x")], "Id string, other string")
     got = readers.with_declared_columns(df, "id long, name string, n int", {"id": ["key", "Id"], "name": ["title", "other"]})
