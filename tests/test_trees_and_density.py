@@ -210,6 +210,13 @@ def test_lexicon_scores_of_several_labels(spark):
                    (2, "pos"): 1.0, (2, "neg"): 0.0, (2, "warm"): 0.0, (2, "rare"): 0.0}
 
 
+def test_lexicon_of_any_size(spark):
+    ch = spark.createDataFrame([(1, 0, "a b a"), (1, 1, "b c"), (2, 0, "..."), (3, 0, "c c d")], "id int, chunk_no int, t string")
+    lex = spark.createDataFrame([("a", "x"), ("c", "x"), ("c", "y"), (None, "y")], "word string, label string")
+    few, many = ({(r.id, r.label): r.score for r in T.lexicon_scores(ch, "id", "t", lex, small=n).collect()} for n in (100, 1))
+    assert few == many and abs(few[1, "x"] - (2 / 3 + 1 / 2) / 2) < 1e-12 and few[3, "y"] == 2 / 3 and (2, "x") not in few
+
+
 def test_forest_grown_in_shares_is_the_same_forest():
     rng = np.random.default_rng(8)
     x, n = rng.integers(0, 8, (3, 500)), rng.integers(1, 4, 500).astype(float)
