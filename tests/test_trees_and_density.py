@@ -217,6 +217,17 @@ def test_lexicon_of_any_size(spark):
     assert few == many and abs(few[1, "x"] - (2 / 3 + 1 / 2) / 2) < 1e-12 and few[3, "y"] == 2 / 3 and (2, "x") not in few
 
 
+def test_text_models_share_their_words(spark):
+    docs = spark.createDataFrame([(i, ("good fine " if i % 2 else "bad sad ") + ("loud" if i % 3 else "calm")) for i in range(60)], "id int, t string")
+    labels = spark.createDataFrame([(i, i % 2, int(i % 3 > 0)) for i in range(60)], "id int, p int, q int")
+    models = T.train_text_model(docs, labels, "id", "t", ["p", "q"], 1 << 10)
+    assert [s.uid for s in models["p"].stages[:-1]] == [s.uid for s in models["q"].stages[:-1]]
+    got = T.model_scores(docs.withColumn("chunk_no", F.lit(0)), "id", "t", models).collect()
+    assert all((r.p > 0.5) == (r.id % 2 == 1) and (r.q > 0.5) == (r.id % 3 > 0) for r in got) and len(got) == 60
+    alone = T.model_scores(docs.withColumn("chunk_no", F.lit(0)), "id", "t", {"q": models["q"]}).collect()
+    assert {r.id: r.q for r in alone} == {r.id: r.q for r in got}
+
+
 def test_forest_grown_in_shares_is_the_same_forest():
     rng = np.random.default_rng(8)
     x, n = rng.integers(0, 8, (3, 500)), rng.integers(1, 4, 500).astype(float)
