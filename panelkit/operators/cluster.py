@@ -106,24 +106,28 @@ class Centres:
 
 
 def _assigner(centres: Sequence[np.ndarray], feature_cols: Sequence[str], names: Sequence[str]):
-    """For ``mapInArrow``: per run and cluster the rows nearest to it, their cost
-    and the sums of their features - one row each, however many rows come in."""
+    """For ``mapInArrow``: per run and cluster the rows nearest to it and the sums
+    of their features, with the run's cost - one row each, however many rows come in."""
     every, at = np.concatenate(centres), np.cumsum([0] + [len(c) for c in centres])
     half = (every**2).sum(axis=1) / 2
 
     def of(batches):
-        total = np.zeros((len(every), 2 + len(feature_cols)))
+        total, costs = np.zeros((len(every), 1 + len(feature_cols))), np.zeros(len(centres))
         for b in batches:
             x = np.column_stack([b.column(f).to_numpy(zero_copy_only=False) for f in feature_cols])
-            near, size = half - x @ every.T, (x**2).sum(axis=1)
-            for i, j in zip(at[:-1], at[1:]):
+            near = half - x @ every.T
+            for run, (i, j) in enumerate(zip(at[:-1], at[1:])):
                 label = near[:, i:j].argmin(axis=1)
-                cost = np.maximum(size + 2 * near[np.arange(len(x)), i + label], 0.0)
-                for c, w in enumerate((None, cost, *x.T)):
-                    total[i:j, c] += np.bincount(label, w, j - i)
+                cost = sum((x[:, f] - every[i + label, f]) ** 2 for f in range(x.shape[1]))
+                # added row after row, as Spark's K-means does: restarts that end alike differ by rounding alone
+                costs[run] = np.cumsum(np.concatenate([costs[run: run + 1], cost]))[-1]
+                place = np.concatenate([np.arange(j - i), label])
+                for c, w in enumerate((np.ones(len(x)), *x.T)):
+                    total[i:j, c] = np.bincount(place, np.concatenate([total[i:j, c], w]), j - i)
         run = np.repeat(np.arange(len(centres)), np.diff(at))
-        here = total[:, 0] > 0
-        cols = [run[here], (np.arange(len(every)) - at[run])[here], *total[here].T]
+        here = np.flatnonzero(total[:, 0] > 0)
+        first = np.diff(run[here], prepend=-1) > 0  # the cost of a run goes with its first row
+        cols = [run[here], here - at[run[here]], total[here, 0], np.where(first, costs[run[here]], 0.0), *total[here, 1:].T]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
     return of
 
@@ -151,7 +155,7 @@ def fit_kmeans_runs(data: DataFrame, feature_cols: Sequence[str], runs: Sequence
         moved = []
         for r, g in zip(active, sums):
             here = g[:, 0] > 0  # a centre that no row is nearest to stays
-            to = np.where(here[:, None], g[:, 2:] / np.maximum(g[:, :1], 1), centres[r])
+            to = np.where(here[:, None], g[:, 2:] * (1.0 / np.maximum(g[:, :1], 1)), centres[r])
             if (((to - centres[r]) ** 2).sum(axis=1) > tol**2).any():
                 moved.append(r)
             centres[r], cost[r] = to, float(g[:, 1].sum())
