@@ -171,6 +171,37 @@ def test_vector_index_recall(spark):
     assert len(found) == 30 and all(sorted(ids) == list(range(1, 41)) for ids in found.values()) and np.mean(hit) >= 0.9
 
 
+def test_vector_search_in_blocks(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(900, 8))
+    x[300:420] = x[7]  # more equal vectors than a query has places
+    x[500:520] = 2 * x[40]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(None, x[40].tolist()), (9999, [0.0] * 8)], "id long, v array<double>")
+    df = df.repartition(5)
+    centres = T.fit_lists(df, "id", "v", lists=6)
+    index = T.list_index(df, "id", "v", centres)
+    rows = [(-1 if r.id is None else r.id, np.array(r.v), r.list) for r in index.collect()]
+    asks = df.where("id % 20 = 0").unionByName(df.where("id = 40"))  # one query comes twice
+    unit = {i: v for i, v, _ in rows}
+    want = {}
+    for q in range(0, 900, 20):
+        lists = np.argsort(-(unit[q] @ np.array(centres).T), kind="stable")[:3]
+        best = sorted((-sum(a * b for a, b in zip(v, unit[q])), i) for i, v, l in rows if l in lists)
+        want[q] = sorted(best * 2 if q == 40 else best)[:40]
+    for block, ask in ((1 << 16, 1 << 12), (100, 7)):
+        top = T.indexed_top_k(index, asks, "id", "id", "v", centres, k=40, probes=3, block=block, ask=ask)
+        assert "Join" not in top._jdf.queryExecution().executedPlan().toString()  # no row for a query and an index row
+        got = {}
+        for r in top.orderBy("query", "rank").collect():
+            got.setdefault(r.query, []).append((-r.score, -1 if r.id is None else r.id))
+        assert {q: [i for _, i in x] for q, x in got.items()} == {q: [i for _, i in x] for q, x in want.items()}
+        assert all(abs(a - b) < 1e-12 for q in want for (a, _), (b, _) in zip(got[q], want[q]))
+    words = df.selectExpr("concat('k', id) AS id", "v")
+    named = T.indexed_top_k(T.list_index(words, "id", "v", centres), words.where("id = 'k40'"), "id", "id", "v", centres, k=3, probes=6)
+    assert [r.id for r in named.orderBy("rank").collect()] == [None, "k40", "k500"]
+    assert T.indexed_top_k(index, df.where("id < 0"), "id", "id", "v", centres).count() == 0
+
+
 def test_global_rank(spark):
     rng = random.Random(1)
     rows = [(i, rng.randrange(5)) for i in range(500)]
