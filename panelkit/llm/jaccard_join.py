@@ -15,14 +15,16 @@ A document is the set of its distinct word shingles; two link when
    are left out before the index rows are dealt.
 4. ``link_components`` verifies the best neighbour of each group and the
    neighbours inside a group first, then the other near rows of the index lists
-   that are not connected yet.  That makes a number of candidates in proportion
-   to the index, and in a large family of near copies it connects nearly all.
+   that are not connected yet.  A few keys of each group are looked at for that,
+   which makes a number of candidates in proportion to the groups, and in a
+   large family of near copies it connects nearly all.
    Index lists whose groups are all connected are then done; in the others each
    group meets one group of the largest family there.
 5. All other group pairs in the index that are not connected yet (in
    ``class_links``: all group pairs) meet at the first shingle that they share.
-   A pair stays when the sizes, the places of that shingle and the number of
-   shared prefix shingles allow a link: if x's prefix ends first, then each
+   A pair stays when the sizes, the places of that shingle, the number of
+   shared prefix shingles and (6.) the parity bits of groups of one class allow
+   a link: if x's prefix ends first, then each
    shingle of it that y's prefix lacks is one that y lacks.  What is left
    expands to its members.
 6. Before their texts are read, pairs of classes are held against 512 parity
@@ -58,6 +60,8 @@ COUNTERS = 1 << 22
 BLOCK = 1 << 14
 #: Rows of an index list before a row that are looked at first.
 REACH = 6
+#: Keys of a group's prefix, about, that look at the rows before them.
+LOOKING = 16
 #: Keys of its group that an index row carries into the join.
 FIRST_KEYS = 32
 #: Words of 64 parity bits of a set.
@@ -262,11 +266,16 @@ def _most(n1, at1, n2, at2):
 
 def _near_pairs(num: int, den: int):
     """(prev, grp, k, far, p) of rows sorted by (key, n, grp): in how many index
-    lists a group is among the REACH rows before another, and how near."""
+    lists a group is among the REACH rows before another, and how near.  Only
+    about LOOKING keys of a group, drawn by their hash, are looked at, so that
+    rows grow with the groups and not with the keys that copies share; groups
+    of like size draw like keys.  p is how many were drawn."""
     def of(batches):
         back = np.zeros((0, len(_INDEX)), np.int64)
         for b in batches:
-            rows = np.concatenate([back, _stack(b)])
+            rows = _stack(b)
+            draw = (W.mix(rows[:, 0].view(np.uint64) & _LOW) >> np.uint64(32)).astype(np.int64)
+            rows = np.concatenate([back, rows[draw * rows[:, 3] < LOOKING << 32]])
             found = []
             for far in range(min(REACH, len(rows) - 1)):
                 x, y = rows[: len(rows) - 1 - far], rows[1 + far:]
@@ -274,7 +283,7 @@ def _near_pairs(num: int, den: int):
                 ok &= (num + den) * _most(x[:, 1], x[:, 5], y[:, 1], y[:, 5]) >= num * (x[:, 1] + y[:, 1])
                 ok[: max(0, len(back) - 1 - far)] = False  # seen with the batch before
                 at = np.flatnonzero(ok)
-                found.append(np.stack([x[at, 2], y[at, 2], np.full(len(at), far), y[at, 3]], 1))
+                found.append(np.stack([x[at, 2], y[at, 2], np.full(len(at), far), np.minimum(y[at, 3], LOOKING)], 1))
             back = rows[-REACH:]
             f = np.concatenate(found) if found else np.zeros((0, 4), np.int64)
             f = f[np.lexsort((f[:, 2], f[:, 1], f[:, 0]))]
@@ -346,10 +355,12 @@ class Index:
 
     def far(self, x: str, y: str):
         """Whether the parity bits alone show that two classes (columns n<x>,
-        odd<x>, n<y>, odd<y>) do not link: they differ in more bits than there
-        may be shingles that one of the two lacks."""
-        n, need = F.col(f"n{x}") + F.col(f"n{y}"), F.lit(self.num + self.den)
-        differ = sum(F.bit_count(F.get(f"odd{x}", F.lit(i)).bitwiseXOR(F.get(f"odd{y}", F.lit(i)))) for i in range(PARITIES))
+        odd<x>, n<y>, odd<y>, or those of the tables x. and y.) do not link:
+        they differ in more bits than there may be shingles that one of the two
+        lacks."""
+        of = lambda c, side: f"{side}{c}" if side.endswith(".") else f"{c}{side}"
+        n, need = F.col(of("n", x)) + F.col(of("n", y)), F.lit(self.num + self.den)
+        differ = sum(F.bit_count(F.get(of("odd", x), F.lit(i)).bitwiseXOR(F.get(of("odd", y), F.lit(i)))) for i in range(PARITIES))
         return need * (n - differ) < 2 * self.num * n
 
     def likely(self, pairs: DataFrame) -> DataFrame:
@@ -370,14 +381,17 @@ class Index:
         with ``label``, of groups with different labels (or none) only, whose
         common keys are then all in ``rows``.
 
-        Each row carries its group's first keys.  A pair comes out at the first
-        key that it shares (a longer list may let it out again), and only if
-        the places there and the number of shared keys allow a link."""
+        Each row carries its group's first keys, and its class's parity bits if
+        the group has one class.  A pair comes out at the first key that it
+        shares (a longer list may let it out again), and only if the places
+        there, the number of shared keys and the parity bits allow a link."""
         num, den = self.num, self.den
         more = [label] if label else []
         lists = rows.groupBy("grp").agg(*[F.any_value(c).alias(c) for c in ("n", "p", "last", *more)],
                                         F.sort_array(F.collect_list(F.struct("key", "at"))).alias("list"))
-        rows = lists.select("grp", "n", "p", "last", *more, (F.size("list") <= FIRST_KEYS).alias("whole"),
+        odd = self.classes.groupBy("grp").agg(F.when(F.count("*") == 1, F.any_value("odd")).alias("odd"))
+        lists = lists.join(odd, "grp")
+        rows = lists.select("grp", "n", "p", "last", "odd", *more, (F.size("list") <= FIRST_KEYS).alias("whole"),
                             F.slice("list.key", 1, FIRST_KEYS).alias("keys"), F.explode("list").alias("e"))
         rows = rows.select(*rows.columns[:-1], "e.key", "e.at")
         x, y = rows.alias("x"), rows.alias("y")
@@ -395,6 +409,7 @@ class Index:
         if label:
             may &= F.coalesce(F.col(f"x.{label}") != F.col(f"y.{label}"), F.lit(True))
         may &= (F.coalesce(F.get(common, F.lit(0)), F.col("x.key")) == F.col("x.key")) & ~few
+        may &= ~F.coalesce(self.far("x.", "y."), F.lit(False))
         return x.join(y, may).select(F.col("x.grp").alias("g"), F.col("y.grp").alias("h")).distinct()
 
     def hub_pairs(self, rows: DataFrame, label: str) -> DataFrame:

@@ -63,3 +63,40 @@ def test_parity_bits_never_differ_in_more_places_than_the_sets(spark):
     stay = {tuple(r) for r in ix.likely(spark.createDataFrame(pairs, "a long, b long")).collect()}
     links = {(a, b) for a, b in pairs if 100 * len(text[a] & text[b]) >= 85 * len(text[a] | text[b])}
     assert links and links <= stay and len(stay) < len(pairs) / 4
+
+
+def family(copies, words=700):
+    """Near copies of one text, each with edits of its own."""
+    rng = random.Random(4)
+    base = sentence(rng, words).split()
+    rows = []
+    for i in range(copies):
+        w = list(base)
+        for _ in range(2 + i % 30):
+            w[rng.randrange(words)] = f"{rng.choice('xyz')}{rng.randrange(9)}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_rows_of_the_pair_steps_are_bounded(spark):
+    rows = family(60)
+    sets = [shingles(t, 4) for _, t in rows]
+    links = {(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets) if i < j and 100 * len(x & y) >= 85 * len(x | y)}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    ix = jaccard_join._index(df, "doc_id", "text", 4, 85, 100)
+    near = ix.shared.mapInArrow(jaccard_join._near_pairs(85, 100), "prev long, grp long, k long, far long, p long")
+    looked = near.selectExpr("sum(k)").first()[0]
+    assert 0 < looked <= 2 * jaccard_join.LOOKING * jaccard_join.REACH * len(rows) < ix.shared.count() * jaccard_join.REACH
+    # groups whose parity bits rule a link out do not come out of the index join
+    odd = {r.grp: (r.n, r.odd) for r in ix.classes.collect()}
+    differ = lambda a, b: sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(odd[a][1], odd[b][1]))
+    pairs = ix.group_pairs(ix.shared).collect()
+    assert len(odd) == len(rows) and len(links) <= len(pairs)
+    assert all(185 * (odd[r.g][0] + odd[r.h][0] - differ(r.g, r.h)) >= 170 * (odd[r.g][0] + odd[r.h][0]) for r in pairs)
+    got = {r.doc_id: r.component_id for r in jaccard_join.link_components(df).collect()}
+    least = list(range(len(rows)))
+    for _ in rows:
+        for i, j in links:
+            least[i] = least[j] = min(least[i], least[j])
+    assert got == dict(enumerate(least)) and len(set(least)) > 1
+    assert {r.doc_id: r.n_links for r in jaccard_join.link_counts(df).collect()} == {i: sum(i in p for p in links) for i in range(len(rows))}
