@@ -12,6 +12,7 @@ from panelkit.operators import models as M
 from panelkit.operators import panel as P
 from panelkit.operators import text as T
 from panelkit.operators import trees as R
+from panelkit.plans import catalog
 from panelkit.sources import readers
 
 
@@ -202,6 +203,18 @@ def test_vector_search_in_blocks(spark):
     assert T.indexed_top_k(index, df.where("id < 0"), "id", "id", "v", centres).count() == 0
 
 
+def test_index_query_recall_without_structure(spark, tmp_path):
+    x = np.random.default_rng(12).normal(size=(1500, 64))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(u)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    catalog.load_all()
+    found = {}
+    for r in catalog.QUERIES["text_semantic_index"](spark, str(tmp_path)).collect():
+        found.setdefault(r["query"], set()).add(r["vec_id"])
+    hit = [len(found[q] & set(np.argsort(-(u @ u[q]))[:40].tolist())) / 40 for q in range(0, 1500, 20)]
+    assert len(found) == 75 and np.mean(hit) >= 0.9
+
+
 def test_global_rank(spark):
     rng = random.Random(1)
     rows = [(i, rng.randrange(5)) for i in range(500)]
