@@ -538,11 +538,13 @@ def _members(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den:
     # then, in index lists that are not done, each group and one of the family that has most groups there
     member, whole, stored = _open_lists(classes, shared, label)
     hub = ix.likely(ix.hub_pairs(stored, "one"))
-    need = _classes_in(hub)
-    texts = ix.texts_of(need)
-    links = ix.verify(hub, texts)
-    label = _extend(label, links)
-    discard(hub, need, texts, links, member)
+    if not hub.isEmpty():
+        need = _classes_in(hub)
+        texts = ix.texts_of(need)
+        links = ix.verify(hub, texts)
+        label = _extend(label, links)
+        discard(need, texts, links)
+    discard(hub, member)
 
     # then all pairs that are not connected yet, in index lists that are still not done
     member, whole, rest = _open_lists(classes, stored.drop("one"), label)
