@@ -287,6 +287,86 @@ def test_forest_grown_in_shares_is_the_same_forest():
         R.AT_ONCE = at_once
 
 
+def test_bins_do_not_depend_on_the_size_of_the_table(spark):
+    """More than 200,000 cells in a group: features had 16 bins, not 32."""
+    rows = spark.range(260_000).select(F.lit("a").alias("sport"), F.lit(0).alias("fold"),
+                                       *[F.rand(i).alias(f"x{i}") for i in range(5)], (F.col("id") % 3).alias("y"))
+    for by in (["fold"], ["sport", "fold"]):
+        table, edges = R.cells(rows, by, [f"x{i}" for i in range(5)], "y")
+        assert [len(e) for e in edges] == [31] * 5
+        assert table.count() > 200_000 and table.agg(F.sum("n")).first()[0] == 260_000
+
+
+def test_fits_from_packed_cells_are_those_of_plain_arrays(spark):
+    """Cells in several folds, more rows than one batch, a null group; folds left out one by one."""
+    rng = np.random.default_rng(9)
+    rows = [(str(g) if g else None, int(rng.integers(3)), *map(int, rng.integers(0, w, 3)), 1.0 + int(rng.integers(2)))
+            for g, w, m in ((None, 4, 200), (1, 40, 24_000), (2, 3, 500)) for _ in range(m)]
+    rows = {r[:5]: r for r in rows}.values()
+    rows = [(*r, float(rng.integers(0, int(r[5]) + 1))) for r in rows]
+    table = spark.createDataFrame(rows, "g string, fold int, b0 int, b1 int, b2 int, n double, s double").cache()
+
+    def plain(keep):
+        at = {}
+        for r in rows:
+            if keep(r):
+                n, s = at.get(r[2:5], (0.0, 0.0))
+                at[r[2:5]] = n + r[5], s + r[6]
+        x = np.array(sorted(at)).reshape(-1, 3).T
+        n, s = np.array([at[k] for k in sorted(at)]).reshape(-1, 2).T
+        return x, n, s
+    got = R.classifiers_by_group(table, "g", ["u", "v", "w"], 40, 3, 5, {"trees": 6, "depth": 3, "leaf": 2}, {"rounds": 4, "depth": 2, "rate": 0.1}).collect()
+    assert {(r.g, r.model, r.kind) for r in got} == {(g, m, k) for g in (None, "1", "2") for m in (-1, 0, 1, 2) for k in ("rf", "gbt")}
+    for r in got:
+        x, n, s = plain(lambda a: a[0] == r.g and a[1] != r.model)  # noqa: B023
+        if r.kind == "rf":
+            f, how = R.random_forest(x, n, s, trees=6, depth=3, leaf=2, features=1, seed=5, n_bins=40, balanced=True), np.mean
+        else:
+            f, how = R.boosted(x, n, s, rounds=4, depth=2, rate=0.1, n_bins=40, logistic=True)[0], np.sum
+        assert np.allclose([r.imp_u, r.imp_v, r.imp_w], R._shares(f.importance))
+        if r.model < 0:
+            assert r.auc is None
+        else:
+            x, n, s = plain(lambda a: a[0] == r.g and a[1] == r.model)  # noqa: B023
+            assert abs(r.auc - R.auc_of_cells(R._score_blocks(f, x, how), n, s)) < 1e-9
+    edges = [np.arange(39) + 0.0] * 3
+    one = table.filter(F.col("g") == "1")
+    fits = R.regressions_by_model(one, ["u", "v", "w"], edges, [-1, 1], {"rf": {"trees": 9, "depth": 4, "leaf": 2}, "gbt": {"rounds": 3, "depth": 2, "rate": 0.1}}, 7)
+    for m in (-1, 1):
+        x, n, s = plain(lambda a: a[0] == "1" and a[1] != m)  # noqa: B023
+        f = R.random_forest(x, n, s, trees=9, depth=4, leaf=2, features=3, seed=7, n_bins=40)
+        b, first = R.boosted(x, n, s, rounds=3, depth=2, rate=0.1, n_bins=40, logistic=False)
+        assert np.allclose(fits[m, "rf"].forest.value, f.value) and np.array_equal(fits[m, "rf"].forest.cut, f.cut)
+        assert np.allclose(fits[m, "gbt"].forest.value, b.value) and abs(fits[m, "gbt"].first - first) < 1e-12
+
+
+def test_trees_do_not_depend_on_the_blocks(monkeypatch):
+    """The same trees with all cells at once, block by block, and with the blocks in files."""
+    rng = np.random.default_rng(10)
+    x, n = rng.integers(0, 32, (5, 4000)), rng.integers(1, 4, 4000).astype(float)
+    s, score = np.floor(n * rng.random(4000) + (x[0] > 20)).clip(0, n), rng.integers(0, 900, 4000) / 7
+
+    def make():
+        balanced = R.random_forest(x, n, s, trees=3, depth=5, leaf=5, features=2, seed=3, n_bins=32, balanced=True)
+        plain = R.random_forest(x, n, s, trees=3, depth=6, leaf=2, features=5, seed=3, n_bins=32)
+        share = R.random_forest(x, n, s, trees=3, depth=6, leaf=2, features=5, seed=3, n_bins=32, share=(1, 3))
+        return balanced, plain, share, *(R.boosted(x, n, s, rounds=8, depth=3, rate=0.1, n_bins=32, logistic=g)[0] for g in (True, False))
+    monkeypatch.setattr(R, "AT_ONCE", x.size)  # one tree a lot
+    whole, auc = make(), R.auc_of_cells(score, n, s)
+    monkeypatch.setattr(R, "AT_ONCE", 2500)
+    assert len(R._of_arrays(x, n, s).blocks) == 8
+    for held in (R.HELD, 100):
+        monkeypatch.setattr(R, "HELD", held)
+        assert (R._of_arrays(x, n, s).blocks.file is None) == (held > 100)
+        for a, b in zip(whole, make()):
+            assert np.array_equal(a.feature, b.feature) and np.array_equal(a.cut, b.cut)
+            assert np.allclose(a.value, b.value) and np.allclose(a.importance, b.importance)
+        parts = R.Blocks((score[i: i + 300], n[i: i + 300], s[i: i + 300]) for i in range(0, 4000, 300))
+        monkeypatch.setattr(R, "AT_ONCE", 200)
+        assert abs(R.auc_of_blocks(parts) - auc) < 1e-12
+        monkeypatch.setattr(R, "AT_ONCE", 2500)
+
+
 def test_declared_columns(spark):
     df = spark.createDataFrame([("7", "x")], "Id string, other string")
     got = readers.with_declared_columns(df, "id long, name string, n int", {"id": ["key", "Id"], "name": ["title", "other"]})
