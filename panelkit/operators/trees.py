@@ -405,8 +405,8 @@ def _packed(table: DataFrame, group: Sequence[str], p: int, n_bins: int) -> Data
             rest = None if last else d[ready:]
             rows = np.zeros(ready, record)
             rows["bins"] = d[names].to_numpy()[:ready]
-            for c in ("fold", "n", "s"):
-                rows[c] = d[c].to_numpy()[:ready]
+            for c, null in (("fold", -2), ("n", 0), ("s", 0)):  # no fold: in no test
+                rows[c] = d[c].fillna(null).to_numpy()[:ready]
             at, lots = [], set(lots.tolist())
             for x in cell[cell < ready].tolist():
                 if x in lots or x - at[-1] >= RUN:
